@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import similar_sets
 from .media import media_columns
 from .mixing import allocate
 from .storage import table
@@ -18,6 +19,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allocate(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), with_media=False)
 
@@ -33,6 +38,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
     "op10_url_filter": op10_url_filter,
@@ -88,3 +94,16 @@ SELECT page_id, host, path, {_rules_sql("host", "path", "rule")} AS rule,
        coalesce({_rules_sql("host", "path", "verdict")}, CASE WHEN host <> '' AND host || tail IN (SELECT node FROM caught) THEN 'block' ELSE 'allow' END) AS verdict
 FROM q
 """
+
+SQL["op6_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(doc_id, reached) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.reached)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
