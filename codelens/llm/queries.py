@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard import similar_sets
 from .media import media_columns
 from .mixing import allocate
+from .pii import PATTERNS, find_pii, written
 from .storage import table
 from .tokens import count_tokens, model_path
 from .urls import RULES, alias_edges, judge_urls
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("pii_base", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{kind}") for n, kind in enumerate(PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("pii_base")), 256).alias("base_sha256"), written(F.col("pii_spans")).alias("spans"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return allocate(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -37,6 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_mix_sources": op3_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_media_columns": op7_media_columns,
