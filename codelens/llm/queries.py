@@ -12,6 +12,7 @@ from .jaccard import similar_sets
 from .media import media_columns
 from .mixing import allocate
 from .pii import PATTERNS, find_pii, written
+from .quality import fit, held_out, score_documents
 from .storage import table
 from .tokens import count_tokens, model_path
 from .urls import RULES, alias_edges, judge_urls
@@ -33,6 +34,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allocate(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_main_text": op2_main_text,
     "op3_mix_sources": op3_mix_sources,
+    "op4_quality": op4_quality,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
