@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 #: The mark that stands for a space, in the vocabulary and inside pre-tokens.
 SPACE = "▁"
-#: Pre-tokens remembered by a worker before it starts afresh.
-REMEMBERED = 500_000
+#: Pre-tokens that a worker remembers before it starts afresh, and texts whose unknown ones it merges in one call.
+REMEMBERED, TOGETHER = 300_000, 64
 
 
 class PieceCounter:
@@ -22,7 +22,7 @@ class PieceCounter:
     each line feed. That is exact because no piece of the vocabulary has a
     space mark after another character, or a line feed: no merge crosses a
     cut. ``__init__`` checks both, and that the model keeps white space and
-    puts one mark before a text; otherwise ``count`` gives whole texts to the
+    puts one mark before a text; otherwise ``counts`` gives whole texts to the
     library.
     """
 
@@ -40,7 +40,8 @@ class PieceCounter:
                 for p, n in zip(own, self._merged(own, marked), strict=True):
                     if n == 1:
                         self.whole[marked][p] = 1
-        self.known = {marked: _Known(self, marked) for marked in self.whole}
+            self.whole[True][""] = self._merged([SPACE], False)[0]  # a mark with nothing after it
+        self.known = {marked: dict(whole) for marked, whole in self.whole.items()}
 
     def _keeps_space(self) -> bool:
         probe = "a  b éﬁ①\nc\td"
@@ -52,58 +53,45 @@ class PieceCounter:
             return [len(x) for x in self.library.encode(parts, num_threads=1)]
         return [len(x) - 2 for x in self.library.encode(["\n" + p for p in parts], num_threads=1)]
 
-    def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not self.cuts:
-            return len(self.library.encode(text, num_threads=1))
-        marked, bare = self.known[True], self.known[False]
-        total = 0
-        for n, line in enumerate(text.replace(" ", SPACE).split("\n")):
-            if n:
-                total += 1  # the line feed, a byte token
-            head, *parts = line.split(SPACE)
-            if "" in parts or (not head and (parts or not n)):
-                total += self._spaced(line if n else SPACE + line)
-                continue
+    def _cut(self, text: str) -> tuple[list[str], list[str], int]:
+        """Pre-tokens with a space mark before them (left out here), those without, and the number of line feeds."""
+        marked: list[str] = []
+        bare: list[str] = []
+        lines = text.replace(" ", SPACE).split("\n")
+        for n, line in enumerate(lines):
+            head, *parts = (line if n else SPACE + line).split(SPACE)
             if head:
-                total += bare[head] if n else marked[head]
-            if parts:
-                total += sum(map(marked.__getitem__, parts))
-        return total
-
-    def _spaced(self, line: str) -> int:
-        """A line with runs of spaces, each of which goes with what follows."""
-        total, at, end = 0, 0, len(line)
-        while at < end:
-            word = at
-            while word < end and line[word] == SPACE:
-                word += 1
-            stop = line.find(SPACE, word)
-            stop = end if stop < 0 else stop
-            if word > at:
-                total += self.known[True][line[at + 1 : stop]]
+                bare.append(head)
+            if "" in parts:  # runs of marks go with what follows them
+                run = ""
+                for p in parts[:-1]:
+                    if p:
+                        marked.append(run + p)
+                        run = ""
+                    else:
+                        run += SPACE
+                marked.append(run + parts[-1])
             else:
-                total += self.known[False][line[at:stop]]
-            at = stop
-        return total
-
-
-class _Known(dict):
-    """Tokens of each pre-token seen: the proven ones at first."""
+                marked += parts
+        return marked, bare, len(lines) - 1
 
-    def __init__(self, owner: PieceCounter, marked: bool) -> None:
-        super().__init__(owner.whole[marked])
-        self.owner, self.marked = owner, marked
-
-    def __missing__(self, part: str) -> int:
-        n = self.owner._merged([part], self.marked)[0]
-        if len(part) < 100:
-            if len(self) > REMEMBERED:
-                self.clear()
-                self.update(self.owner.whole[self.marked])
-            self[part] = n
-        return n
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        if not self.cuts:
+            return [len(x) for x in self.library.encode(texts, num_threads=1)]
+        out: list[int] = []
+        for at in range(0, len(texts), TOGETHER):
+            cut = [self._cut(t) if t else ([], [], 0) for t in texts[at : at + TOGETHER]]
+            for k, marked in enumerate((True, False)):
+                known = self.known[marked]
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    known.update(self.whole[marked])
+                new = list(set().union(*[c[k] for c in cut]).difference(known))
+                known.update(zip(new, self._merged(new, marked), strict=True))
+            marked, bare = self.known[True].__getitem__, self.known[False].__getitem__
+            out += [sum(map(marked, m)) + sum(map(bare, b)) + feeds for m, b, feeds in cut]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -121,10 +109,10 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
     kind = docs.schema[key].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model).count
+        counts = counter(model).counts
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            n = [count(x) for x in texts]
+            n = counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 [key, "n_bytes", "n_tokens", "over_limit"],
