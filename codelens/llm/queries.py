@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_passages
 from .html_text import extract_text
 from .jaccard import similar_sets
 from .media import media_columns
@@ -40,6 +41,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("benchmark_hits").alias("hit"))
+    return found.select("doc_id", F.col("hit.item").alias("item_id"), "hit.cosine", "hit.overlap")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_mix_sources": op3_mix_sources,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,

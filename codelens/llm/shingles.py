@@ -20,12 +20,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _bytes() -> tuple[np.ndarray, np.ndarray]:
-    """A random number for each byte, A-Z as a-z, and which bytes are white space."""
+@lru_cache(maxsize=2)
+def _bytes(plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, A-Z as a-z, and which bytes stand between words."""
     at = np.arange(256)
     lower = np.where((at >= 65) & (at <= 90), at + 32, at).astype(np.uint64)
     space = (at == 32) | ((at >= 9) & (at <= 13))
+    if plain:
+        space |= (at < 128) & ~(((at >= 48) & (at <= 57)) | ((at >= 65) & (at <= 90)) | ((at >= 97) & (at <= 122)))
     return mix(lower * _ODD + np.uint64(1)), space
 
 
@@ -49,14 +51,15 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, ends: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of texts that lie end to end in ``data`` (UTF-8), and how many words end within each text.
 
-    Words are runs without white space (0x20, 0x09 to 0x0D), A-Z as a-z.
+    Words are runs without white space (0x20, 0x09 to 0x0D), A-Z as a-z;
+    ``plain`` leaves out all other ASCII but letters and digits, too.
     ``ends`` holds each text's end; a word never goes over one. The second
     array is cumulative, as ``ends`` is.
     """
-    values, space = _bytes()
+    values, space = _bytes(plain)
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
@@ -77,7 +80,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(first, ends, side="left")
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, number of rows, data, ends) of stretches of a string column; null texts are empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
@@ -89,7 +92,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         to = min(to, n)
         yield at, to - at, data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]
         at = to
