@@ -31,12 +31,12 @@ from .components import connected_components
 from .shingles import mix, shingle_sets
 from .storage import materialise
 
-#: Minhashes by which a set looks for the centre of a cluster.
-HASHES = 2
+#: Minhashes of a set, those by which it looks for the centre of a cluster, and those it must have in common with one to be compared.
+HASHES, LOOKED_UP, AGREED = 8, 2, 4
 #: Shingles that are counted together; those that FREQUENT sets of such a stretch have are common.
-STRETCH, FREQUENT = 2_000_000, 8
-#: Common shingles told apart by their counts, at most (2 MB); the order of the others is that of their hashes. Only the work depends on it.
-ORDERED = 1 << 17
+STRETCH, FREQUENT = 4_000_000, 3
+#: Common shingles told apart by their counts, at most (8 MB); the order of the others is that of their hashes. Only the work depends on it.
+ORDERED = 1 << 19
 #: Bits of the filter that keeps sets nobody asks for out of the shuffle (4 MB); when it is full, more sets are shuffled.
 FILTER_BITS = 1 << 25
 
@@ -175,8 +175,8 @@ def _sets(ids: pa.Array, rows: list[int], sets: list[np.ndarray]) -> pa.RecordBa
 
 def _overlaps(batches: Batches) -> Batches:
     for b in batches:
-        n = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["a", "b", "common"])
+        n = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], ["a", "b", "na", "nb", "common"])
 
 
 def _filter_bits(ids: DataFrame) -> np.ndarray:
@@ -196,12 +196,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(_filter_bits(ids))
     sets = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_asked_sets(width, wanted), "id long, shingles binary")
-    sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets.join(ids, "id", "left_semi"), "sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    common = both.mapInArrow(_overlaps, "a long, b long, common long")
-    sized = pairs.join(common, ["a", "b"])
-    return sized.where(F.expr(f"100 * common >= {percent} * (na + nb - common)")).select("a", "b")
+    sets = materialise(sets, "sets")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    common = both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
+    return common.where(F.expr(f"100 * common >= {percent} * (na + nb - common)")).select("a", "b").distinct()
 
 
 def _reachable(n: str, m: str, p: str, q: str, percent: int) -> Column:
@@ -244,15 +242,16 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     # 3a. prefixes, and of them the shingles that several classes have
     posted = keyed.mapInArrow(_postings(width, percent, order), "token long, id long, n int, pos int")
     shared = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, "token long, id long, n int, pos int")
-    shared = materialise(shared, "postings")
     shared = shared.join(member.select("id", "class"), "id").groupBy("token", "class").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
     shared = materialise(shared, "index")
 
     # 2. clusters around the most central set of each minhash bucket: the one with the most shared shingles for its size
     central = shared.groupBy("class").agg((F.count(F.lit(1)) / F.max("n")).alias("central"))
-    seen = classes.join(central.withColumnRenamed("class", "id"), "id", "left").select("id", "n", F.coalesce("central", F.lit(0.0)).alias("central"), F.posexplode(F.array(*minhashes)).alias("k", "m"))
-    bucket = seen.groupBy("k", "m").agg(F.max(F.struct("central", F.negative("id").alias("minus"), "n")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = seen.join(bucket, ["k", "m"]).select(F.negative("top.minus").alias("a"), F.col("top.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    seen = classes.join(central.withColumnRenamed("class", "id"), "id", "left").select("id", "n", F.coalesce("central", F.lit(0.0)).alias("central"), F.array(*minhashes).alias("m"))
+    looked = seen.select("*", F.posexplode(F.slice("m", 1, LOOKED_UP)).alias("k", "key"))
+    bucket = looked.groupBy("k", "key").agg(F.max(F.struct("central", F.negative("id").alias("minus"), "n", "m")).alias("top"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    agreed = F.aggregate(F.zip_with("m", "top.m", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    stars = looked.join(bucket, ["k", "key"]).where(agreed >= AGREED).select(F.negative("top.minus").alias("a"), F.col("top.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     stars = stars.where(F.expr(f"a <> b AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")).distinct()
     stars = materialise(stars, "stars")
     linked = materialise(_verified(keyed, stars, width, percent), "links")
