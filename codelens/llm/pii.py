@@ -119,8 +119,8 @@ def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DIS
     return rated.where(F.col("ratio") >= disclosure).select("term", "kind", "entity", "together", "entity_lines", "term_lines", "ratio")
 
 
-def find_pii(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with pii_base and pii_spans: arrays of (start, kind, end) by start, kind an index into KINDS.
+def find_pii(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, base: str = "pii_base", spans: str = "pii_spans") -> DataFrame:
+    """``docs`` with pii_base and pii_spans (or as ``base`` and ``spans`` say): arrays of (start, kind, end) by start, kind an index into KINDS.
 
     pii_base has the pattern matches of each kind, which may overlap those
     of another. pii_spans has these and, as kind 'term', the occurrences of
@@ -131,16 +131,16 @@ def find_pii(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
     terms = materialise(revealing_terms(docs, text, disclosure, support).select("term").distinct(), "terms")
     none = F.array().cast(SPAN)
     if terms.isEmpty():
-        return docs.withColumn("pii_base", base_spans(F.col(text))).withColumn("pii_spans", F.col("pii_base"))
+        return docs.withColumn(base, base_spans(F.col(text))).withColumn(spans, F.col(base))
     held = docs.select(F.xxhash64(text, F.length(text)).alias("__text"), F.explode(_terms(F.col(text))).alias("term")).join(terms, "term")
     word = r"\p{L}\p{N}_"
     patterns = held.groupBy("__text").agg(F.array_sort(F.collect_set("term")).alias("__own"))
     patterns = materialise(patterns.select("__text", F.concat(F.lit(rf"(?iu)(?<![{word}])(?:"), F.array_join("__own", "|"), F.lit(rf")(?![{word}])")).alias("__pattern")), "patterns")
-    marked = docs.withColumn("pii_base", base_spans(F.col(text))).withColumn("__text", F.xxhash64(text, F.length(text))).join(patterns, "__text", "left")
+    marked = docs.withColumn(base, base_spans(F.col(text))).withColumn("__text", F.xxhash64(text, F.length(text))).join(patterns, "__text", "left")
     found = F.when(F.col("__pattern").isNotNull(), _bare(_located(F.col(text), F.col("__pattern"), KINDS.index("term")))).otherwise(none)
     marked = marked.withColumn("__terms", found)
-    free = F.filter("__terms", lambda t: ~F.exists("pii_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return marked.withColumn("pii_spans", F.array_sort(F.concat("pii_base", free))).drop("__text", "__pattern", "__terms")
+    free = F.filter("__terms", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return marked.withColumn(spans, F.array_sort(F.concat(base, free))).drop("__text", "__pattern", "__terms")
 
 
 def written(spans: Column) -> Column:
@@ -156,7 +156,7 @@ def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
     Other columns are kept.
     """
     names = F.array(*[F.lit(REPLACEMENTS[k]) for k in KINDS])
-    marked = find_pii(docs, text, disclosure, support)
+    marked = find_pii(docs, text, disclosure, support, "__base", "__spans")
     whole = F.col(text)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -165,5 +165,5 @@ def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
         piece = F.array(F.substr(whole, state["at"] + 1, x["start"] - state["at"]), F.element_at(names, x["kind"] + 1))
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(ahead, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("pii_spans", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(whole, s["at"] + 1, F.length(whole))))
-    return marked.withColumn(text, F.when(F.size("pii_spans") > 0, clean).otherwise(whole)).drop("pii_base", "pii_spans")
+    clean = F.aggregate("__spans", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(whole, s["at"] + 1, F.length(whole))))
+    return marked.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(whole)).drop("__base", "__spans")

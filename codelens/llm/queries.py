@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_preferences, stale_replies
+from .chat import written as spans_written
 from .decontaminate import find_passages
 from .html_text import extract_text
 from .jaccard import similar_sets
@@ -59,6 +61,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), model_path("piece_bpe_32k.model"))
 
 
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = format_preferences(*stale_replies(table(spark, sf_dir, "conversations")))
+    return made.withColumns({c: spans_written(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages.select("page_id", "url"), alias_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
+    "op9_preferences": op9_preferences,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -139,3 +147,19 @@ r(doc_id, reached) AS (SELECT x, y FROM e UNION SELECT r.doc_id, e.y FROM r JOIN
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(r.reached)) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
 """
+
+SQL["op9_preferences"] = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = 'assistant' GROUP BY conv_id),
+s AS (SELECT t.conv_id, max_by(text, (turn, text)) AS stale FROM t JOIN l USING (conv_id) WHERE role = 'assistant' AND turn < last GROUP BY t.conv_id),
+u AS (SELECT t.*, last, '<|' || role || '|>' || chr(10) AS head, CASE WHEN turn = last AND role = 'assistant' THEN coalesce(stale, '') ELSE text END AS other
+      FROM t JOIN l USING (conv_id) LEFT JOIN s USING (conv_id) WHERE turn <= last),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, max(CASE WHEN other <> text THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS differs FROM u)
+SELECT conv_id, sum(1 - differs)::INTEGER AS n_common,
+       coalesce(string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) FILTER (WHERE differs = 0), '') AS prompt,
+       coalesce(string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) FILTER (WHERE differs = 1), '') AS chosen,
+       coalesce(string_agg(head || other || '<|end|>' || chr(10), '' ORDER BY pos) FILTER (WHERE differs = 1), '') AS rejected,
+       coalesce(max(length(head) || ':' || (length(head) + length(text) + 7)) FILTER (WHERE differs = 1), '') AS chosen_spans,
+       coalesce(max(length(head) || ':' || (length(head) + length(other) + 7)) FILTER (WHERE differs = 1), '') AS rejected_spans
+FROM n GROUP BY conv_id
+"""
