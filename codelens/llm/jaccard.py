@@ -34,9 +34,11 @@ from .storage import materialise
 #: Minhashes of a set, those by which it looks for the centre of a cluster, and those it must have in common with one to be compared.
 HASHES, LOOKED_UP, AGREED = 8, 2, 4
 #: Shingles that are counted together; those that FREQUENT sets of such a stretch have are common.
-STRETCH, FREQUENT = 4_000_000, 3
+STRETCH, FREQUENT = 4_000_000, 2
 #: Common shingles told apart by their counts, at most (8 MB); the order of the others is that of their hashes. Only the work depends on it.
 ORDERED = 1 << 19
+#: Cells of a set's outline: how many of its shingles fall in each. A set too large for one byte a cell has none.
+CELLS = 256
 #: Bits of the filter that keeps sets nobody asks for out of the shuffle (4 MB); when it is full, more sets are shuffled.
 FILTER_BITS = 1 << 25
 
@@ -56,12 +58,16 @@ def _signatures(width: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for b in batches:
             out = np.zeros((3 + HASHES, b.num_rows), np.uint64)
+            outlines: list[bytes | None] = [None] * b.num_rows
             for row, s in shingle_sets(b.column(1), width):
                 if len(s):
                     out[0, row], out[1, row], out[2, row] = len(s), s.sum(), mix(s ^ seeds[0]).sum()
                     for k, seed in enumerate(seeds):
                         out[3 + k, row] = mix(s + seed).min()
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x.view(np.int64)) for x in out]], ["id", "n", "k1", "k2", *[f"m{k}" for k in range(HASHES)]])
+                    cells = np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                    if cells.max() < 256:
+                        outlines[row] = cells.astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x.view(np.int64)) for x in out], pa.array(outlines, pa.binary())], ["id", "n", "k1", "k2", *[f"m{k}" for k in range(HASHES)], "outline"])
 
     return run
 
@@ -179,6 +185,22 @@ def _overlaps(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], ["a", "b", "na", "nb", "common"])
 
 
+def _not_ruled_out(percent: int) -> Callable[[Batches], Batches]:
+    """Pairs whose outlines leave room for similarity: the overlap is at most the sum of the smaller counts of each cell."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            na, nb = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
+            most = np.minimum(na, nb)
+            for row, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                if x is not None and y is not None:
+                    most[row] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
+            keep = 100 * most >= percent * (na + nb - most)
+            yield pa.RecordBatch.from_arrays(b.columns[:4], ["a", "na", "b", "nb"]).filter(pa.array(keep))
+
+    return run
+
+
 def _filter_bits(ids: DataFrame) -> np.ndarray:
     """A bit set of at most FILTER_BITS, made from aggregated words of 32 bits: its size doesn't depend on the data."""
     h = F.xxhash64("id")
@@ -190,9 +212,11 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, na, b, nb) whose sets are similar."""
+def _verified(docs: DataFrame, pairs: DataFrame, outlines: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, na, b, nb) whose sets are similar: outlines first, whole sets where these leave it open."""
     spark = docs.sparkSession
+    seen = pairs.join(outlines.toDF("a", "oa"), "a").join(outlines.toDF("b", "ob"), "b").select("a", "na", "b", "nb", "oa", "ob")
+    pairs = materialise(seen.mapInArrow(_not_ruled_out(percent), "a long, na long, b long, nb long"), "open")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(_filter_bits(ids))
     sets = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_asked_sets(width, wanted), "id long, shingles binary")
@@ -224,12 +248,13 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     minhashes = [f"m{k}" for k in range(HASHES)]
-    signed = materialise(docs.select("id", "text").mapInArrow(_signatures(width), "id long, n long, k1 long, k2 long, " + ", ".join(f"{m} long" for m in minhashes)), "signatures")
+    signed = materialise(docs.select("id", "text").mapInArrow(_signatures(width), "id long, n long, k1 long, k2 long, " + ", ".join(f"{m} long" for m in minhashes) + ", outline binary"), "signatures")
     keyed = docs.where("id IS NOT NULL")
     real = signed.where("n > 0 AND id IS NOT NULL")
 
     # 1. equal sets are one class, named by the smallest key
-    classes = materialise(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), *[F.first(m).alias(m) for m in minhashes]), "classes")
+    classes = materialise(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), *[F.first(m).alias(m) for m in minhashes], F.first("outline").alias("outline")), "classes")
+    outlines = classes.select("id", "outline")
     member = materialise(real.select("id", "n", "k1", "k2").distinct().join(classes.select("n", "k1", "k2", F.col("id").alias("class")), ["n", "k1", "k2"]).select("id", "class", "n"), "members")
 
     # the order of shingles: common ones last
@@ -254,7 +279,7 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     stars = looked.join(bucket, ["k", "key"]).where(agreed >= AGREED).select(F.negative("top.minus").alias("a"), F.col("top.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     stars = stars.where(F.expr(f"a <> b AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")).distinct()
     stars = materialise(stars, "stars")
-    linked = materialise(_verified(keyed, stars, width, percent), "links")
+    linked = materialise(_verified(keyed, stars, outlines, width, percent), "links")
     cluster = connected_components(linked, "a", "b")
 
     # 3b. lists of clusters; only pairs over two clusters are left
@@ -265,13 +290,14 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     lists = lists.join(several, "token", "left_semi")
     x, y = lists.toDF("token", "cx", "lx", "hx", "rx"), lists.toDF("token", "cy", "ly", "hy", "ry")
     meet = F.expr(f"cx < cy AND 100 * hx >= {percent} * ly AND 100 * hy >= {percent} * lx AND {100 + percent} * rx >= {percent} * (lx + ly) AND {100 + percent} * ry >= {percent} * (lx + ly)")
-    blocks = x.join(y, "token").where(meet).select("token", "cx", "cy")
+    blocks = x.join(y, "token").where(meet).select("token", "cx", "cy", "ly", "hy", "ry")
     left = blocks.join(index.select("token", F.col("cluster").alias("cx"), F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), ["token", "cx"])
+    left = left.where(f"100 * na >= {percent} * ly AND 100 * hy >= {percent} * na AND {100 + percent} * (na - pa) >= {percent} * (na + ly) AND {100 + percent} * ry >= {percent} * (na + ly)").drop("ly", "hy", "ry")
     pairs = left.join(index.select("token", F.col("cluster").alias("cy"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), ["token", "cy"])
     pairs = materialise(pairs.where(_reachable("na", "nb", "pa", "pb", percent)).select("a", F.col("na").cast("long").alias("na"), "b", F.col("nb").cast("long").alias("nb")).distinct(), "candidates")
 
     # 4. verify, and join
-    more = _verified(keyed, pairs, width, percent)
+    more = _verified(keyed, pairs, outlines, width, percent)
     grouped = connected_components(linked.union(more), "a", "b")
     # a class's component starts from its smallest key
     home = member.join(grouped.select(F.col("node").alias("class"), "component"), "class", "left").select("id", F.coalesce("component", "class").alias("component_id"))
