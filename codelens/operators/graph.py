@@ -15,10 +15,11 @@ def blocks(functions: DataFrame) -> DataFrame:
     """(FN, k, block, stmt): a block for each statement, from 1, in order.
 
     A line is cut after each semicolon outside brackets; the heads of control
-    structures and labels end where their line does.
+    structures and labels end where their line does. Braces around a
+    statement are left out.
     """
     lines = statements(functions).withColumn("stmt", F.regexp_replace("stmt", r"/\*.*?\*/", " "))
-    cut = F.filter(F.transform(F.regexp_extract_all("stmt", F.lit(r"(?:[^;()]|\((?:[^()]|\([^()]*\))*\))+;?"), F.lit(0)), lambda x: F.trim(x)), lambda x: ~x.isin("", "{", "}", ";"))
+    cut = F.filter(F.transform(F.regexp_extract_all("stmt", F.lit(r"(?:[^;()]|\((?:[^()]|\([^()]*\))*\))+;?"), F.lit(0)), lambda x: F.regexp_replace(x, r"^[{}\s]+|[{}\s]+$", "")), lambda x: ~x.isin("", ";"))
     parts = lines.select(*FN, "line", F.posexplode(cut).alias("at", "stmt"))
     order = Window.partitionBy(*FN).orderBy("line", "at")
     out = parts.withColumn("k", F.row_number().over(order))
