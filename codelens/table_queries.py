@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .functions import scalars as S
-from .operators import graph, tables, validate
+from .operators import graph, review, tables, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,3 +213,44 @@ _query(
     lambda r: _findings(r).agg(*[F.count_if((F.col("status") == s) & (F.col("severity") == "critical")).alias(f"{n}_critical") for n, s in (("before", "O"), ("after", "F"))], *[F.count_if(F.col("status") == s).alias(n) for n, s in (("before", "O"), ("after", "F"))]).withColumn("delta", F.col("after") - F.col("before")).withColumn("critical_delta", F.col("after_critical") - F.col("before_critical")),
     f"WITH {FINDINGS}, a AS (SELECT count(*) FILTER (WHERE status = 'O') AS before, count(*) FILTER (WHERE status = 'F') AS after, count(*) FILTER (WHERE status = 'O' AND severity = 'critical') AS before_critical, count(*) FILTER (WHERE status = 'F' AND severity = 'critical') AS after_critical FROM f) SELECT *, after - before AS delta, after_critical - before_critical AS critical_delta FROM a",
 )
+
+
+def _spans(read: Callable[[str], DataFrame]) -> DataFrame:
+    return read("supplier").select(F.expr("concat('m', s_suppkey % 7, '.c')").alias("path"), F.expr("concat('f', s_suppkey % 40)").alias("fn"), F.col("s_suppkey").cast("int").alias("start_line"), (F.col("s_suppkey") + 5).cast("int").alias("end_line"))
+
+
+_SPANS = "s AS (SELECT 'm' || s_suppkey % 7 || '.c' AS path, 'f' || s_suppkey % 40 AS fn, s_suppkey AS start_line, s_suppkey + 5 AS end_line FROM supplier)"
+_query(
+    "function_lookup",
+    lambda r: review.looked_up(r("customer").select("c_custkey", F.expr("concat('m', c_custkey % 9, '.c')").alias("path"), F.expr("concat('f', c_custkey % 60)").alias("fn"), (F.col("c_custkey") % 120).cast("int").alias("line")), _spans(r)).select("c_custkey", "found_path", "found_fn"),
+    f"""WITH {_SPANS}, p AS (SELECT c_custkey, 'm' || c_custkey % 9 || '.c' AS path, 'f' || c_custkey % 60 AS fn, c_custkey % 120 AS line FROM customer),
+e AS (SELECT p.c_custkey, max_by(s.fn, (s.start_line, s.fn)) AS fn FROM p JOIN s ON s.path = p.path AND p.line BETWEEN s.start_line AND s.end_line GROUP BY ALL),
+n AS (SELECT fn, min_by(path, (path, start_line)) AS path FROM s GROUP BY fn), x AS (SELECT DISTINCT path, fn FROM s)
+SELECT p.c_custkey, CASE WHEN x.fn IS NOT NULL THEN p.path WHEN n.fn IS NOT NULL THEN n.path WHEN e.fn IS NOT NULL THEN p.path END AS found_path, coalesce(x.fn, n.fn, e.fn) AS found_fn
+FROM p LEFT JOIN x ON x.path = p.path AND x.fn = p.fn LEFT JOIN n ON n.fn = p.fn LEFT JOIN e USING (c_custkey)""",
+)
+_query(
+    "stages_folded",
+    lambda r: review.folded_stages(_stages(r).select(F.col("candidate_key").alias("work_id"), F.expr("array_position(array('compile', 'resource_consistency', 'semantic_equivalence', 'security_regression'), stage)").alias("ordinal"), "stage", "passed", F.array("stage").alias("logs"))).select("work_id", "passed", F.array_join("failed", ",").alias("failed"), F.size("logs").alias("logs")),
+    f"WITH {CANDIDATES}, {_STAGES_SQL} SELECT candidate_key AS work_id, bool_and(passed) AS passed, coalesce(string_agg(stage, ',' ORDER BY list_position(['compile', 'resource_consistency', 'semantic_equivalence', 'security_regression'], stage)) FILTER (WHERE NOT passed), '') AS failed, 4 AS logs FROM s GROUP BY ALL",
+)
+_query(
+    "candidates_folded",
+    lambda r: review.folded_candidates(_candidates(r).select(F.col("l_partkey").alias("work_id"), F.col("l_suppkey").alias("candidate"), (F.col("l_tax") < 0.01).alias("passed"), F.array("l_returnflag", "l_linestatus").alias("logs"))).select("work_id", "passed", F.array_join("messages", ";").alias("messages")),
+    f"""WITH {CANDIDATES} SELECT l_partkey AS work_id, bool_or(l_tax < 0.01) AS passed, coalesce(string_agg('candidate ' || l_suppkey || ': ' || l_returnflag || ';' || 'candidate ' || l_suppkey || ': ' || l_linestatus, ';' ORDER BY l_suppkey) FILTER (WHERE NOT l_tax < 0.01), '') AS messages FROM c GROUP BY l_partkey""",
+)
+_query(
+    "failure_reasons",
+    lambda r: r("events").select("event_id", review.failure_reason(F.expr("CASE event_type WHEN 'signup' THEN 'Patch does not apply' WHEN 'view' THEN 'unsafe API usage increased' WHEN 'click' THEN 'RATE_LIMIT; test failed' WHEN 'error' THEN 'return statement forms changed' ELSE 'fine' END")).alias("reason")),
+    "SELECT event_id, CASE event_type WHEN 'signup' THEN 'apply' WHEN 'view' THEN 'security' WHEN 'click' THEN 'model' WHEN 'error' THEN 'API' ELSE 'other' END AS reason FROM events",
+)
+_query(
+    "reviews_with_defaults",
+    lambda r: review.with_reviews(r("documents").select("doc_id", "source"), r("labels"), "doc_id", {"quality": -1, "toxic": -1}),
+    "SELECT doc_id, source, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
+)
+_query(
+    "candidate_numbers",
+    lambda r: review.numbered_candidates(_candidates(r), "l_partkey", ["l_extendedprice", "l_suppkey"]).select("l_partkey", "l_suppkey", "number"),
+    f"WITH {CANDIDATES} SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_suppkey)::INTEGER AS number FROM c",
+)

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelens.functions import scalars as S
-from codelens.operators import tables
+from codelens.operators import detect, review, tables
+from codelens.operators.lex import functions
 from codelens.plans import repair, scan
-from codelens.sources import records
+from codelens.sources import builds, records
 from codelens.streaming import merge
 
 
@@ -94,3 +96,49 @@ def test_stream_takes_each_item_once(spark, tmp_path):
     for _ in range(2):
         merge.merge_into(merge.result_stream(spark, str(tmp_path / "in")), out, check).awaitTermination(120)
     assert sorted(r.work_id for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_compile_database(spark, tmp_path):
+    (tmp_path / "compile_commands.json").write_text(json.dumps([{"directory": "/w", "file": "a.c", "command": "cc -Ix -DN='a b' -c a.c -o a.o -MF d"}, {"directory": "/w", "file": "/w/b.c", "arguments": ["cc", "-O2", "-oout", "/w/b.c"]}]))
+    got = {r.file: r.arguments for r in builds.compile_arguments(spark, str(tmp_path / "compile_commands.json")).collect()}
+    assert got == {"/w/a.c": ["-Ix", "-DN='a b'"], "/w/b.c": ["-O2"]}
+
+
+def test_paths_stay_inside(spark):
+    rows = spark.createDataFrame([("/p/a/../b.c",), ("/p/./c",)], "path string")
+    assert [r[0] for r in rows.select(builds.inside("/p", F.col("path"))).collect()] == ["/p/b.c", "/p/c"]
+    with pytest.raises(Exception, match="outside the project"):
+        spark.createDataFrame([("/p/../q",)], "path string").select(builds.inside("/p", F.col("path"))).collect()
+
+
+def test_cache_is_keyed_by_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.c").write_text("x")
+    files = lambda: spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    key = builds.fingerprint(files())
+    assert len(key) == 24 and key == builds.fingerprint(files()) != builds.fingerprint(files(), "other")
+    made = []
+    make = lambda: made.append(1) or spark.range(3).toDF("n")
+    for _ in range(2):
+        assert builds.cached(spark, str(tmp_path / "cache"), key, "t", make).count() == 3
+    assert made == [1]
+
+
+def test_nested_results(spark):
+    kind = "work_id string, stages map<string, struct<passed: boolean, stages: map<string, boolean>>>"
+    rows = spark.createDataFrame([("a", {"tests": (False, None), "compile": (True, None), "failure_taxonomy": (None, None), "candidate_1": (None, {"apply_patch": False, "tests": True})})], kind)
+    assert {tuple(r) for r in review.failed_stages(rows).collect()} == {("a", "tests"), ("a", "apply_patch")}
+
+
+def test_review_predicates(spark):
+    row = spark.range(1).select(
+        review.is_unsafe_review(F.lit(None).cast("boolean"), F.lit(True), F.lit(False)), review.is_unsafe_review(*[F.lit(None).cast("boolean")] * 3), review.is_false_accept(F.lit("incorrect"), F.lit(False)), review.is_false_accept(F.lit(None), F.lit(None).cast("boolean")),
+        review.is_model_error(F.lit("INSUFFICIENT_QUOTA")), review.is_model_error(F.lit(None).cast("string")), review.is_test_file(F.lit("src/tests/a.c")), review.is_test_file(F.lit("src/latest.c")),
+    ).first()
+    assert tuple(row) == (True, False, True, False, True, False, True, False)
+
+
+def test_resource_evidence(spark):
+    t = detect.Tables.of(functions(spark.createDataFrame([("a.c", "int f(char *p) {\n    free(p);\n" + "    x();\n" * 30 + "}")], "path string, content string")))
+    rows = t.lines.where("line IN (5, 30)").select("path", "fn", "ordinal", "line")
+    assert {r.line: r.near_resource for r in review.with_resource_evidence(rows, t.events).collect()} == {5: True, 30: False}
