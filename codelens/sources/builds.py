@@ -23,7 +23,7 @@ def compile_arguments(spark: SparkSession, path: str) -> DataFrame:
     before = F.concat(F.array(F.lit("")), rest)
     pairs = F.zip_with(rest, F.slice(before, 1, F.size(rest)), lambda x, b: F.struct(x.alias("x"), b.alias("b")))
     kept = F.filter(pairs, lambda p: ~p["x"].rlike(r"^(-c|-S|-E|-o.*|-M.*)$") & ~p["b"].isin("-o", "-MF", "-MT", "-MQ") & (p["x"] != F.col("source")))
-    absolute = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
+    absolute = F.when(F.col("source").startswith("/"), F.col("source")).otherwise(F.concat_ws("/", "directory", "source"))
     return rows.select(absolute.alias("file"), F.transform(kept, lambda p: p["x"]).alias("arguments"))
 
 
