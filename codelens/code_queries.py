@@ -28,8 +28,9 @@ def _tables(spark: SparkSession, sf_dir: str, keep: str = "TRUE") -> detect.Tabl
     return detect.Tables.of(_functions(spark, sf_dir, keep))
 
 
-def _query(name: str, of: Callable[[detect.Tables], DataFrame], sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: of(_tables(spark, sf_dir))
+def _query(name: str, of: Callable[[detect.Tables], DataFrame], sql: str, often: bool = False) -> None:
+    """``often``: lines are read by several branches of the plan, so they are parsed once and kept."""
+    QUERIES[name] = lambda spark, sf_dir: of(_tables(spark, sf_dir).keep() if often else _tables(spark, sf_dir))
     SQL[name] = f"WITH {lines_cte()}, {EVENTS_CTE} {sql}"
 
 
@@ -63,9 +64,13 @@ rets AS (SELECT *, max(line) OVER (PARTITION BY path, fn) AS final FROM code_lin
 _OUT = ["path", "fn", "line", "severity", "confidence", "description"]
 
 
+#: Detectors that read lines or events more than twice.
+MANY_BRANCHES = ["missing_release", "double_release", "early_return", "missing_cleanup_on_error", "duplicate_checks", "goto_redundant_error_block", "goto_single_use_label"]
+
+
 def _found(name: str, sql: str) -> None:
     """A detector as a query, severity as it is before gating."""
-    _query(name, lambda t, d=detect.DETECTORS[name]: d(t).select(*_OUT).distinct(), f"SELECT DISTINCT path, fn, line::INTEGER AS line, severity, confidence::DOUBLE AS confidence, description FROM ({sql})")
+    _query(name, lambda t, d=detect.DETECTORS[name]: d(t).select(*_OUT).distinct(), f"SELECT DISTINCT path, fn, line::INTEGER AS line, severity, confidence::DOUBLE AS confidence, description FROM ({sql})", often=name in MANY_BRANCHES)
 
 
 _query(
@@ -206,7 +211,7 @@ SELECT path, fn, variable AS resource, CASE kind WHEN 'alloc' THEN 'allocation f
   SELECT a.path, a.fn, a.variable, a.kind, r.line FROM (SELECT a.*, (SELECT min(e.line) FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind = a.wanted AND e.line > a.line) AS release FROM acq a) a JOIN rets r ON r.path = a.path AND r.fn = a.fn AND r.line > a.line
   WHERE (release IS NULL AND r.line <> r.final OR r.line < release)
     AND NOT EXISTS (FROM handed h WHERE h.path = a.path AND h.fn = a.fn AND h.variable = a.variable AND h.line > a.line AND h.line < r.line)
-    AND NOT EXISTS (FROM gotos g WHERE g.path = a.path AND g.fn = a.fn AND g.line > a.line AND g.line < r.line AND regexp_matches(lower(g.target), 'out|cleanup|err|fail'))) GROUP BY ALL""")
+    AND NOT EXISTS (FROM gotos g WHERE g.path = a.path AND g.fn = a.fn AND g.line > a.line AND g.line < r.line AND regexp_matches(lower(g.target), 'out|cleanup|err|fail'))) GROUP BY ALL""", often=True)
 _query("gated_by_path", lambda t: findings.weighed_by_path(findings.enriched(detect.unsafe_call(t).withColumn("detector_rank", F.lit(0)))).groupBy("severity", "confidence", "evidence", "verdict").agg(F.count(F.lit(1)).alias("n")), """
 SELECT CASE k WHEN 0 THEN 'medium' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'high' END AS severity, CASE k WHEN 0 THEN 0.72 WHEN 1 THEN 0.675 WHEN 2 THEN 0.585 ELSE 0.9 END::DOUBLE AS confidence,
   CASE WHEN k < 3 THEN 'medium' ELSE 'high' END AS evidence, CASE k WHEN 0 THEN 'likely' WHEN 1 THEN 'likely' WHEN 2 THEN 'unclear' ELSE 'true_positive' END AS verdict, count(*) AS n
@@ -229,9 +234,9 @@ d AS (SELECT path, fn, list(call ORDER BY line) AS v FROM (SELECT path, fn, rege
 SELECT path, fn, 'return statement forms changed' AS issue FROM a JOIN b USING (path, fn) WHERE a.r <> b.r
 UNION ALL SELECT path, fn, 'externally visible calls changed' FROM (SELECT DISTINCT path, fn FROM code_lines_b) x LEFT JOIN c USING (path, fn) LEFT JOIN d USING (path, fn) WHERE coalesce(c.v, []) <> coalesce(d.v, [])
 UNION ALL SELECT path, fn, 'function removed' FROM (SELECT DISTINCT path, fn FROM code_lines) x WHERE NOT EXISTS (FROM code_lines_b y WHERE y.path = x.path AND y.fn = x.fn)"""
-QUERIES["resource_regressions"] = lambda spark, sf_dir: validate.new_issues(validate.resource_issues(_tables(spark, sf_dir)), validate.resource_issues(_tables(spark, sf_dir, LATER)))
-QUERIES["security_changes"] = lambda spark, sf_dir: validate.security_issues(_tables(spark, sf_dir), _tables(spark, sf_dir, LATER))
-QUERIES["resource_issues"] = lambda spark, sf_dir: validate.resource_issues(_tables(spark, sf_dir))
+QUERIES["resource_regressions"] = lambda spark, sf_dir: validate.new_issues(validate.resource_issues(_tables(spark, sf_dir).keep()), validate.resource_issues(_tables(spark, sf_dir, LATER).keep()))
+QUERIES["security_changes"] = lambda spark, sf_dir: validate.security_issues(_tables(spark, sf_dir).keep(), _tables(spark, sf_dir, LATER).keep())
+QUERIES["resource_issues"] = lambda spark, sf_dir: validate.resource_issues(_tables(spark, sf_dir).keep())
 SQL["resource_issues"] = rf"""WITH {lines_cte()}, {EVENTS_CTE},
 n AS (SELECT a.*, (SELECT min(e.line) FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind = a.wanted AND e.line > a.line) AS release FROM acq a)
 SELECT path, fn, variable || ' acquired via ' || kind || ' at line ' || line || ' lacks matching ' || wanted AS issue FROM n WHERE release IS NULL
