@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -234,11 +235,55 @@ d AS (SELECT path, fn, list(call ORDER BY line) AS v FROM (SELECT path, fn, rege
 SELECT path, fn, 'return statement forms changed' AS issue FROM a JOIN b USING (path, fn) WHERE a.r <> b.r
 UNION ALL SELECT path, fn, 'externally visible calls changed' FROM (SELECT DISTINCT path, fn FROM code_lines_b) x LEFT JOIN c USING (path, fn) LEFT JOIN d USING (path, fn) WHERE coalesce(c.v, []) <> coalesce(d.v, [])
 UNION ALL SELECT path, fn, 'function removed' FROM (SELECT DISTINCT path, fn FROM code_lines) x WHERE NOT EXISTS (FROM code_lines_b y WHERE y.path = x.path AND y.fn = x.fn)"""
+QUERIES["resource_issues"] = lambda spark, sf_dir: validate.resource_issues(_tables(spark, sf_dir).keep())
 QUERIES["resource_regressions"] = lambda spark, sf_dir: validate.new_issues(validate.resource_issues(_tables(spark, sf_dir).keep()), validate.resource_issues(_tables(spark, sf_dir, LATER).keep()))
 QUERIES["security_changes"] = lambda spark, sf_dir: validate.security_issues(_tables(spark, sf_dir).keep(), _tables(spark, sf_dir, LATER).keep())
-QUERIES["resource_issues"] = lambda spark, sf_dir: validate.resource_issues(_tables(spark, sf_dir).keep())
-SQL["resource_issues"] = rf"""WITH {lines_cte()}, {EVENTS_CTE},
-n AS (SELECT a.*, (SELECT min(e.line) FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind = a.wanted AND e.line > a.line) AS release FROM acq a)
-SELECT path, fn, variable || ' acquired via ' || kind || ' at line ' || line || ' lacks matching ' || wanted AS issue FROM n WHERE release IS NULL
-UNION ALL SELECT n.path, n.fn, 'early return at line ' || r.line || ' may bypass cleanup of ' || variable || ' acquired at line ' || n.line || ': ' || r.stmt FROM n JOIN rets r ON r.path = n.path AND r.fn = n.fn AND r.line > n.line WHERE kind IN ('alloc', 'lock') AND (release IS NULL AND r.line <> r.final OR r.line < release)
-UNION ALL SELECT path, fn, 'obvious double ' || kind || ' of ' || variable || ' at lines ' || string_agg(line::VARCHAR, ', ' ORDER BY line) FROM ev WHERE kind IN ('free', 'close', 'unlock') GROUP BY path, fn, kind, variable HAVING count(*) > 1"""
+
+_ISSUES_CTE = r"""
+n AS (SELECT a.*, (SELECT min(e.line) FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind = a.wanted AND e.line > a.line) AS release FROM acq a),
+issues AS (SELECT path, fn, variable || ' acquired via ' || kind || ' at line ' || line || ' lacks matching ' || wanted AS issue FROM n WHERE release IS NULL
+UNION ALL SELECT q.path, q.fn, 'early return at line ' || r.line || ' may bypass cleanup of ' || variable || ' acquired at line ' || q.line || ': ' || r.stmt FROM n q JOIN rets r ON r.path = q.path AND r.fn = q.fn AND r.line > q.line WHERE kind IN ('alloc', 'lock') AND (release IS NULL AND r.line <> r.final OR r.line < release)
+UNION ALL SELECT path, fn, 'obvious double ' || kind || ' of ' || variable || ' at lines ' || string_agg(line::VARCHAR, ', ' ORDER BY line) FROM ev WHERE kind IN ('free', 'close', 'unlock') GROUP BY path, fn, kind, variable HAVING count(*) > 1)
+"""
+
+
+def _version(keep: str, suffix: str) -> str:
+    """All CTEs up to issues, for the rows that ``keep`` lets through, the tables' names with a suffix."""
+    text = lines_cte(keep, suffix) + ", " + EVENTS_CTE + ", " + _ISSUES_CTE
+    tables = ["c0", "calls", "ev", "acq", "handed", "gotos", "marked", "labels", "inside", "blocks", "clean", "rets", "issues", "n", "code_lines"]
+    for t in tables:
+        text = re.sub(rf"(?m)(FROM |JOIN |^){t}(?=[ ),\n])", rf"\g<1>{t}{suffix}", text)
+    return text
+
+
+SQL["resource_issues"] = f"WITH {_version('TRUE', '')} SELECT * FROM issues"
+SQL["resource_regressions"] = f"WITH {_version('TRUE', '')}, {_version(LATER, '_b')} SELECT * FROM issues_b WHERE (path, fn, issue) NOT IN (SELECT path, fn, issue FROM issues)"
+
+
+_COUNTS_CTE = r"""
+c1 AS (SELECT *, row_number() OVER (PARTITION BY path, fn ORDER BY line) AS i FROM c0),
+unchecked AS (SELECT a.path, a.fn, a.line FROM c1 a WHERE acall IN ('malloc', 'fopen')
+  AND coalesce((SELECT min(l.i) FROM c1 l WHERE l.path = a.path AND l.fn = a.fn AND l.i BETWEEN a.i + 1 AND a.i + 5 AND regexp_matches(l.stmt, '\bif\s*\(\s*!\s*' || a.avar || '\b')), 1000000)
+    > coalesce((SELECT min(l.i) FROM c1 l WHERE l.path = a.path AND l.fn = a.fn AND l.i BETWEEN a.i + 1 AND a.i + 5 AND regexp_matches(l.stmt, '\b' || a.avar || '\s*=')), 999999)),
+bypassed AS (SELECT a.path, a.fn, a.line FROM (SELECT DISTINCT path, fn, variable, line FROM acq) a JOIN rets r ON r.path = a.path AND r.fn = a.fn AND r.line > a.line WHERE regexp_matches(lower(r.stmt), '-1|null|false|err')
+  AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind IN ('free', 'close', 'unlock') AND e.line > a.line AND e.line < r.line)
+  AND NOT EXISTS (SELECT 1 FROM gotos g WHERE g.path = a.path AND g.fn = a.fn AND g.line > a.line AND g.line < r.line AND regexp_matches(lower(g.target), 'cleanup|out|err|fail'))),
+tallies AS (SELECT path, fn, count(*) FILTER (WHERE stmt IN ('if (!p)', 'if (!q)')) AS null_checks, count(*) FILTER (WHERE stmt = 'if (n < len)') AS bounds_checks, max((stmt = 'strcpy(d, s);')::INTEGER) AS unsafe FROM code_lines GROUP BY path, fn),
+counts AS (SELECT t.*, (SELECT count(*) FROM ev e WHERE e.path = t.path AND e.fn = t.fn AND e.kind IN ('free', 'close', 'unlock')) AS releases,
+  (SELECT count(*) FROM unchecked u WHERE u.path = t.path AND u.fn = t.fn) AS unchecked_return_value, (SELECT count(*) FROM bypassed b WHERE b.path = t.path AND b.fn = t.fn) AS missing_cleanup_on_error_path FROM tallies t)
+"""
+
+
+def _counted(keep: str, suffix: str) -> str:
+    text = _version(keep, suffix) + ", " + re.sub(r"(?m)(FROM |JOIN |^)(c0|c1|ev|acq|rets|gotos|code_lines)(?=[ ),\n])", rf"\g<1>\g<2>{suffix}", _COUNTS_CTE)
+    for t in ("c1", "unchecked", "bypassed", "tallies", "counts"):
+        text = re.sub(rf"(?m)(FROM |JOIN |^){t}(?=[ ),\n])", rf"\g<1>{t}{suffix}", text)
+    return text
+
+
+_PAIRED = "SELECT a.path, a.fn, unnest([" + ", ".join(
+    [f"CASE WHEN b.{c} < a.{c} THEN '{c} decreased from ' || a.{c} || ' to ' || b.{c} END" for c in ("null_checks", "bounds_checks", "releases")]
+    + [f"CASE WHEN b.{c} > a.{c} THEN '{c} increased from ' || a.{c} || ' to ' || b.{c} END" for c in ("unchecked_return_value", "missing_cleanup_on_error_path")]
+    + ["CASE WHEN b.unsafe > a.unsafe THEN 'unsafe API usage increased' END"]
+) + "]) AS issue FROM counts a JOIN counts_b b ON b.path = a.path AND b.fn = a.fn"
+SQL["security_changes"] = f"WITH {_counted('TRUE', '')}, {_counted(LATER, '_b')}, paired AS ({_PAIRED}) SELECT * FROM paired WHERE issue IS NOT NULL"

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelens.functions import scalars as S
-from codelens.operators import detect, review, tables
+from codelens.operators import detect, findings, review, tables
 from codelens.operators.lex import functions
 from codelens.plans import repair, scan
-from codelens.sources import builds, records
+from codelens.sources import builds, corpus, records
 from codelens.streaming import merge
 
 
@@ -142,3 +142,19 @@ def test_resource_evidence(spark):
     t = detect.Tables.of(functions(spark.createDataFrame([("a.c", "int f(char *p) {\n    free(p);\n" + "    x();\n" * 30 + "}")], "path string, content string")))
     rows = t.lines.where("line IN (5, 30)").select("path", "fn", "ordinal", "line")
     assert {r.line: r.near_resource for r in review.with_resource_evidence(rows, t.events).collect()} == {5: True, 30: False}
+
+
+def test_languages_and_build_files(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for name in ("Makefile", "b/Makefile", "b/compile_commands.json", "x.c"):
+        (tmp_path / name).write_text("x")
+    got = {r.name: r.files for r in corpus.build_files(spark, str(tmp_path)).collect()}
+    assert got == {"Makefile": 2, "compile_commands.json": 1}
+    rows = spark.createDataFrame([("a.C",), ("a.hpp",), ("a.py",), ("a.h",)], "path string")
+    assert [r[0] for r in rows.select(corpus.language()).collect()] == ["c", "cpp", "unknown", "c"]
+
+
+def test_report_numbers_follow_the_ranking(spark):
+    rows = [("p", "f", 0, "k", line, sev, conf, f"d{line}", str(line)) for line, sev, conf in [(1, "low", 0.9), (2, "critical", 0.5), (3, "high", 0.7), (4, "high", 0.8)]]
+    found = spark.createDataFrame(rows, "path string, fn string, ordinal int, kind string, line int, severity string, confidence double, description string, id string")
+    assert {r.line: r.report_index for r in findings.numbered(found).collect()} == {2: 1, 4: 2, 3: 3, 1: 4}
