@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shingles import mix, shingle_sets
+from .shingles import mix, shingle_sets, tidy
 from .storage import materialise
 
 #: Minhashes of a set, those by which it looks for the centre of a cluster, and those it must have in common with one to be compared.
 HASHES, LOOKED_UP, AGREED = 8, 2, 4
 #: Shingles that are counted together; those that FREQUENT sets of such a stretch have are common.
-STRETCH, FREQUENT = 4_000_000, 2
+STRETCH, FREQUENT = 2_000_000, 2
 #: Common shingles told apart by their counts, at most (8 MB); the order of the others is that of their hashes. Only the work depends on it.
 ORDERED = 1 << 19
 #: Cells of a set's outline: how many of its shingles fall in each. A set too large for one byte a cell has none.
@@ -219,7 +219,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, outlines: DataFrame, width: int
     pairs = materialise(seen.mapInArrow(_not_ruled_out(percent), "a long, na long, b long, nb long"), "open")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(_filter_bits(ids))
-    sets = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_asked_sets(width, wanted), "id long, shingles binary")
+    sets = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(tidy(_asked_sets(width, wanted)), "id long, shingles binary")
     sets = materialise(sets, "sets")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
     common = both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
@@ -248,7 +248,7 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     minhashes = [f"m{k}" for k in range(HASHES)]
-    signed = materialise(docs.select("id", "text").mapInArrow(_signatures(width), "id long, n long, k1 long, k2 long, " + ", ".join(f"{m} long" for m in minhashes) + ", outline binary"), "signatures")
+    signed = materialise(docs.select("id", "text").mapInArrow(tidy(_signatures(width)), "id long, n long, k1 long, k2 long, " + ", ".join(f"{m} long" for m in minhashes) + ", outline binary"), "signatures")
     keyed = docs.where("id IS NOT NULL")
     real = signed.where("n > 0 AND id IS NOT NULL")
 
@@ -258,14 +258,14 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     member = materialise(real.select("id", "n", "k1", "k2").distinct().join(classes.select("n", "k1", "k2", F.col("id").alias("class")), ["n", "k1", "k2"]).select("id", "class", "n"), "members")
 
     # the order of shingles: common ones last
-    common = docs.select("text").mapInArrow(_common(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    common = docs.select("text").mapInArrow(tidy(_common(width)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = common.orderBy(F.desc("n"), "token").limit(ORDERED).toArrow()
     tokens, counts = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
     by_token = np.argsort(tokens)
     order = spark.sparkContext.broadcast((tokens[by_token], counts[by_token]))
 
     # 3a. prefixes, and of them the shingles that several classes have
-    posted = keyed.mapInArrow(_postings(width, percent, order), "token long, id long, n int, pos int")
+    posted = keyed.mapInArrow(tidy(_postings(width, percent, order)), "token long, id long, n int, pos int")
     shared = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, "token long, id long, n int, pos int")
     shared = shared.join(member.select("id", "class"), "id").groupBy("token", "class").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
     shared = materialise(shared, "index")
