@@ -41,3 +41,16 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_hunks_and_functions_of_all_orders(spark, tmp_path):
+    items = [(order, 1 + (order * 3 + n) % 40, n) for order in range(1, 61) for n in range(1, 4)]
+    suppliers = [(k, f"f{k}") for k in range(1, 46)]
+    spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    hunks = {(o, f"src/m{o % 7}.c", s, s + n - 1, s + 1, s + 1) for o, s, n in items}
+    touched = {(o, f"/p/src/m{o % 7}.c", name) for o, s, _ in items for k, name in suppliers if k % 7 == o % 7 and k <= s + 1 <= k + 5}
+    assert {o for o, *_ in touched} - {o for o in range(0, 61, 10)}
+    for name, want in (("all_diff_hunks", hunks), ("all_touched_functions", touched)):
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(want) and set(got) == want, name
