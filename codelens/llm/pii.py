@@ -93,10 +93,10 @@ def _terms(line: Column) -> Column:
 def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(term, kind, entity, together, entity_lines, term_lines, ratio): terms that reveal entities of the corpus.
 
-    A line with an entity is a context of it; equal lines are one context,
-    so copies of a document prove nothing. With N lines in all, e contexts
-    of the entity, t lines (copies too) with the term and b contexts with
-    both, the information of the entity is log2(N/e), that of the pair
+    A line with an entity is a context of it. Equal lines are one in every
+    count, so copies of a document neither prove nor hide anything. With N
+    different lines in all, e contexts of the entity, t lines with the term
+    and b contexts with both, the information of the entity is log2(N/e), that of the pair
     log2(b*N/(e*t)), and ``ratio`` the second over the first: 1 for a term
     that stands where the entity does and nowhere else. Terms that reach
     ``disclosure`` over at least ``support`` contexts are returned.
@@ -113,8 +113,9 @@ def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DIS
     pairs = contexts.join(strong, ["kind", "entity"]).select("kind", "entity", "entity_lines", F.explode(_terms(F.col("rest"))).alias("term"))
     pairs = pairs.groupBy("kind", "entity", "entity_lines", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
     pairs = materialise(pairs, "pairs")
-    counts = lines.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
-    total = lines.agg(F.count(F.lit(1)).alias("n"))
+    different = lines.distinct()
+    counts = different.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
+    total = different.agg(F.count(F.lit(1)).alias("n"))
     rated = pairs.join(counts, "term").join(F.broadcast(total)).withColumn("ratio", F.log2(F.col("together") * F.col("n") / (F.col("entity_lines") * F.col("term_lines"))) / F.log2(F.col("n") / F.col("entity_lines")))
     return rated.where(F.col("ratio") >= disclosure).select("term", "kind", "entity", "together", "entity_lines", "term_lines", "ratio")
 

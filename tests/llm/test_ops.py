@@ -86,6 +86,14 @@ def test_copies_prove_nothing(spark):
     assert pii.revealing_terms(docs).count() == 0
 
 
+def test_copies_hide_nothing(spark):
+    rows = [(k, f"agent zorblax case{k % 8} at spy@evil.example.org") for k in range(800)] + [(1000 + k, f"plain line {k}") for k in range(1000)] + [(3000 + k, "plain line again") for k in range(500)]
+    found = {r.term: r for r in pii.revealing_terms(_documents(spark, rows)).collect()}
+    r = found["zorblax"]
+    assert (r.together, r.entity_lines, r.term_lines) == (8, 8, 8) and r.ratio == pytest.approx(1.0)
+    assert "plain" not in found and "case1" not in found
+
+
 def test_pii_on_odd_rows(spark):
     got = pii.find_pii(_documents(spark))
     assert got.count() == len(ODD) and got.where(F.size("pii_spans") > 0).count() == 0
