@@ -58,6 +58,22 @@ def _signature_start(clear: str, paren: int) -> int:
     return start
 
 
+def _last_before(clear: str, at: int) -> int:
+    """Place of the last character before ``at`` that isn't white space, -1 if there is none."""
+    at -= 1
+    while at >= 0 and clear[at].isspace():
+        at -= 1
+    return at
+
+
+def _name_start(clear: str, paren: int) -> int:
+    """Where the run of name characters and colons before the parameters begins."""
+    at = _last_before(clear, paren)
+    while at >= 0 and (clear[at].isascii() and clear[at].isalnum() or clear[at] in "_~:"):
+        at -= 1
+    return at + 1
+
+
 def functions_in(text: str) -> Iterator[tuple]:
     """(name, start line, line of the brace, end line, signature, body, masked body) of each function, in order."""
     clear = masked(text)
@@ -66,11 +82,10 @@ def functions_in(text: str) -> Iterator[tuple]:
     at = clear.find("{")
     while at >= 0:
         follow = at + 1
-        head = clear[:at].rstrip() if at < 512 else clear[at - 512 : at].rstrip()
-        close = at - (min(at, 512) - len(head)) - 1
-        if head.endswith(")") and close in partner and at in partner:
+        close = _last_before(clear, at)
+        if close >= 0 and clear[close] == ")" and close in partner and at in partner:
             paren = partner[close]
-            name = _NAME.search(clear, max(0, paren - 512), paren)
+            name = _NAME.search(clear, _name_start(clear, paren), paren)
             start = _signature_start(clear, paren)
             signature = " ".join(text[start:at].split())
             if name and signature and "=" not in signature.split("(", 1)[0] and name[1].split("::")[-1] not in vocab.CONTROL_KEYWORDS:

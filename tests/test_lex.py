@@ -49,3 +49,9 @@ def test_files_with_nulls_and_same_names(spark):
     files = spark.createDataFrame([("a.c", "int f(void) { g(); }\nint f(int x) { return x; }"), ("b.c", "int f(void) { }"), ("c.c", None), ("d.c", "")], "path string, content string")
     got = functions(files).select("path", "fn", "ordinal").orderBy("path", "ordinal").collect()
     assert [tuple(r) for r in got] == [("a.c", "f", 0), ("a.c", "f", 1), ("b.c", "f", 0)]
+
+
+@pytest.mark.parametrize("gap", [" " * 2000, "/* " + "c" * 2000 + " */", "// c\n" * 300])
+def test_functions_with_long_gaps(gap):
+    found = list(functions_in(f"int f(int a) {gap}\n{{ return a; }}\nint g {gap}\n(int b)\n{{ return b; }}\nint {'h' * 700}(void) {{ }}"))
+    assert [f[0] for f in found] == ["f", "g", "h" * 700]
