@@ -11,6 +11,7 @@ by class, id or role) are bad from the start.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +32,19 @@ ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A start tag for these ends what its element can't stand in, (elements, not beyond these): HTML lets those end tags be left out.
+_CELLS = ("td", "th")
+_ROWS = ("tr", *_CELLS)
+ENDS = {
+    "p": (("p",), ("article", "main", "section", "div", "body", "td", "li", "blockquote")),
+    "li": (("li",), ("ul", "ol", "menu", "dl", "table", "article", "main", "section", "blockquote", "body")),
+    **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl", "ul", "ol", "menu", "table", "article", "main", "section", "blockquote", "body"))),
+    **dict.fromkeys(_CELLS, (_CELLS, ("table", "tr"))),
+    "tr": (_ROWS, ("table",)),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot", *_ROWS), ("table",))),
+    "option": (("option",), ("select", "optgroup", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An end tag for these closes what is still open inside them.
 NAMED_ASIDE = re.compile(
@@ -49,6 +63,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[list] = []  # text, characters in links, heading, named as aside, inside article or main
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, aside, article
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag in open, in order
         self.text: list[str] = []
         self.linked = self.links = self.silent = self.aside = self.article = 0
         self.heading = False
@@ -62,8 +77,8 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.cut()
-            if tag == "p":
-                self.shut("p", ("article", "main", "section", "div", "body", "td", "li", "blockquote"))
+        if tag in ENDS:
+            self.shut(*ENDS[tag])
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
@@ -75,6 +90,7 @@ class _Blocks(HTMLParser):
         if tag == "header" and self.article and not NAMED_ASIDE.search(about.replace("header", "")) and not hidden:
             aside = False  # an article's own head holds its title
         article = tag in ("article", "main") or (named.get("role") or "").lower() == "main"
+        self.places[tag].append(len(self.open))
         self.open.append((tag, tag in SILENT, aside, article))
         self.silent += tag in SILENT
         self.aside += aside
@@ -83,19 +99,24 @@ class _Blocks(HTMLParser):
         if tag in HEADINGS:
             self.heading = True
 
-    def shut(self, tag: str, until: tuple[str, ...] = ()) -> None:
-        for at in range(len(self.open) - 1, max(-1, len(self.open) - 512), -1):
-            if self.open[at][0] == tag:
-                break
-            if self.open[at][0] in until:
-                return
-        else:
+    def last(self, tag: str) -> int:
+        """Where the innermost element of that name is open, -1 if none is."""
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def shut(self, tags: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
+        """Close the innermost open elements of these names, and all inside them, unless one of ``until`` is open further in."""
+        edge = max(map(self.last, until), default=-1)
+        found = [at for at in map(self.last, tags) if at > edge]
+        if not found:
             return
+        at = min(found)
         for name, silent, aside, article in self.open[at:]:
             self.silent -= silent
             self.aside -= aside
             self.article -= article
             self.links -= name == "a"
+            self.places[name].pop()
         del self.open[at:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -106,7 +127,7 @@ class _Blocks(HTMLParser):
             self.cut()
         if tag in HEADINGS:
             self.heading = False
-        self.shut(tag)
+        self.shut((tag,))
 
     def handle_data(self, data: str) -> None:
         if self.silent:

@@ -128,6 +128,19 @@ def test_pages_of_the_table_keep_their_article(spark):
         assert r.text == "\n".join(html.unescape(b) for b in blocks if b) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("items", ["<nav><ul>{li}</ul></nav>", "<form><select>{option}</select></form>", "<nav><table>{tr}</table></nav>", "<nav><dl>{dt}</dl></nav>", "<nav>{div}</nav>"])
+def test_long_lists_without_end_tags_end(items):
+    filled = items.format(li="<li>one" * 700, option="<option>one" * 700, tr="<tr><td>one<td>two" * 700, dt="<dt>one<dd>two" * 700, div="<div>" * 700)
+    text = "This is the text of the page that you came for, and it is as long as it has to be for that."
+    assert html_text.main_text(f"<body>{filled}<article><p>{text}</p></article></body>") == text
+
+
+def test_elements_close_what_stands_open():
+    long = "This is the text of a page that has a lot of words in it, and it goes on for as long as it has to, so that the rules can see that it is what the reader came for. " * 2
+    page = f"<ul><li class=share>{long}<li>{long}<ol><li hidden>{long}<li>{long}</ol></ul><table><tr><td class=ad>{long}<td>{long}<table><tr hidden><td>{long}<tr><td>{long}</table><tr><td>{long}</table>"
+    assert html_text.main_text(page).split("\n") == [long.strip()] * 5
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "</div></div>", "<script>", "&#xZZ;", "<p>" * 3000, "<div>" * 3000 + "x"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
