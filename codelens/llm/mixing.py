@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_total
@@ -46,8 +46,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return listed.select("source", "source_size", "target", F.floor("target").cast("long").alias("goal"), "slope")
 
 
+def _place(asked: Column) -> Column:
+    """Where the source's schedule (``slope``) has asked for the share ``asked`` of its words."""
+    s = F.col("slope")
+    return ((s - 1.0) + F.sqrt((1.0 - s) * (1.0 - s) + 4.0 * s * asked)) / (2.0 * s)
+
+
 def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slopes: tuple[float, ...] = SLOPES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target, taken and position.
+    """``docs`` with size, done, source_size, target, goal, slope, taken and position.
 
     ``taken`` words of each document go into the mix. All of a source's
     documents are taken as often as its goal holds its size; in order of
@@ -56,7 +62,8 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     word short, and no document more than ``cap`` times its size.
     ``position`` from 0 to 1 is where the document first stands in training:
     the place at which its source's integrated schedule has asked for the
-    words up to the document's middle. Null where nothing is taken.
+    words up to the document's middle. Null where nothing is taken. ``done``
+    words of the source come before the document in each pass over it.
 
     Null texts have size 0 and are never taken; a null source is a source.
     Rows with the same key follow each other by size; equal rows are
@@ -64,28 +71,28 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     """
     sized = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long")), "__md5": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))})
     targets = source_targets(sized.select(F.col(source).alias("source"), "size"), weights, cap, slopes).withColumnRenamed("source", "__source")
-    sized = sized.drop("source_size", "target", "taken", "position", "goal", "slope", "__before")
-    placed = running_total(sized, [source], "__md5", "size", "__done", ties=[F.col("size")])
+    sized = sized.drop("source_size", "target", "taken", "position", "goal", "slope", "done", "__before")
+    placed = running_total(sized, [source], "__md5", "size", "done", ties=[F.col("size")])
     placed = placed.join(targets, F.col(source).eqNullSafe(F.col("__source")))
     whole = F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0))
     rest = F.col("goal") - whole * F.col("source_size")
-    placed = placed.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("__done"), F.col("size"))))
-    asked = (F.col("__done").cast("double") + F.least("size", "taken").cast("double") / 2.0) / F.col("goal").cast("double")
-    s = F.col("slope")
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, ((s - 1.0) + F.sqrt((1.0 - s) * (1.0 - s) + 4.0 * s * asked)) / (2.0 * s)))
-    return placed.drop("__md5", "__done", "__source", "goal", "slope")
+    placed = placed.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("done"), F.col("size"))))
+    asked = (F.col("done").cast("double") + F.least("size", "taken").cast("double") / 2.0) / F.col("goal").cast("double")
+    placed = placed.withColumn("position", F.when(F.col("taken") > 0, _place(asked)))
+    return placed.drop("__md5", "__source")
 
 
 def training_order(allocated: DataFrame, partitions: int | None = None) -> DataFrame:
     """A row for each time that a document is read, range-sorted by position, with copy (from 0) and copy_words.
 
     ``allocated`` is a result of ``allocate``. A document that isn't taken
-    has no row. Copies after the first follow at equal distances up to the
-    end, which keeps every pass over the source apart.
+    has no row. Each copy stands where the source's integrated schedule has
+    asked for the passes before it and for the words up to its own middle;
+    so the passes follow each other and all of the run has its share.
     """
     copies = F.expr("CASE WHEN taken > 0 THEN sequence(0L, (taken + size - 1) div size - 1) ELSE array() END")
     rows = allocated.withColumn("copy", F.explode(copies))
     rows = rows.withColumn("copy_words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
-    times = F.expr("(taken + size - 1) div size")
-    rows = rows.withColumn("position", F.col("position") + (1.0 - F.col("position")) * F.col("copy") / times)
+    before = (F.col("copy") * F.col("source_size") + F.col("done")).cast("double")
+    rows = rows.withColumn("position", _place((before + F.col("copy_words").cast("double") / 2.0) / F.col("goal").cast("double"))).drop("done", "goal", "slope")
     return (rows.repartitionByRange(partitions, "position") if partitions else rows.repartitionByRange("position")).sortWithinPartitions("position")

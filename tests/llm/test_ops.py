@@ -195,6 +195,19 @@ def test_training_order_repeats_documents(spark):
         assert sum(x.copy_words for x in rows if x.doc_id == r.doc_id) == r.taken
 
 
+def test_every_reading_follows_the_schedule(spark):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 5), "s") for k in range(40)] + [(k, "x " * 40, "t") for k in range(40, 80)], "doc_id long, text string, source string")
+    rows = mixing.training_order(mixing.allocate(docs, weights=(3, 1))).collect()
+    assert max(r.copy for r in rows) == 2
+    for source, slope in (("s", mixing.SLOPES[0]), ("t", mixing.SLOPES[1])):
+        own = [r for r in rows if r.source == source]
+        goal, done = sum(r.copy_words for r in own), 0
+        for r in sorted(own, key=lambda r: (r.copy, r.position)):
+            asked = (done + r.copy_words / 2) / goal
+            assert r.position * (1 - slope) + slope * r.position**2 == pytest.approx(asked)
+            done += r.copy_words
+
+
 def test_mixing_nothing(spark):
     assert mixing.allocate(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     empty = mixing.allocate(spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")).collect()
