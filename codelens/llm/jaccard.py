@@ -13,7 +13,7 @@ Sets are ordered lists of 64-bit shingle hashes. The steps:
 4. What is left is verified on whole sets, and links are joined into components.
 
 Steps 1 and 2 only save work: step 3 loses no pair that isn't in one
-component already. Two different shingles of one corpus share a hash, and two
+component already. ``link_counts`` looks at the pairs inside clusters, too. Two different shingles of one corpus share a hash, and two
 different sets both their 64-bit sums, with a chance of about n*n/2**65.
 """
 
@@ -232,19 +232,8 @@ def _reachable(n: str, m: str, p: str, q: str, percent: int) -> Column:
     return F.expr(f"100 * {m} >= {percent} * {n}") & F.expr(f"100 * {n} >= {percent} * {m}") & (F.least(F.expr(f"{n} - {p}"), F.expr(f"{m} - {q}")) >= least)
 
 
-def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, links, component_id) for each row of ``docs``.
-
-    Two rows link when 100 * |intersection| >= percent * |union| of their
-    distinct ``width``-word shingles. ``component_id`` is the smallest key
-    that links reach. ``links`` is true where the row links with any other.
-    Null and empty texts, and those of white space only, have no shingles
-    and no links; one with fewer words than ``width`` is one shingle. Rows
-    that repeat a key count as rows of their own in every result, and the
-    first text stands for the key in links. Keys are whole numbers; rows
-    with a null key are returned with component null and link with nothing.
-    Other columns are left out.
-    """
+def _linked(docs: DataFrame, width: int, percent: int, key: str, text: str, inside: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the class of each set (id, class, n), and links (a, b) of classes: all if ``inside``, else enough to join each component."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     minhashes = [f"m{k}" for k in range(HASHES)]
@@ -296,9 +285,34 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     pairs = left.join(index.select("token", F.col("cluster").alias("cy"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), ["token", "cy"])
     pairs = materialise(pairs.where(_reachable("na", "nb", "pa", "pb", percent)).select("a", F.col("na").cast("long").alias("na"), "b", F.col("nb").cast("long").alias("nb")).distinct(), "candidates")
 
-    # 4. verify, and join
-    more = _verified(keyed, pairs, outlines, width, percent)
-    grouped = connected_components(linked.union(more), "a", "b")
+    # 4. verify
+    more = linked.union(_verified(keyed, pairs, outlines, width, percent))
+    if not inside:
+        return signed, member, more
+
+    # 5. the pairs inside clusters that the stars left out
+    own = index.join(cluster.select("component").distinct().toDF("cluster"), "cluster", "left_semi")
+    x, y = (own.select("token", "cluster", F.col("class").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("pos").alias(f"p{c}")) for c in "ab")
+    pairs = x.join(y, ["token", "cluster"]).where(F.col("a") < F.col("b")).where(_reachable("na", "nb", "pa", "pb", percent)).select("a", "na", "b", "nb").distinct()
+    pairs = materialise(pairs.join(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "inside")
+    return signed, member, more.union(_verified(keyed, pairs, outlines, width, percent))
+
+
+def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, links, component_id) for each row of ``docs``.
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their
+    distinct ``width``-word shingles. ``component_id`` is the smallest key
+    that links reach. ``links`` is true where the row links with any other.
+    Null and empty texts, and those of white space only, have no shingles
+    and no links; one with fewer words than ``width`` is one shingle. Rows
+    that repeat a key count as rows of their own in every result, and the
+    first text stands for the key in links. Keys are whole numbers; rows
+    with a null key are returned with component null and link with nothing.
+    Other columns are left out.
+    """
+    signed, member, found = _linked(docs, width, percent, key, text, inside=False)
+    grouped = connected_components(found, "a", "b")
     # a class's component starts from its smallest key
     home = member.join(grouped.select(F.col("node").alias("class"), "component"), "class", "left").select("id", F.coalesce("component", "class").alias("component_id"))
     home = home.groupBy("id").agg(F.min("component_id").alias("component_id"))
@@ -307,3 +321,22 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     links = sizes.join(copies, "class").groupBy("id").agg(F.max(F.coalesce("other", F.lit(False)) | (F.col("copies") > 1)).alias("links"))
     result = signed.select("id", F.col("n").alias("n_shingles")).join(home, "id", "left").join(links, "id", "left")
     return result.select(F.col("id").alias(key), "n_shingles", F.coalesce("links", F.lit(False)).alias("links"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def link_counts(docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, n_links) for each row of ``docs``: with how many other rows it links, as ``similar_sets`` says.
+
+    Equal sets are looked at once and count as often as they stand in
+    ``docs``. All pairs of different sets are verified, those inside a
+    cluster too; so the work grows with the number of links. Keys should not
+    repeat with different texts.
+    """
+    signed, member, found = _linked(docs, width, percent, key, text, inside=True)
+    rows = signed.where("n > 0 AND id IS NOT NULL").join(member.select("id", "n", "class"), ["id", "n"])
+    copies = rows.groupBy("class").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = pairs.union(pairs.select("b", "a")).toDF("class", "other").join(copies.toDF("other", "n_other"), "other")
+    others = ends.groupBy("class").agg(F.sum("n_other").alias("others"))
+    per_class = copies.join(others, "class", "left").select("class", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    per_key = member.join(per_class, "class").groupBy("id").agg(F.max("n_links").alias("n_links"))
+    return signed.select("id", F.col("n").alias("n_shingles")).join(per_key, "id", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"))

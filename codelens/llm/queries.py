@@ -11,7 +11,7 @@ from .chat import format_preferences, stale_replies
 from .chat import written as spans_written
 from .decontaminate import find_passages
 from .html_text import extract_text
-from .jaccard import similar_sets
+from .jaccard import link_counts, similar_sets
 from .media import media_columns
 from .mixing import allocate
 from .pii import PATTERNS, find_pii, written
@@ -53,6 +53,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), with_media=False)
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op6_link_counts": op6_link_counts,
     "op7_media_columns": op7_media_columns,
     "op8_token_counts": op8_token_counts,
     "op9_preferences": op9_preferences,

@@ -347,6 +347,26 @@ def test_groups_equal_brute_force(spark, seed, width, percent):
     assert got == _plain_groups(rows, width, percent)
 
 
+@pytest.mark.parametrize(("seed", "width", "percent"), [(0, 4, 85), (1, 2, 60)])
+def test_link_counts_equal_brute_force(spark, seed, width, percent):
+    rnd = random.Random(seed)
+    word = lambda: f"w{rnd.randint(0, 300)}"
+    bases = [[word() for _ in range(rnd.randint(20, 120))] for _ in range(6)]
+    rows = [(0, None), (1, " "), (2, "one"), (3, "ONE"), (4, "one two")]
+    for k in range(5, 200):
+        w = list(rnd.choice(bases))
+        for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((k, " ".join(w)))
+    sets = {}
+    for k, t in rows:
+        w = (t or "").lower().split()
+        sets[k] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    want = {k: (len(x), sum(k != o and bool(x) and 100 * len(x & y) >= percent * len(x | y) for o, y in sets.items())) for k, x in sets.items()}
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard.link_counts(_documents(spark, rows).repartition(5), width, percent).collect()}
+    assert got == want and max(n for _, n in want.values()) > 10
+
+
 def test_join_on_odd_rows(spark):
     got = jaccard.similar_sets(_documents(spark, [*ODD, (None, "null key here")], links="old", token=1)).collect()
     assert len(got) == len(ODD) + 1 and all(r.component_id == r.doc_id for r in got)
