@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each class that the model is fitted on, at most: half for its dictionary, half for calibration.
 SAMPLE = 3000
-#: Of each of these, the characters that are looked at, and a dictionary's bytes, both at most.
-SAMPLE_CHARS, DICTIONARY = 6000, 1_000_000
+#: Characters of whole texts that a class's dictionary is made of (no text begins beyond them), and its bytes, both at most.
+FIT_CHARS, DICTIONARY = 16_000_000, 1_000_000
 #: A text is compressed in pieces of so many bytes, so that it doesn't become its own dictionary.
 PIECE, LEVEL = 200, 3
 #: Documents whose score is at least this are kept.
@@ -85,7 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     The ``sample`` labels of each class that come first by their key's
     digest are learnt from: every second one by the class's dictionary, the
     others by the calibration, which weighs the classes as they are in all
-    the labels. If a class has no text, scores are a constant.
+    the labels. Texts are whole in both; those of the calibration stay in the
+    executors. If a class has no text, scores are a constant.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).distinct()
     counts = {r["__label"]: r["n"] for r in usable.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -93,17 +95,37 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for k in (0, 1):
         part = usable.where(F.col("__label") == k).withColumn("__order", F.md5(F.col("__key").cast("string").cast("binary"))).orderBy("__order", "__key").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).select("__order", "__key", "__label", F.substring(text, 1, SAMPLE_CHARS).alias("t")).where("t <> ''").toPandas()
-    rows = rows.drop_duplicates(["__key", "__label"]).sort_values(["__order", "__key", "__label"])
-    parts = {k: rows[rows["__label"] == k]["t"].tolist() for k in (0, 1)}
+    order = ["__order", "__key", "__label"]
+
+    def held(part: DataFrame, column: Column) -> pd.DataFrame:
+        """``column`` as t for the texts of the labels ``part``, each once, in order."""
+        rows = docs.join(F.broadcast(part), F.col(key) == F.col("__key")).where(F.col(text) != "").select(*order, column.alias("t")).toPandas()
+        return rows.drop_duplicates(["__key", "__label"]).sort_values(order)
+
+    sized = held(chosen, F.length(text))
+    parts = {k: sized[sized["__label"] == k] for k in (0, 1)}
     share = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     if min(len(p) for p in parts.values()) < 2:
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    good, bad = _dictionary(parts[1][::2]), _dictionary(parts[0][::2])
-    x = np.array([difference(t, good, bad) for k in (0, 1) for t in parts[k][1::2]])
-    n = [len(parts[k][1::2]) for k in (0, 1)]
-    y = np.repeat([0.0, 1.0], n)
-    weight = np.repeat([(1 - share) / n[0], share / n[1]], n) * sum(n)
+
+    def labels_of(*rows: pd.DataFrame) -> DataFrame:
+        listed = [r for part in rows for r in zip(*(part[c].tolist() for c in order), strict=True)]
+        return docs.sparkSession.createDataFrame(listed, chosen.select(*order).schema)
+
+    learnt = [p[::2] for p in parts.values()]
+    texts = held(labels_of(*(p[p["t"].cumsum() - p["t"] < FIT_CHARS] for p in learnt)), F.col(text))
+    bad, good = (_dictionary(texts[texts["__label"] == k]["t"].tolist()) for k in (0, 1))
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+
+    @F.arrow_udf("double")
+    def differences(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([difference(t.as_py(), *shared.value) for t in column], pa.float64())
+
+    rows = held(labels_of(*(p[1::2] for p in parts.values())), differences(F.col(text)))
+    x, y = rows["t"].to_numpy(float), rows["__label"].to_numpy(float)
+    n = [int((y == k).sum()) for k in (0, 1)]
+    weight = np.where(y == 1, share / n[1], (1 - share) / n[0]) * sum(n)
     return Model(good, bad, *_calibrated(x, y, weight))
 
 

@@ -241,6 +241,18 @@ def test_classifier_learns_from_no_held_out_label(spark):
     assert held == {k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0}
 
 
+def test_classifier_learns_from_whole_texts(spark):
+    rnd = random.Random(4)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(6))
+    same = lambda: " ".join(word("abcdef") for _ in range(1000))
+    rows = [(k, f"{same()} {' '.join(word('ghijkl' if k % 2 else 'mnopqr') for _ in range(1000))}") for k in range(60)]
+    docs = _documents(spark, rows)
+    model = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    ends = _documents(spark, [(k, " ".join(word("ghijkl" if k % 2 else "mnopqr") for _ in range(200))) for k in range(20)])
+    scores = {r.doc_id: r.score for r in quality.score_documents(ends, model).collect()}
+    assert min(v for k, v in scores.items() if k % 2) > 0.9 and max(v for k, v in scores.items() if not k % 2) < 0.1
+
+
 def test_classifier_on_odd_rows(spark):
     for labels in ([], [(1, 1), (2, 0)], [(k, 1) for k in range(8)], [(4, 0), (4, 1), (None, 1), (5, 7)]):
         model = quality.fit(_documents(spark), spark.createDataFrame(labels, "doc_id long, quality int"))
