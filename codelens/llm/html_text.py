@@ -5,7 +5,11 @@ is good, bad, short or near-good by its length, its share of characters
 inside links and its share of stop words. In the second, what is undecided
 takes the label of the nearest decided neighbours. Blocks inside elements
 that never hold an article (navigation, forms, scripts and so on, or so named
-by class, id or role) are bad from the start.
+by class, id or role) are bad from the start. Where a page marks its article,
+the mark is one more feature: what stands outside is bad, inside a lower
+density makes a block good and a low one leaves it undecided, and neighbours
+are looked for inside the same mark; if nothing there is decided, the mark
+alone speaks.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ ENDS = {
     "option": (("option",), ("select", "optgroup", "datalist")),
     "optgroup": (("option", "optgroup"), ("select",)),
 }
+#: A start tag that isn't of these ends the head; one that begins a block ends these, which can't hold any: pages leave such end tags out.
+HEAD_ONLY = frozenset("head base link meta noscript script style template title".split())
+NO_BLOCKS = ("title", "select", "optgroup", "option", "datalist", "textarea")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An end tag for these closes what is still open inside them.
 NAMED_ASIDE = re.compile(
@@ -61,21 +68,24 @@ STOP_LOW, STOP_HIGH, LINKED = 0.15, 0.25, 0.3
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[list] = []  # text, characters in links, heading, named as aside, inside article or main
+        self.blocks: list[list] = []  # text, characters in links, heading, named as aside, number of the marked article around it or 0
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, aside, article
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag in open, in order
         self.text: list[str] = []
-        self.linked = self.links = self.silent = self.aside = self.article = 0
+        self.linked = self.links = self.silent = self.aside = self.article = self.marks = 0
         self.heading = False
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.blocks.append([text, self.linked, self.heading, self.aside > 0, self.article > 0])
+            self.blocks.append([text, self.linked, self.heading, self.aside > 0, self.marks if self.article else 0])
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in HEAD_ONLY:
+            self.shut(("head",))
         if tag in BLOCKS:
+            self.shut(NO_BLOCKS)
             self.cut()
         if tag in ENDS:
             self.shut(*ENDS[tag])
@@ -94,6 +104,7 @@ class _Blocks(HTMLParser):
         self.open.append((tag, tag in SILENT, aside, article))
         self.silent += tag in SILENT
         self.aside += aside
+        self.marks += article and not self.article
         self.article += article
         self.links += tag == "a"
         if tag in HEADINGS:
@@ -130,6 +141,8 @@ class _Blocks(HTMLParser):
         self.shut((tag,))
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.shut(("head",))
         if self.silent:
             return
         self.text.append(data)
@@ -142,21 +155,23 @@ class _Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[list]:
-    """[text, characters in links, heading, named as aside, in article or main] of each block, in page order."""
+    """[text, characters in links, heading, named as aside, number of the article or main around it or 0] of each block, in page order."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     return parser.blocks
 
 
-def first_label(text: str, linked: int, aside: bool) -> str:
-    """good, near, short or bad, by the block alone."""
-    if aside or linked > LINKED * len(text) or "©" in text and len(text) < LONG:
+def first_label(text: str, linked: int, aside: bool, marked: bool = False) -> str:
+    """good, near, short or bad, by the block alone; ``marked`` if the page marks it as part of its article."""
+    if aside or linked > LINKED * len(text) or "©" in text and len(text) < LONG and not marked:
         return "bad"
     if len(text) < SHORT:
-        return "bad" if linked else "short"
+        return "bad" if linked and not marked else "short"
     words = WORD.findall(text.lower())
     share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if marked:
+        return "good" if share >= STOP_LOW else "near"
     if share >= STOP_HIGH:
         return "good" if len(text) > LONG else "near"
     return "near" if share >= STOP_LOW else "bad"
@@ -164,34 +179,36 @@ def first_label(text: str, linked: int, aside: bool) -> str:
 
 def labels(blocks: list[list]) -> list[bool]:
     """Whether each block belongs to the article."""
-    first = [first_label(text, linked, aside) for text, linked, _, aside, _ in blocks]
     inside = any(b[4] for b in blocks)
-    if inside:
-        # the page marks its article: what stands outside is decided, and what stands inside isn't bad for few stop words
-        first = ["bad" if not b[4] else "near" if f == "bad" and not b[3] and b[1] <= LINKED * len(b[0]) else f for b, f in zip(blocks, first, strict=True)]
-    ahead, behind = _nearest(first), _nearest(first[::-1])[::-1]
+    first = ["bad" if inside and not mark else first_label(text, linked, aside, mark > 0) for text, linked, _, aside, mark in blocks]
+    marks = [b[4] for b in blocks]
+    # inside an article, what is named as aside says nothing of the blocks around it
+    decided = [f if f in ("good", "bad") and not (mark and aside) else "" for f, (_, _, _, aside, mark) in zip(first, blocks, strict=True)]
+    ahead, behind = _nearest(decided, marks), _nearest(decided[::-1], marks[::-1])[::-1]
     out = []
-    for k, (f, (_, _, heading, _, _)) in enumerate(zip(first, blocks, strict=True)):
+    for f, (_, _, heading, _, mark), (before, far), (after, near) in zip(first, blocks, ahead, behind, strict=True):
         if f in ("good", "bad"):
             out.append(f == "good")
-            continue
-        before, after = ahead[k], behind[k]
-        if inside:
-            out.append(True)
+        elif mark:
+            # the nearer decided block of the same article; the good one of two as near, and of none the mark
+            out.append("good" in (before, after) if far == near else (before if far < near else after) == "good")
         elif f == "near":
             out.append(before == "good" or after == "good" or before != "bad" and after != "bad")
         else:
-            out.append(before == after == "good" or heading and after == "good")
+            out.append(before == after and before != "bad" or heading and after == "good")
     return out
 
 
-def _nearest(first: list[str]) -> list[str]:
-    """For each block, the nearest earlier label that is decided; edge where there is none."""
-    out, last = [], "edge"
-    for f in first:
-        out.append(last)
-        if f in ("good", "bad"):
-            last = f
+def _nearest(decided: list[str], marks: list[int]) -> list[tuple[str, int]]:
+    """For each block, the nearest earlier label that is decided, and how far it is: the page's edge where there is none. Of a block
+    in a marked article only that article's count, and the article's edge is good, but further than any block."""
+    out, last, at, mark = [], "edge", -1, 0
+    for k, (label, m) in enumerate(zip(decided, marks, strict=True)):
+        if m != mark:
+            last, at, mark = "good" if m else "edge", -len(decided), m
+        out.append((last, k - at))
+        if label:
+            last, at = label, k
     return out
 
 

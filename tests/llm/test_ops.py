@@ -141,6 +141,31 @@ def test_elements_close_what_stands_open():
     assert html_text.main_text(page).split("\n") == [long.strip()] * 5
 
 
+LONG = "This is the text of a page that has a lot of words in it, and it goes on for as long as it has to, so that the rules can see that it is what the reader came for. " * 2
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>x</title><body>", "<html><head><title>x</title>", "<head><meta charset=utf-8><title>x", "<head><title>x</title>some words", "<select><option>a<option>b", "<datalist><option>a", "<nav>" + "<b>" * 600 + "</nav>"])
+def test_text_after_elements_without_end_tags(start):
+    assert LONG.strip() in html_text.main_text(f"{start}<p>{LONG}</p>")
+
+
+def test_neighbours_decide_inside_a_marked_article():
+    links = "<p>" + "<a href=x>One more of our stories for you</a> " * 4 + "</p>"
+    page = f"<article><h1>Head</h1><p>{LONG}</p><p>Qwrt zxcv</p><p>Also</p>{links}<p>More of it:</p>{links}</article>"
+    assert html_text.main_text(page).split("\n") == ["Head", LONG.strip(), "Qwrt zxcv"]
+    # named as aside: says nothing of its neighbours; and an article in which nothing is decided is what the page marks
+    assert html_text.main_text("<article><p>Qwrt</p><div class=share>Share it</div><p>Zxcv</p></article><p>Bnm</p>") == "Qwrt\nZxcv"
+
+
+def test_extracting_odd_rows(spark):
+    rows = [(1, "http://a/", f"<article>{LONG}</article>", "x"), (1, "http://a/", f"<article>{LONG}</article>", "x"), (None, None, None, None), (2, "http://b/", "", "y"), (3, "http://c/", f"<article><p>{LONG * 2000}</p></article>", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_text(pages).collect()), key=str)
+    long = (LONG * 2000).strip()
+    assert found == sorted([(1, LONG.strip(), len(LONG) - 1)] * 2 + [(0, "", 0), (2, "", 0), (3, long, len(long))], key=str)
+    assert html_text.extract_text(pages.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!-- open", "</div></div>", "<script>", "&#xZZ;", "<p>" * 3000, "<div>" * 3000 + "x"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
@@ -385,6 +410,38 @@ def test_join_on_odd_rows(spark):
     assert jaccard.similar_sets(_documents(spark, [])).count() == 0
 
 
+def test_members_take_their_answers_from_central_sets(spark):
+    """Clusters of near copies that link across: the bounds and what they leave open give what brute force gives."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for family in range(6):
+        centre = [w if rng.random() > 0.03 else f"c{family}x{k}" for k, w in enumerate(base)]
+        for copy in range(8):
+            rows.append((family * 100 + copy, " ".join(w if rng.random() > 0.004 * copy else f"m{rng.random()}" for w in centre)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert 100 < len(linked) < len(rows) * (len(rows) - 1)
+    found = {r.doc_id: r.n_links for r in jaccard.link_counts(docs, width=3, percent=80).collect()}
+    assert found == {i: sum(a == i for a, _ in linked) for i in sets}
+
+
+def test_a_key_with_several_texts_ties_their_groups(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two + " c"), (9, "x y z z y"), (4, None)], "doc_id long, text string")
+    found = {r.doc_id: (r.component_id, r.links) for r in jaccard.similar_sets(docs, width=4, percent=85).collect()}
+    assert found == {1: (1, True), 2: (1, True), 3: (1, True), 9: (9, False), 4: (4, False)}
+
+
+def test_long_lists_are_cut_into_bands(spark, monkeypatch):
+    rows = [(k, " ".join(["the same words stand here in each text"] * (1 + k % 3) + [f"v{j}" for j in range(k % 40)])) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, jaccard.similar_sets(docs, width=2, percent=70).collect()))
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    assert sorted(map(tuple, jaccard.similar_sets(docs, width=2, percent=70).collect())) == plain
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"t{k}" for k in range(50))
     rows = [(3, text), (1, text + " end"), (2, text), (9, "other words that stand for themselves"), (9, "other words that stand for themselves"), (4, ""), (5, ""), (None, text)]
