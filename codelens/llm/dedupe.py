@@ -12,8 +12,9 @@ from .storage import materialise
 def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` less those that links (see ``similar_sets``) tie to a row with a smaller key.
 
-    Of rows with the same key one stays. Documents without words, and rows
-    with a null key, are tied to nothing and stay. Columns are kept.
+    Of rows with the same key the one with the first text (null before all)
+    stays. Documents without words, and rows with a null key, are tied to
+    nothing and stay. An empty table stays empty. Columns are kept.
     """
     groups = similar_sets(docs, width, percent, key, text)
     copies = materialise(groups.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("__copy")).distinct(), "copies")
@@ -21,5 +22,7 @@ def without_copies(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     again = materialise(docs.groupBy(F.col(key).alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND __again IS NOT NULL").select("__again"), "repeated")
     if again.isEmpty():
         return kept
-    twins = kept.join(again, F.col(key) == F.col("__again"), "left_semi").dropDuplicates([key])
+    twins = kept.join(again, F.col(key) == F.col("__again"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    twins = twins.groupBy(F.col(key).alias("__again")).agg(F.min_by(whole, F.struct(F.col(text), F.to_json(whole))).alias("__first")).select("__first.*")
     return kept.join(again, F.col(key) == F.col("__again"), "left_anti").unionByName(twins)

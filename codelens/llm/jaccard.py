@@ -10,15 +10,23 @@ Sets are ordered lists of 64-bit shingle hashes. The steps:
    sizes and positions, by which pairs that can't reach the threshold are
    skipped; and a list is a list of clusters, whose blocks of members are
    skipped when sizes or positions rule out all of them.
-4. What is left is verified on whole sets, and links are joined into components.
+4. What is left is answered first for the clusters' central sets. A member's
+   answers are derived from its central set's: the overlap of two members is
+   that of their central sets, but for what the members lack or add, which
+   step 2 has counted. Where these bounds don't decide, whole sets do.
+5. Links are joined into components.
 
 Steps 1 and 2 only save work: step 3 loses no pair that isn't in one
-component already. ``link_counts`` looks at the pairs inside clusters, too. Two different shingles of one corpus share a hash, and two
-different sets both their 64-bit sums, with a chance of about n*n/2**65.
+component already. ``link_counts`` looks at the pairs inside clusters, too.
+Two different shingles share a hash with a chance of 2**-64, which shifts an
+overlap by one; two different sets of one size share both 64-bit sums with a
+chance of 2**-128.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,12 +47,19 @@ STRETCH, FREQUENT = 2_000_000, 2
 ORDERED = 1 << 19
 #: Cells of a set's outline: how many of its shingles fall in each. A set too large for one byte a cell has none.
 CELLS = 256
+#: A shingle's list with more clusters than this is cut into bands of size, of which only neighbours meet.
+HOT = 64
 #: Bits of the filter that keeps sets nobody asks for out of the shuffle (4 MB); when it is full, more sets are shuffled.
 FILTER_BITS = 1 << 25
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def _digest(s: np.ndarray) -> bytes:
+    """What tells a set from others."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _flush(held: list[np.ndarray]) -> pa.RecordBatch:
     tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
     keep = counts >= FREQUENT
@@ -80,7 +95,7 @@ def _common(width: int) -> Callable[[Batches], Batches]:
         size, seen = 0, set()
         for b in batches:
             for _, s in shingle_sets(b.column(0), width):
-                if len(s) and (k := int(s.sum())) not in seen:
+                if len(s) and (k := _digest(s)) not in seen:
                     seen.add(k)
                     held.append(s)
                     size += len(s)
@@ -106,7 +121,7 @@ def _postings(width: int, percent: int, order: Broadcast) -> Callable[[Batches],
             ids, parts, size = b.column(0).to_numpy(zero_copy_only=False), [], 0
             seen = set()
             for row, s in shingle_sets(b.column(1), width):
-                if not len(s) or (k := int(s.sum())) in seen:
+                if not len(s) or (k := _digest(s)) in seen:
                     continue
                 seen.add(k)
                 if len(tokens):
@@ -179,10 +194,24 @@ def _sets(ids: pa.Array, rows: list[int], sets: list[np.ndarray]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
 
+def _views(column: pa.Array, kind: type) -> list[np.ndarray | None]:
+    """Each value of a binary column as an array on the column's own memory."""
+    wide = np.int32 if pa.types.is_binary(column.type) else np.int64
+    ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    there = column.is_valid().to_pylist()
+    return [data[x:y].view(kind) if ok else None for x, y, ok in zip(ends[:-1], ends[1:], there, strict=True)]
+
+
 def _overlaps(batches: Batches) -> Batches:
     for b in batches:
-        n = [len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64())], ["a", "b", "na", "nb", "common"])
+        x, y = (_views(b.column(k), np.uint64) for k in (2, 3))
+        n = np.zeros((3, b.num_rows), np.int64)
+        for row, (s, t) in enumerate(zip(x, y, strict=True)):
+            both = np.concatenate((s, t))
+            both.sort(kind="stable")  # two sorted runs
+            n[:, row] = len(s), len(t), np.count_nonzero(both[1:] == both[:-1])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], *map(pa.array, n)], ["a", "b", "na", "nb", "common"])
 
 
 def _not_ruled_out(percent: int) -> Callable[[Batches], Batches]:
@@ -192,9 +221,9 @@ def _not_ruled_out(percent: int) -> Callable[[Batches], Batches]:
         for b in batches:
             na, nb = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 3))
             most = np.minimum(na, nb)
-            for row, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+            for row, (x, y) in enumerate(zip(_views(b.column(4), np.uint8), _views(b.column(5), np.uint8), strict=True)):
                 if x is not None and y is not None:
-                    most[row] = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)
+                    most[row] = np.minimum(x, y).sum(dtype=np.int64)
             keep = 100 * most >= percent * (na + nb - most)
             yield pa.RecordBatch.from_arrays(b.columns[:4], ["a", "na", "b", "nb"]).filter(pa.array(keep))
 
@@ -212,18 +241,63 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, outlines: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, na, b, nb) whose sets are similar: outlines first, whole sets where these leave it open."""
-    spark = docs.sparkSession
+def _possible(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, na, b, nb) whose outlines don't rule out that they are similar."""
     seen = pairs.join(outlines.toDF("a", "oa"), "a").join(outlines.toDF("b", "ob"), "b").select("a", "na", "b", "nb", "oa", "ob")
-    pairs = materialise(seen.mapInArrow(_not_ruled_out(percent), "a long, na long, b long, nb long"), "open")
+    return materialise(seen.mapInArrow(tidy(_not_ruled_out(percent)), "a long, na long, b long, nb long").distinct(), "open")
+
+
+def _counted(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(a, b, na, nb, common) of the pairs (a, b): sizes and overlap of their whole sets."""
+    spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = spark.sparkContext.broadcast(_filter_bits(ids))
     sets = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(tidy(_asked_sets(width, wanted)), "id long, shingles binary")
     sets = materialise(sets, "sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    common = both.mapInArrow(_overlaps, "a long, b long, na long, nb long, common long")
-    return common.where(F.expr(f"100 * common >= {percent} * (na + nb - common)")).select("a", "b").distinct()
+    both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    return materialise(both.mapInArrow(tidy(_overlaps), "a long, b long, na long, nb long, common long"), "counted")
+
+
+def _similar(percent: int, common: str = "common") -> Column:
+    return F.expr(f"100 * {common} >= {percent} * (na + nb - {common})")
+
+
+def _anchors(stars: DataFrame, member: DataFrame) -> DataFrame:
+    """(id, anchor, n_anchor, shared): for the members of stars (a, b, na, nb, common), the central set most like each, and their overlap.
+
+    Central sets are their own anchors, and so have no row; nor have keys with several texts.
+    """
+    best = stars.groupBy(F.col("b").alias("id")).agg(F.max_by(F.struct("a", "na", "common"), F.struct(F.expr("common / (na + nb - common)"), F.negative("a"))).alias("c"))
+    best = best.select("id", F.col("c.a").alias("anchor"), F.col("c.na").alias("n_anchor"), F.col("c.common").alias("shared"))
+    best = best.join(stars.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    repeated = materialise(member.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id"), "repeated")
+    if not repeated.isEmpty():
+        best = best.join(repeated, "id", "left_anti").join(repeated.toDF("anchor"), "anchor", "left_anti").select("id", "anchor", "n_anchor", "shared")
+    return materialise(best, "anchors")
+
+
+def _answers(docs: DataFrame, pairs: DataFrame, outlines: DataFrame, anchors: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, na, b, nb) whose sets are similar.
+
+    With a's anchor c and b's anchor d, whose overlap is counted once for all
+    their members, |a & b| is at least |c & d| - |c - a| - |d - b| and at most
+    |c & d| + |a - c| + |b - d|. What these bounds leave open is counted.
+    """
+    near = _possible(pairs, outlines, percent)
+    near = near.join(anchors.toDF("a", "c", "nc", "ac"), "a", "left").join(anchors.toDF("b", "d", "nd", "bd"), "b", "left")
+    near = near.select("a", "na", "b", "nb", *[F.coalesce(x, y).alias(x) for x, y in (("c", "a"), ("nc", "na"), ("ac", "na"), ("d", "b"), ("nd", "nb"), ("bd", "nb"))])
+    near = materialise(near.withColumns({"x": F.least("c", "d"), "y": F.greatest("c", "d")}), "anchored")
+    centres = _counted(docs, near.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), width)
+    known = centres.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min("common").alias("low"), F.max("common").alias("high"))
+    rated = near.join(known, ["x", "y"], "left").withColumns({
+        "least": F.when(F.expr("x = y"), F.expr("ac + bd - nc")).otherwise(F.expr("low - (nc - ac) - (nd - bd)")),
+        "most": F.when(F.expr("x = y"), F.expr("least(ac, bd) + least(na - ac, nb - bd)")).otherwise(F.expr("least(na, nb, high + (na - ac) + (nb - bd))")),
+    })
+    rated = materialise(rated.where(_similar(percent, "most")).withColumn("sure", _similar(percent, "least")).select("a", "b", "sure"), "rated")
+    sure, unsure = rated.where("sure").select("a", "b"), rated.where("NOT sure").select("a", "b")
+    if unsure.isEmpty():
+        return sure.distinct()
+    return sure.union(_counted(docs, unsure.distinct(), width).where(_similar(percent)).select("a", "b")).distinct()
 
 
 def _reachable(n: str, m: str, p: str, q: str, percent: int) -> Column:
@@ -256,7 +330,7 @@ def _linked(docs: DataFrame, width: int, percent: int, key: str, text: str, insi
     # 3a. prefixes, and of them the shingles that several classes have
     posted = keyed.mapInArrow(tidy(_postings(width, percent, order)), "token long, id long, n int, pos int")
     shared = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_only, "token long, id long, n int, pos int")
-    shared = shared.join(member.select("id", "class"), "id").groupBy("token", "class").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    shared = shared.join(member.select("id", "class"), "id").groupBy("token", "class", "n").agg(F.min("pos").alias("pos"))
     shared = materialise(shared, "index")
 
     # 2. clusters around the most central set of each minhash bucket: the one with the most shared shingles for its size
@@ -268,25 +342,32 @@ def _linked(docs: DataFrame, width: int, percent: int, key: str, text: str, insi
     stars = looked.join(bucket, ["k", "key"]).where(agreed >= AGREED).select(F.negative("top.minus").alias("a"), F.col("top.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     stars = stars.where(F.expr(f"a <> b AND 100 * na >= {percent} * nb AND 100 * nb >= {percent} * na")).distinct()
     stars = materialise(stars, "stars")
-    linked = materialise(_verified(keyed, stars, outlines, width, percent), "links")
+    stars = _counted(keyed, _possible(stars, outlines, percent), width).where(_similar(percent))
+    linked = stars.select("a", "b").distinct()
+    anchors = _anchors(stars, member)
     cluster = connected_components(linked, "a", "b")
 
     # 3b. lists of clusters; only pairs over two clusters are left
     index = shared.join(cluster.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class", "left").withColumn("cluster", F.coalesce("cluster", "class"))
     index = materialise(index, "clustered")
     lists = index.groupBy("token", "cluster").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("n - pos")).alias("room"))
-    several = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    lists = lists.join(several, "token", "left_semi")
-    x, y = lists.toDF("token", "cx", "lx", "hx", "rx"), lists.toDF("token", "cy", "ly", "hy", "ry")
+    several = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    lists = lists.join(several, "token")
+    # sizes of similar sets lie in one band of a long list or in two that touch
+    width_of = max(math.log(100 / percent), 1e-3) * 1.000001
+    low, high = (F.floor(F.ln(c) / F.lit(width_of)).cast("int") for c in ("low", "high"))
+    hot = F.col("k") > HOT
+    x = lists.withColumn("band", F.explode(F.when(hot, F.sequence(low, high)).otherwise(F.array(F.lit(0))))).select("token", "band", "cluster", "low", "high", "room").toDF("token", "band", "cx", "lx", "hx", "rx")
+    y = lists.withColumn("band", F.explode(F.when(hot, F.sequence(low - 1, high + 1)).otherwise(F.array(F.lit(0))))).select("token", "band", "cluster", "low", "high", "room").toDF("token", "band", "cy", "ly", "hy", "ry")
     meet = F.expr(f"cx < cy AND 100 * hx >= {percent} * ly AND 100 * hy >= {percent} * lx AND {100 + percent} * rx >= {percent} * (lx + ly) AND {100 + percent} * ry >= {percent} * (lx + ly)")
-    blocks = x.join(y, "token").where(meet).select("token", "cx", "cy", "ly", "hy", "ry")
+    blocks = x.join(y, ["token", "band"]).where(meet).select("token", "cx", "cy", "ly", "hy", "ry")
     left = blocks.join(index.select("token", F.col("cluster").alias("cx"), F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), ["token", "cx"])
     left = left.where(f"100 * na >= {percent} * ly AND 100 * hy >= {percent} * na AND {100 + percent} * (na - pa) >= {percent} * (na + ly) AND {100 + percent} * ry >= {percent} * (na + ly)").drop("ly", "hy", "ry")
     pairs = left.join(index.select("token", F.col("cluster").alias("cy"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")), ["token", "cy"])
     pairs = materialise(pairs.where(_reachable("na", "nb", "pa", "pb", percent)).select("a", F.col("na").cast("long").alias("na"), "b", F.col("nb").cast("long").alias("nb")).distinct(), "candidates")
 
-    # 4. verify
-    more = linked.union(_verified(keyed, pairs, outlines, width, percent))
+    # 4. answers, from those of central sets
+    more = linked.union(_answers(keyed, pairs, outlines, anchors, width, percent))
     if not inside:
         return signed, member, more
 
@@ -295,7 +376,7 @@ def _linked(docs: DataFrame, width: int, percent: int, key: str, text: str, insi
     x, y = (own.select("token", "cluster", F.col("class").alias(c), F.col("n").cast("long").alias(f"n{c}"), F.col("pos").alias(f"p{c}")) for c in "ab")
     pairs = x.join(y, ["token", "cluster"]).where(F.col("a") < F.col("b")).where(_reachable("na", "nb", "pa", "pb", percent)).select("a", "na", "b", "nb").distinct()
     pairs = materialise(pairs.join(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "na", "b", "nb"), "inside")
-    return signed, member, more.union(_verified(keyed, pairs, outlines, width, percent))
+    return signed, member, more.union(_answers(keyed, pairs, outlines, anchors, width, percent))
 
 
 def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,10 +387,12 @@ def similar_sets(docs: DataFrame, width: int = 4, percent: int = 85, key: str =
     that links reach. ``links`` is true where the row links with any other.
     Null and empty texts, and those of white space only, have no shingles
     and no links; one with fewer words than ``width`` is one shingle. Rows
-    that repeat a key count as rows of their own in every result, and the
-    first text stands for the key in links. Keys are whole numbers; rows
-    with a null key are returned with component null and link with nothing.
-    Other columns are left out.
+    that repeat a key are rows of their own in the result; a key with several
+    texts links with whatever any of them links with, and so ties their
+    groups. Keys are whole numbers; rows with a null key are returned with
+    component null and link with nothing. Very long texts are one set like
+    any other. An empty table gives an empty result. Other columns are left
+    out, whatever their names.
     """
     signed, member, found = _linked(docs, width, percent, key, text, inside=False)
     grouped = connected_components(found, "a", "b")
