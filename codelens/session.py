@@ -25,9 +25,18 @@ def session(name: str = "codelens", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+#: Bytes of a batch that goes to a Python worker, about; Spark's own bound, 64 MB, counts several times in worker and executor.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets executors import this package where it isn't installed: it is sent once to each, as a zip of its sources."""
+    """Lets executors import this package where it isn't installed: it is sent once to each, as a zip of its sources.
+
+    Python workers get small batches from then on, unless the session was started with a size for them.
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     if getattr(sc, "_codelens_shipped", False):
         return
     package = Path(__file__).resolve().parent
