@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for each node on an edge; component is the smallest node that it reaches.
 
-    Nodes are longs. Self loops, repeated edges and edges with a null end add
-    nothing; without edges the result is empty. Each round is written to the
-    shared folder. The number of rounds grows with the logarithm of the
-    longest path, and no node's neighbours ever meet in one row.
+    Nodes are of any type that has an order, such as longs or strings. Self
+    loops, repeated edges and edges with a null end add nothing; without
+    edges the result is empty. Each round is written to the shared folder,
+    and the one before it deleted. The number of rounds grows with the
+    logarithm of the longest path, and no node's neighbours ever meet in one
+    row.
     """
     pairs = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct()
     pairs = materialise(pairs, "edges")
@@ -38,6 +40,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if not seen[0] or tuple(seen) == state:
             break
         state = tuple(seen)
-        pairs = materialise(_small_star(_large_star(pairs)), "edges")
+        old, pairs = pairs, materialise(_small_star(_large_star(pairs)), "edges")
+        discard(old)
     roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, unused
 
 #: Kinds of base spans in the order of ties, and their patterns. Possessive loops, the card's least length and the
 #: anchors at a run's start (or the last match's end) change no valid match; they keep long runs linear.
@@ -25,6 +25,8 @@ KINDS = [*PATTERNS, "term"]
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[REDACTED]"}
 #: A term reveals an entity if their pointwise mutual information is at least this part of the entity's information.
 DISCLOSURE = 0.9
+#: Terms that are broadcast to be counted (some 20 MB), at most; more are joined.
+BROADCAST = 200_000
 #: Different lines in which a term and an entity must stand together before their statistics count.
 SUPPORT = 3
 TERM = r"[\p{L}\p{N}_]+"
@@ -107,15 +109,19 @@ def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DIS
     masked = F.col("line")
     for p in PATTERNS.values():
         masked = F.regexp_replace(masked, p, " ")
-    contexts = held.select(F.xxhash64("line").alias("context"), masked.alias("rest"), F.explode(F.array_distinct(entities)).alias("e")).select("context", "rest", "e.*")
+    contexts = held.select(F.unhex(F.md5(F.col("line").cast("binary"))).alias("context"), masked.alias("rest"), F.explode(F.array_distinct(entities)).alias("e")).select("context", "rest", "e.*")
     contexts = materialise(contexts.groupBy("kind", "entity", "context").agg(F.first("rest").alias("rest")), "contexts")
     strong = contexts.groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("entity_lines")).where(F.col("entity_lines") >= support)
     pairs = contexts.join(strong, ["kind", "entity"]).select("kind", "entity", "entity_lines", F.explode(_terms(F.col("rest"))).alias("term"))
     pairs = pairs.groupBy("kind", "entity", "entity_lines", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
     pairs = materialise(pairs, "pairs")
-    different = lines.distinct()
-    counts = different.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
-    total = different.agg(F.count(F.lit(1)).alias("n"))
+    # only these terms are counted, and lines are told apart by a digest of 128 bits: their texts aren't shuffled
+    wanted = pairs.select("term").distinct()
+    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST else wanted
+    digest = F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest")
+    here = lines.select(digest, F.explode(_terms(F.col("line"))).alias("term")).join(wanted, "term", "left_semi").distinct()
+    counts = here.groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
+    total = lines.select(digest).distinct().agg(F.count(F.lit(1)).alias("n"))
     rated = pairs.join(counts, "term").join(F.broadcast(total)).withColumn("ratio", F.log2(F.col("together") * F.col("n") / (F.col("entity_lines") * F.col("term_lines"))) / F.log2(F.col("n") / F.col("entity_lines")))
     return rated.where(F.col("ratio") >= disclosure).select("term", "kind", "entity", "together", "entity_lines", "term_lines", "ratio")
 
@@ -127,21 +133,26 @@ def find_pii(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
     of another. pii_spans has these and, as kind 'term', the occurrences of
     terms that reveal an entity anywhere in the corpus, in any document,
     where they don't touch a base span. Null and empty texts have none.
-    Repeated rows are marked alike. Columns of those names are replaced.
+    Repeated rows are marked alike, and texts of any length are whole. An
+    empty table stays empty. Columns of those names are replaced, all others
+    are kept.
     """
     terms = materialise(revealing_terms(docs, text, disclosure, support).select("term").distinct(), "terms")
     none = F.array().cast(SPAN)
     if terms.isEmpty():
         return docs.withColumn(base, base_spans(F.col(text))).withColumn(spans, F.col(base))
-    held = docs.select(F.xxhash64(text, F.length(text)).alias("__text"), F.explode(_terms(F.col(text))).alias("term")).join(terms, "term")
+    same, pattern, hits = (unused(docs, c) for c in ("text_id", "pattern", "term_spans"))
+    # 256 bits stand for a text, so no two meet
+    text_id = F.unhex(F.sha2(F.col(text).cast("binary"), 256)).alias(same)
+    held = docs.select(text_id, F.explode(_terms(F.col(text))).alias("term")).join(terms, "term")
     word = r"\p{L}\p{N}_"
-    patterns = held.groupBy("__text").agg(F.array_sort(F.collect_set("term")).alias("__own"))
-    patterns = materialise(patterns.select("__text", F.concat(F.lit(rf"(?iu)(?<![{word}])(?:"), F.array_join("__own", "|"), F.lit(rf")(?![{word}])")).alias("__pattern")), "patterns")
-    marked = docs.withColumn(base, base_spans(F.col(text))).withColumn("__text", F.xxhash64(text, F.length(text))).join(patterns, "__text", "left")
-    found = F.when(F.col("__pattern").isNotNull(), _bare(_located(F.col(text), F.col("__pattern"), KINDS.index("term")))).otherwise(none)
-    marked = marked.withColumn("__terms", found)
-    free = F.filter("__terms", lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return marked.withColumn(spans, F.array_sort(F.concat(base, free))).drop("__text", "__pattern", "__terms")
+    patterns = held.groupBy(same).agg(F.array_sort(F.collect_set("term")).alias("own"))
+    patterns = materialise(patterns.select(same, F.concat(F.lit(rf"(?iu)(?<![{word}])(?:"), F.array_join("own", "|"), F.lit(rf")(?![{word}])")).alias(pattern)), "patterns")
+    marked = docs.withColumn(base, base_spans(F.col(text))).select("*", text_id).join(patterns, same, "left")
+    found = F.when(F.col(pattern).isNotNull(), _bare(_located(F.col(text), F.col(pattern), KINDS.index("term")))).otherwise(none)
+    marked = marked.withColumn(hits, found)
+    free = F.filter(hits, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return marked.withColumn(spans, F.array_sort(F.concat(base, free))).drop(same, pattern, hits)
 
 
 def written(spans: Column) -> Column:
@@ -156,8 +167,9 @@ def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
     Null and empty texts stay as they are, and so do texts without spans.
     Other columns are kept.
     """
+    base, spans = unused(docs, "base"), unused(docs, "spans")
     names = F.array(*[F.lit(REPLACEMENTS[k]) for k in KINDS])
-    marked = find_pii(docs, text, disclosure, support, "__base", "__spans")
+    marked = find_pii(docs, text, disclosure, support, base, spans)
     whole = F.col(text)
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -166,5 +178,5 @@ def sanitise(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE
         piece = F.array(F.substr(whole, state["at"] + 1, x["start"] - state["at"]), F.element_at(names, x["kind"] + 1))
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(ahead, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("__spans", begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(whole, s["at"] + 1, F.length(whole))))
-    return marked.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(whole)).drop("__base", "__spans")
+    clean = F.aggregate(spans, begin, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(whole, s["at"] + 1, F.length(whole))))
+    return marked.withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(whole)).drop(base, spans)
