@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import running_total
+from .storage import unused
 
 #: The words of a text.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,7 +53,12 @@ def _place(asked: Column) -> Column:
     return ((s - 1.0) + F.sqrt((1.0 - s) * (1.0 - s) + 4.0 * s * asked)) / (2.0 * s)
 
 
-def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slopes: tuple[float, ...] = SLOPES, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", out: str = "size") -> DataFrame:
+    """``docs`` with ``out``, the number of words of the text; 0 for null."""
+    return docs.withColumn(out, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
+
+
+def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, slopes: tuple[float, ...] = SLOPES, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
     """``docs`` with size, done, source_size, target, goal, slope, taken and position.
 
     ``taken`` words of each document go into the mix. All of a source's
@@ -66,20 +72,31 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     words of the source come before the document in each pass over it.
 
     Null texts have size 0 and are never taken; a null source is a source.
-    Rows with the same key follow each other by size; equal rows are
-    interchangeable, so reruns agree. Columns of the same names are replaced.
+    Rows with the same key, null ones too, follow each other by size; equal
+    rows are interchangeable, so reruns agree. Texts of any length are
+    counted whole, and an empty table stays empty. Columns of the same names
+    are replaced, all others are kept. ``size`` names a column that has the
+    texts' sizes already (see ``measured``); no text is needed then.
     """
-    sized = docs.withColumns({"size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long")), "__md5": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))})
-    targets = source_targets(sized.select(F.col(source).alias("source"), "size"), weights, cap, slopes).withColumnRenamed("source", "__source")
-    sized = sized.drop("source_size", "target", "taken", "position", "goal", "slope", "done", "__before")
-    placed = running_total(sized, [source], "__md5", "size", "done", ties=[F.col("size")])
-    placed = placed.join(targets, F.col(source).eqNullSafe(F.col("__source")))
+    sized = measured(docs, text) if size is None else docs.withColumn("size", F.col(size))
+    digest, other = unused(docs, "digest"), unused(docs, "of_source")
+    sized = sized.withColumn(digest, F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
+    targets = source_targets(sized.select(F.col(source).alias("source"), "size"), weights, cap, slopes).withColumnRenamed("source", other)
+    sized = sized.drop(*[c for c in ("source_size", "target", "taken", "position", "goal", "slope", "done") if c not in (key, text, source)])
+    placed = running_total(sized, [source], digest, "size", "done", ties=[F.col("size")])
+    placed = placed.join(targets, F.col(source).eqNullSafe(F.col(other)))
     whole = F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0))
     rest = F.col("goal") - whole * F.col("source_size")
     placed = placed.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("done"), F.col("size"))))
     asked = (F.col("done").cast("double") + F.least("size", "taken").cast("double") / 2.0) / F.col("goal").cast("double")
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, _place(asked)))
-    return placed.drop("__md5", "__source")
+    return placed.drop(digest, other)
+
+
+def in_order(allocated: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``allocated`` range-sorted by position; what isn't taken comes last, by a hash of the key, so no range holds all of that."""
+    order = [F.col("position").asc_nulls_last(), F.xxhash64(key).asc(), F.col(key).asc()]
+    return allocated.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def training_order(allocated: DataFrame, partitions: int | None = None) -> DataFrame:

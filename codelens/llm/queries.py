@@ -13,10 +13,10 @@ from .decontaminate import find_passages
 from .html_text import extract_text
 from .jaccard import link_counts, similar_sets
 from .media import media_columns
-from .mixing import allocate
+from .mixing import allocate, in_order, measured
 from .pii import PATTERNS, find_pii, written
 from .quality import fit, held_out, score_documents
-from .storage import table
+from .storage import materialise, table
 from .tokens import count_tokens, model_path
 from .urls import RULES, alias_edges, judge_urls
 
@@ -33,8 +33,8 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return allocate(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    sizes = materialise(measured(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"), "sizes")
+    return in_order(allocate(sizes, size="size")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +124,18 @@ WITH RECURSIVE u AS (
 h AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM u),
 q AS (SELECT page_id, url, html, coalesce(host, '') AS host, coalesce(path, '') AS path, coalesce(tail, '') AS tail FROM h),
-links AS (SELECT url, host, path, tail, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)]) AS raw FROM q),
-made AS (SELECT host || tail AS src, host, replace(raw, '&amp;', '&') AS raw, regexp_extract(path, '^(.*/)?') AS folder FROM links WHERE raw <> '' AND host <> ''),
-full_url AS (SELECT src, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw WHEN starts_with(raw, '//') THEN 'x:' || raw WHEN starts_with(raw, '/') THEN 'x://' || host || raw
+clean AS (SELECT url, host, path, tail, regexp_replace(html, '(?is)<!--.*?(-->|$)|<(script|style|template|noscript)\b.*?</(script|style|template|noscript)\s*>', ' ', 'g') AS html FROM q WHERE host <> ''),
+links AS (SELECT host, path, tail, unnest(list_concat(
+    list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1)),
+    list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)))) AS raw FROM clean),
+made AS (SELECT host || tail AS src, host, path, tail, replace(replace(replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&#39;', chr(39)), '&#x27;', chr(39)), '&#38;', '&'), '&#x26;', '&'), '&amp;', '&') AS raw,
+                regexp_extract(path, '^(.*/)?') AS folder FROM links WHERE raw <> ''),
+plain AS (SELECT src, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw WHEN starts_with(raw, '//') THEN 'x:' || raw WHEN starts_with(raw, '/') THEN 'x://' || host || raw
+    WHEN starts_with(raw, '?') THEN 'x://' || host || path || raw WHEN starts_with(raw, '#') THEN 'x://' || host || tail
     ELSE 'x://' || host || CASE WHEN folder <> '' THEN folder ELSE '/' END || raw END AS dst FROM made),
+parts AS (SELECT src, regexp_extract(r, '^[^/?#]*') AS own, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS p, regexp_extract(r, '^[^?#]*([^#]*)', 1) AS query FROM (SELECT src, substr(dst, position('://' IN dst) + 3) AS r FROM plain)),
+full_url AS (SELECT src, 'x://' || own || CASE WHEN contains(p, '/.') THEN list_reduce(list_prepend('', string_split(p, '/')[2:]), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END)
+    || CASE WHEN string_split(p, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE p END || query AS dst FROM parts),
 rest AS (SELECT src, substr(dst, position('://' IN dst) + 3) AS rest FROM full_url),
 e AS (SELECT DISTINCT src, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS dst FROM rest WHERE regexp_extract(rest, '^[^/?#]*') <> ''),
 both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),

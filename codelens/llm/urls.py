@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import materialise, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,29 +65,59 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return name, verdict
 
 
-def _absolute(target: Column, url: Column) -> Column:
-    """``target`` as a link on the page ``url``, made absolute."""
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract(url, r"^([^:/?#]*):", 1)
-    origin = F.concat(scheme, F.lit("://"), host_of(url))
-    folder = F.regexp_extract(path_of(url), r"^(.*/)?", 0)
-    return (
+#: Character references that URLs have, and what they stand for; & comes last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+#: What holds no links of the page, its canonical links and its refresh redirects, and their targets.
+NO_LINKS = r"(?is)<!--.*?(-->|$)|<(script|style|template|noscript)\b.*?</(script|style|template|noscript)\s*>"
+CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+HREF = r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+TARGET = r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its . and .. segments worked off."""
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    parts = F.split(path, "/")
+    whole = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    return F.concat(whole, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def _resolved(links: DataFrame) -> DataFrame:
+    """(src, dst) of links (src, target): the target made absolute, without . and .. in its path; steps are columns, as each is used several times."""
+    target = F.col("target")
+    for reference, plain in REFERENCES:
+        target = F.replace(target, F.lit(reference), F.lit(plain))
+    src = F.col("src")
+    out = links.select("src", target.alias("target"), F.regexp_extract(src, r"^([^:/?#]*):", 1).alias("scheme"), host_of(src).alias("host"), path_of(src).alias("path"), F.regexp_extract(_rest(src), r"^[^/?#]*[^?#]*([^#]*)", 1).alias("query"))
+    out = out.withColumns({"origin": F.concat("scheme", F.lit("://"), "host"), "folder": F.regexp_extract("path", r"^(.*/)?", 0)})
+    target = F.col("target")
+    whole = (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
-        .when(target != "", F.concat(origin, F.when(folder != "", folder).otherwise("/"), target))
+        .when(target.startswith("//"), F.concat("scheme", F.lit(":"), target))
+        .when(target.startswith("/"), F.concat("origin", target))
+        .when(target.startswith("?"), F.concat("origin", "path", target))
+        .when(target.startswith("#"), F.concat("origin", "path", "query"))
+        .when(target != "", F.concat("origin", F.when(F.col("folder") != "", F.col("folder")).otherwise("/"), target))
     )
+    out = materialise(out.select("src", whole.alias("dst")).where("dst IS NOT NULL"), "absolute")
+    plain = out.where(~F.coalesce(path_of(F.col("dst")).contains("/."), F.lit(False)))
+    dotted = out.where(path_of(F.col("dst")).contains("/.")).select("src", "dst", path_of(F.col("dst")).alias("path"))
+    rest = F.regexp_extract(_rest(F.col("dst")), r"^[^?#]*([^#]*)", 1)
+    return plain.union(dotted.select("src", F.concat(F.regexp_extract("dst", r"^[^:/?#]*", 0), F.lit("://"), host_of(F.col("dst")), _without_dots(F.col("path")), rest)))
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) URLs: from each page to its canonical link and to the target of its refresh redirect."""
-    link = F.regexp_extract(html, r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    meta = F.regexp_extract(html, r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    canonical = F.regexp_extract(link, r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    redirect = F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
-    found = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), F.explode(F.array(canonical, redirect)).alias("target"))
+    """(src, dst) URLs: from each page to its canonical links and to the targets of its refresh redirects.
+
+    Links in comments, scripts, styles, templates and noscript don't count.
+    """
+    clean = F.regexp_replace(html, NO_LINKS, " ")
+    each = lambda element, part: F.transform(F.regexp_extract_all(F.col("clean"), F.lit(element), F.lit(0)), lambda x: F.regexp_extract(x, part, 1))
+    targets = F.concat(each(CANONICAL, HREF), each(REFRESH, TARGET))
+    found = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("src"), clean.alias("clean")).select("src", F.explode(targets).alias("target"))
     found = materialise(found.where("target != '' AND src IS NOT NULL"), "links")
-    return found.select("src", _absolute(F.col("target"), F.col("src")).alias("dst")).where("dst IS NOT NULL")
+    return _resolved(found)
 
 
 def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, url: str = "url") -> DataFrame:
@@ -100,26 +130,27 @@ def judge_urls(pages: DataFrame, edges: DataFrame | None = None, rules: tuple[Ru
     the URL that it fits, whatever its aliases get. The rest is allowed.
 
     Null or empty URLs, and those without ``://``, have empty host and path,
-    no rule and no aliases. Repeated rows are judged alike. Columns of the
-    same names are replaced.
+    no rule and no aliases. URLs are compared as they are, not by hashes.
+    Repeated rows are judged alike, long URLs are whole, and an empty table
+    stays empty. Columns of the same names are replaced, all others kept.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     name, verdict = matched(host, path, rules)
-    judged = pages.withColumns({"__node": F.xxhash64(address_of(F.col(url))), "__alone": address_of(F.col(url)).isNull()})
-    judged = judged.withColumns({"__own": verdict, "rule": name, "host": host, "path": path})
+    own, node, caught_by = (unused(pages, c) for c in ("own_verdict", "node", "caught"))
+    judged = pages.withColumn(own, verdict)
     if edges is not None:
         ends = edges.select(address_of(F.col("src")).alias("src"), address_of(F.col("dst")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
         ends = materialise(ends, "aliases")
-        for c in ("src", "dst"):
-            ends = ends.withColumns({f"{c}_host": F.regexp_extract(c, r"^[^/?]*", 0), f"{c}_path": F.regexp_extract(c, r"^[^/?]*([^?]*)", 1)})
-            ends = ends.withColumn(f"{c}_blocked", F.coalesce(matched(F.col(f"{c}_host"), F.col(f"{c}_path"), rules)[1] == "block", F.lit(False)))
-        edges = ends.select(F.xxhash64("src").alias("s"), F.xxhash64("dst").alias("d"), "src_blocked", "dst_blocked")
-        members = connected_components(edges, "s", "d")
-        blocked = edges.where("src_blocked").select(F.col("s").alias("node")).union(edges.where("dst_blocked").select("d")).distinct()
-        groups = members.join(blocked, "node", "left_semi").select("component").distinct()
-        caught = members.join(groups, "component", "left_semi").select(F.col("node").alias("__node"), F.lit(True).alias("__caught"))
-        judged = judged.join(caught, "__node", "left")
+        members = connected_components(ends, "src", "dst")
+        its = F.col("node")
+        blocked = matched(F.regexp_extract(its, r"^[^/?]*", 0), F.regexp_extract(its, r"^[^/?]*([^?]*)", 1), rules)[1] == "block"
+        groups = members.where(F.coalesce(blocked, F.lit(False))).select("component").distinct()
+        caught = members.join(groups, "component", "left_semi").select(F.col("node").alias(node), F.lit(True).alias(caught_by))
+        # rows without an address meet nothing, so each gets a key of its own: no task has them all
+        alone = F.concat(F.lit("/"), F.monotonically_increasing_id().cast("string"))
+        judged = judged.withColumn(node, F.coalesce(address_of(F.col(url)), alone)).join(caught, node, "left").drop(node)
     else:
-        judged = judged.withColumn("__caught", F.lit(False))
-    passed = F.when(F.col("__caught") & ~F.col("__alone"), "block").otherwise("allow")
-    return judged.withColumn("verdict", F.coalesce("__own", passed)).drop("__node", "__alone", "__own", "__caught")
+        judged = judged.withColumn(caught_by, F.lit(False))
+    judged = judged.withColumns({"rule": name, "host": host, "path": path})
+    passed = F.when(F.col(caught_by), "block").otherwise("allow")
+    return judged.withColumn("verdict", F.coalesce(own, passed)).drop(own, caught_by)

@@ -561,3 +561,76 @@ def test_aliases_share_blocks_but_not_allows(spark):
     assert [(g[0], g[4]) for g in got] == [(1, "block"), (2, "block"), (3, "allow"), (4, "allow"), (5, "allow"), (6, "block"), (7, "block"), (8, "allow"), (8, "allow"), (9, "allow"), (10, "allow"), (11, "allow"), (12, "block")]
     assert got[-1][1:4] == ("a.example.com", "/en/", "example.com/en/") and got[-2][1:4] == ("a.b@c.example.com:80", "/en/", None)
     assert urls.judge_urls(pages.limit(0), urls.alias_edges(pages.limit(0))).count() == 0
+
+
+def test_links_are_resolved_as_browsers_do(spark):
+    page = "https://q.net/a/b/c?x=1#top"
+    cases = {
+        "?y=2": "q.net/a/b/c?y=2", "#end": "q.net/a/b/c?x=1", "d": "q.net/a/b/d", "../d?z": "q.net/a/d?z", "../../../d": "q.net/d", "./d/.": "q.net/a/b/d/", "/e/../f/..": "q.net/", "//r.org/g": "r.org/g", "http://R.org/./h": "r.org/h",
+        "i?a=1&amp;b=&lt;2&#38;c": "q.net/a/b/i?a=1&b=<2&c", "HTTPS://s.org": "s.org",
+    }
+    rows = [(page, f"<link rel=canonical href='{t}'>") for t in cases] + [(page, '<!-- <link rel=canonical href="/no1"> --><script>"<link rel=canonical href=/no2>"</script><noscript><meta http-equiv=refresh content="0;url=/no3"></noscript>'), (page, '<link rel=canonical href=/one><link rel=canonical href=/two>')]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    edges = urls.alias_edges(pages).select(urls.address_of(F.col("dst")).alias("dst"))
+    assert sorted(r.dst for r in edges.collect()) == sorted([*cases.values(), "q.net/one", "q.net/two"])
+
+
+def test_url_rows_alike_in_nothing_or_everything(spark):
+    """Half of the rows have no address, and columns have the names that the operator could use inside."""
+    rows = [(k, None if k % 2 else f"http://x{k % 3}.org/") for k in range(4000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("node", F.lit("mine")).withColumn("caught", F.lit(7)).repartition(8)
+    edges = spark.createDataFrame([("http://x1.org/", "http://b.net/es/")], "src string, dst string")
+    got = urls.judge_urls(pages, edges)
+    assert {(r.page_id, r.verdict, r.node, r.caught) for r in got.collect()} == {(k, "block" if not k % 2 and k % 3 == 1 else "allow", "mine", 7) for k in range(4000)}
+
+
+def test_mixing_keeps_columns_and_order(spark):
+    docs = _documents(spark, goal="mine", digest="own", slope=3, source="s")
+    got = mixing.in_order(mixing.allocate(docs))
+    assert got.columns[:2] == ["doc_id", "text"] and {"digest", "position"} <= set(got.columns)
+    rows = got.collect()
+    assert len(rows) == len(ODD) and {r.digest for r in rows} == {"own"}
+    places = [r.position for r in rows]
+    assert places == sorted((p for p in places if p is not None)) + [None] * places.count(None)
+    sizes = mixing.measured(docs).drop("text").withColumnRenamed("size", "words")
+    plain = {(r.doc_id, r["size"], r.taken, r.position) for r in mixing.allocate(sizes, size="words").collect()}
+    assert plain == {(r.doc_id, r["size"], r.taken, r.position) for r in rows}
+    assert mixing.allocate(_documents(spark, [], source="s")).count() == 0
+
+
+REWORDED = {
+    "verbatim": lambda w, rnd: w,
+    "every seventh word is another": lambda w, rnd: [rnd.choice(w) + "x" if k % 7 == 3 else x for k, x in enumerate(w)],
+    "every fifth word is another": lambda w, rnd: [rnd.choice(w) + "x" if k % 5 == 2 else x for k, x in enumerate(w)],
+    "a word is put in after every fifth": lambda w, rnd: [y for k, x in enumerate(w) for y in ((x, x + "y") if k % 5 == 4 else (x,))],
+    "every eighth word is left out": lambda w, rnd: [x for k, x in enumerate(w) if k % 8 != 7],
+}
+
+
+@pytest.mark.parametrize("way", REWORDED)
+def test_recall_by_rewording_against_brute_force(spark, planted, way):
+    """Of the passages that the rule accepts at any place of the document, the latent search finds nine in ten at least."""
+    docs, benchmark, leaks = planted
+    rnd = random.Random(9)
+    items = {r.item_id: r.text.split() for r in benchmark.where("text <> ''").collect()}
+    clean = [r.text.split() for r in docs.collect() if r.doc_id not in leaks][:60]
+    rows = []
+    for k, words in enumerate(clean):
+        item = rnd.choice([i for i, w in items.items() if len(w) >= 20])
+        at = rnd.randint(0, len(words))
+        rows.append((k, item, " ".join(words[:at] + REWORDED[way](items[item], rnd) + words[at:])))
+    found = {r.doc_id: {h.item for h in r.benchmark_hits} for r in decontaminate.find_passages(_documents(spark, [(k, t) for k, _, t in rows]), benchmark).collect()}
+    accepted = []
+    for k, item, text in rows:
+        doc, own = decontaminate._listed([text])[0], decontaminate._listed([" ".join(items[item])])[0]
+        if any(decontaminate._decided(own, own, doc, at) for at in range(0, len(doc), 4)):
+            accepted.append(item in found[k])
+    assert len(accepted) >= 50 and sum(accepted) >= 0.9 * len(accepted)
+
+
+def test_short_items_are_held_to_the_same_rule(spark):
+    items = spark.createDataFrame([(1, "zebra quagga okapi"), (2, "narwhal")], "item_id long, text string")
+    filler = "the wind went over the hill and then it came back to the sea where all of the boats were at rest for the day "
+    rows = [(1, filler + "zebra quagga okapi " + filler), (2, filler + "zebra okapi quagga " + filler), (3, filler + "a narwhal " + filler), (4, filler * 3), (5, filler + "zebra " + filler + "quagga " + filler + "okapi")]
+    found = {r.doc_id: sorted(h.item for h in r.benchmark_hits) for r in decontaminate.find_passages(_documents(spark, rows), items).collect()}
+    assert found == {1: [1], 2: [], 3: [2], 4: [], 5: []}
