@@ -95,7 +95,7 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     deleted files, and those before any path, are left out.
     """
     lines = diffs.select("patch_id", F.posexplode(F.split("diff", "\r?\n")).alias("at", "text"))
-    raw = F.split(F.trim(F.substring("text", 5, 1_000_000)), "\t")[0]
+    raw = F.split(F.trim(F.substr("text", F.lit(5))), "\t")[0]
     path = F.regexp_replace(F.regexp_replace(F.replace(raw, F.lit("\\"), F.lit("/")), "^[./]+", ""), "^[ab]/", "")
     named = F.when(F.col("text").startswith("+++ "), F.when(raw == "/dev/null", F.lit("")).otherwise(path))
     order = Window.partitionBy("patch_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -12,9 +12,14 @@ RESULT = "work_id string, project string, passed boolean, seconds double, writte
 def result_stream(spark: SparkSession, path: str, schema: str = RESULT, late: str = "1 hour") -> DataFrame:
     """Result rows from JSON files under a folder, each work item once; an item that comes back within ``late`` is dropped.
 
-    A broken last line, as a writer that was stopped leaves it, is skipped.
+    A file's last line may be broken, as a writer that was stopped leaves it,
+    and is skipped; a broken line before it is an error. A file is read as
+    one row, so writers should begin a new one from time to time.
     """
-    rows = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    lines = spark.readStream.option("wholetext", True).text(path).select(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("lines"))
+    rows = lines.select(F.size("lines").alias("n"), F.posexplode("lines").alias("at", "line")).withColumn("broken", F.try_parse_json("line").isNull())
+    wrong = F.raise_error(F.concat(F.lit("a broken line that isn't its file's last: "), "line"))
+    rows = rows.where("NOT (broken AND at = n - 1)").select(F.when(F.col("broken"), wrong).otherwise(F.from_json("line", schema)).alias("r")).select("r.*")
     return rows.where("work_id IS NOT NULL").withWatermark("written_at", late).dropDuplicatesWithinWatermark(["work_id"])
 
 

@@ -164,10 +164,10 @@ SELECT c_custkey, call, coalesce((SELECT k.name FROM k WHERE k.name = call), (SE
 )
 
 
-def _diffs(read: Callable[[str], DataFrame], orders: str = "true") -> DataFrame:
-    """A diff for each order that the condition ``orders`` takes, a hunk for each of its line items."""
+def _diffs(read: Callable[[str], DataFrame]) -> DataFrame:
+    """A diff for each order, a hunk for each of its line items."""
     hunk = F.format_string("@@ -%d,%d +%d @@", F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_suppkey") + 1)
-    lines = read("lineitem").where(orders).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_suppkey", "l_linenumber", hunk.alias("h")))).alias("hs"))
+    lines = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_suppkey", "l_linenumber", hunk.alias("h")))).alias("hs"))
     path = F.concat(F.lit("--- a/src/m"), (F.col("l_orderkey") % 7).cast("string"), F.lit(".c\n+++ b/src/m"), (F.col("l_orderkey") % 7).cast("string"), F.lit(".c\n"))
     return lines.select(F.col("l_orderkey").alias("patch_id"), F.concat(path, F.array_join(F.transform("hs", lambda x: x["h"]), "\n x\n")).alias("diff"))
 
@@ -177,21 +177,13 @@ def _suppliers(read: Callable[[str], DataFrame]) -> DataFrame:
     return read("supplier").select(F.expr("concat('/p/src/m', s_suppkey % 7, '.c')").alias("path"), F.col("s_name").alias("fn"), F.col("s_suppkey").cast("int").alias("start_line"), (F.col("s_suppkey") + 5).cast("int").alias("end_line"))
 
 
-#: The orders that the SQL of diff_hunks and touched_functions takes; all_diff_hunks and all_touched_functions take all.
-TENTH = "l_orderkey % 10 = 0"
-_HUNKS = "h AS (SELECT l_orderkey AS patch_id, 'src/m' || l_orderkey % 7 || '.c' AS path, l_suppkey::INTEGER AS old_start, (l_suppkey + l_linenumber - 1)::INTEGER AS old_end, (l_suppkey + 1)::INTEGER AS new_start, (l_suppkey + 1)::INTEGER AS new_end FROM lineitem WHERE l_orderkey % 10 = 0)"
-_query("diff_hunks", lambda r: validate.diff_hunks(_diffs(r, TENTH)), f"WITH {_HUNKS} SELECT * FROM h")
+_HUNKS = "h AS (SELECT l_orderkey AS patch_id, 'src/m' || l_orderkey % 7 || '.c' AS path, l_suppkey::INTEGER AS old_start, (l_suppkey + l_linenumber - 1)::INTEGER AS old_end, (l_suppkey + 1)::INTEGER AS new_start, (l_suppkey + 1)::INTEGER AS new_end FROM lineitem)"
+_query("diff_hunks", lambda r: validate.diff_hunks(_diffs(r)), f"WITH {_HUNKS} SELECT * FROM h")
 _query(
     "touched_functions",
-    lambda r: validate.touched_functions(validate.diff_hunks(_diffs(r, TENTH)), _suppliers(r)),
+    lambda r: validate.touched_functions(validate.diff_hunks(_diffs(r)), _suppliers(r)),
     f"WITH {_HUNKS} SELECT DISTINCT patch_id, '/p/' || path AS path, s_name AS fn FROM h JOIN supplier ON path = 'src/m' || s_suppkey % 7 || '.c' AND s_suppkey <= new_end AND s_suppkey + 5 >= new_start",
 )
-_query(
-    "all_diff_hunks",
-    lambda r: validate.diff_hunks(_diffs(r)),
-    "SELECT l_orderkey AS patch_id, 'src/m' || l_orderkey % 7 || '.c' AS path, l_suppkey::INTEGER AS old_start, (l_suppkey + l_linenumber - 1)::INTEGER AS old_end, (l_suppkey + 1)::INTEGER AS new_start, (l_suppkey + 1)::INTEGER AS new_end FROM lineitem",
-)
-_query("all_touched_functions", lambda r: validate.touched_functions(validate.diff_hunks(_diffs(r)), _suppliers(r)), None)
 _query(
     "repaired_paths",
     lambda r: validate.repaired_paths(r("nation").select(F.expr("CASE WHEN n_nationkey % 3 = 0 THEN concat('r', n_regionkey, '/', n_name, '.c') WHEN n_nationkey % 3 = 1 THEN concat('lost/', n_name, '.c') ELSE 'shared.c' END").alias("path")), r("nation").select(F.expr("concat('top/r', n_regionkey, '/', n_name, '.c')").alias("path")).union(r("region").select(F.expr("concat('top/', r_name, '/shared.c')")))).select("path", "repaired"),

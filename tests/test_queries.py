@@ -8,11 +8,11 @@ import os
 import duckdb
 import pytest
 
-from codelens import code_queries, table_queries
+from codelens import code_queries, run_queries, table_queries
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = code_queries.QUERIES | table_queries.QUERIES
-SQL = code_queries.SQL | table_queries.SQL
+QUERIES = code_queries.QUERIES | table_queries.QUERIES | run_queries.QUERIES
+SQL = code_queries.SQL | table_queries.SQL | run_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,6 @@ def test_hunks_and_functions_of_all_orders(spark, tmp_path):
     hunks = {(o, f"src/m{o % 7}.c", s, s + n - 1, s + 1, s + 1) for o, s, n in items}
     touched = {(o, f"/p/src/m{o % 7}.c", name) for o, s, _ in items for k, name in suppliers if k % 7 == o % 7 and k <= s + 1 <= k + 5}
     assert {o for o, *_ in touched} - {o for o in range(0, 61, 10)}
-    for name, want in (("all_diff_hunks", hunks), ("all_touched_functions", touched)):
+    for name, want in (("diff_hunks", hunks), ("touched_functions", touched)):
         got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
         assert len(got) == len(want) and set(got) == want, name
