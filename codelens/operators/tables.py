@@ -139,11 +139,24 @@ def verdict_table(systems: DataFrame, reviews: DataFrame, strict: str, lenient:
     return out.withColumns({"strict_rate": rate(F.col("strict"), F.col("reviewed")), "lenient_rate": rate(F.col("lenient"), F.col("reviewed"))})
 
 
-def nearest_rank(rows: DataFrame, group: Sequence[str], value: str, q: float, out: str) -> DataFrame:
-    """The value at place round((n - 1) * q) from 0, half to even, to 3 decimals."""
-    order = Window.partitionBy(*group).orderBy(value)
-    placed = rows.where(F.col(value).isNotNull()).withColumns({"__k": F.row_number().over(order) - 1, "__n": F.count(F.lit(1)).over(Window.partitionBy(*group))})
-    return placed.where(F.col("__k") == F.bround((F.col("__n") - 1) * F.lit(q), 0)).select(*group, F.bround(value, 3).alias(out))
+def nearest_rank(rows: DataFrame, group: Sequence[str], value: str, q: float, out: str, parts: int = 4096) -> DataFrame:
+    """The value at place round((n - 1) * q) from 0, half to even, to 3 decimals.
+
+    Equal values are counted first. Each group's range is cut into ``parts``
+    equal stretches, whose counts tell in which one the place lies; only
+    that stretch's values are sorted, so no task sorts a whole group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    ends = counts.groupBy(*group).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__n").alias("__all"))
+    share = (F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0))
+    placed = counts.join(ends, list(group)).withColumn("__part", F.least(F.lit(parts - 1), F.floor(F.coalesce(share, F.lit(0)) * parts)))
+    want = F.bround((F.col("__all") - 1) * F.lit(q), 0)
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = placed.groupBy(*group, "__part").agg(F.sum("__n").alias("__k"), F.first("__all").alias("__all")).withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    stretch = stretches.where((want >= F.col("__before")) & (want < F.col("__before") + F.col("__k"))).select(*group, "__part", "__before")
+    upto = Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.join(stretch, [*group, "__part"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(upto))
+    return inside.where(F.col("__upto") > want).groupBy(*group).agg(F.bround(F.min("__v"), 3).alias(out))
 
 
 def phase_cost(rows: DataFrame, phase: str, project: str, seconds: str) -> DataFrame:

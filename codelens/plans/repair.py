@@ -77,29 +77,91 @@ def recounted(diff: str) -> str:
     return "\n".join(out)
 
 
+#: Other names of edit operations.
+OPERATIONS = {"insert-before": "insert_before", "insert-after": "insert_after", "remove": "delete"}
+
+
+def edit_plan(answer: str | None) -> list[dict] | None:
+    """The edits that an answer holds: JSON in a fence, as the whole text or between the outermost braces; an object with edits, or a list."""
+    text = (answer or "").strip()
+    if m := re.search(r"```(?:json)?\s*(.*?)```", text, re.S):
+        text = m[1].strip()
+    for part in (text, text[max(0, text.find("{")) : text.rfind("}") + 1]):
+        try:
+            found = json.loads(part)
+        except ValueError:
+            continue
+        edits = found.get("edits") if isinstance(found, dict) else found
+        if isinstance(edits, list):
+            return edits
+    return None
+
+
+def _operation(edit: dict) -> str:
+    name = str(edit.get("operation") or edit.get("type") or "replace").strip().lower()
+    return OPERATIONS.get(name, name)
+
+
+def _new_text(edit: dict) -> str:
+    given = edit.get("text")
+    return str(given if given is not None else edit.get("new", ""))
+
+
+def _first_line(edit: dict) -> int:
+    return int(edit.get("start_line") or edit.get("line") or 0)
+
+
 def edited(content: str, edits: list[dict]) -> str | None:
     """A file after its edits: by lines from the bottom up, then by text, first occurrence each. None if one doesn't fit."""
-    lines = content.split("\n")
-    numbered = sorted((e for e in edits if e.get("start_line")), key=lambda e: -int(e["start_line"]))
-    for e in numbered:
-        first, last = int(e["start_line"]), int(e.get("end_line") or e["start_line"])
-        if not 1 <= first <= last <= len(lines):
+    numbered = [e for e in edits if e.get("start_line") is not None or e.get("line") is not None]
+    lines, ends = content.splitlines(), content.endswith("\n")
+    for e in sorted(numbered, key=_first_line, reverse=True):
+        first = _first_line(e)
+        last = int(e.get("end_line") or first)
+        places = {"replace": (first - 1, last), "delete": (first - 1, last), "insert_before": (first - 1, first - 1), "insert_after": (last, last)}
+        if not 1 <= first <= last <= len(lines) or _operation(e) not in places:
             return None
-        text = (e.get("text") or "").split("\n") if e.get("operation") != "delete" else []
-        at = {"insert_before": (first - 1, first - 1), "insert_after": (last, last)}.get(e.get("operation"), (first - 1, last))
-        lines[at[0] : at[1]] = text
-    out = "\n".join(lines)
+        a, b = places[_operation(e)]
+        lines[a:b] = [] if _operation(e) == "delete" else _new_text(e).splitlines()
+    out = "\n".join(lines) + ("\n" if ends else "") if numbered else content
     for e in edits:
-        if not e.get("start_line"):
-            old = e.get("old") or e.get("anchor") or ""
-            if not old or old not in out:
-                return None
-            new = e.get("text") or ""
-            new = {"insert_before": new + old, "insert_after": old + new, "delete": ""}.get(e.get("operation"), new)
-            out = out.replace(old, new, 1)
+        if e in numbered:
+            continue
+        how, text = _operation(e), _new_text(e)
+        inserts = how in ("insert_before", "insert_after")
+        old = str((e.get("anchor") or e.get("old") if inserts else e.get("old") or e.get("anchor")) or "")
+        if not old or old not in out or not inserts and how not in ("replace", "delete"):
+            return None
+        whole_lines = text if text.endswith("\n") else text + "\n"
+        out = out.replace(old, {"replace": text, "delete": "", "insert_before": whole_lines + old, "insert_after": old + whole_lines}[how], 1)
     return out
 
 
+def edits_by_file(answers: DataFrame) -> DataFrame:
+    """(patch_id, path, edits as JSON) of answers (patch_id, answer, files): a row for each file that an answer edits.
+
+    An edit names its file; without one it is the only one of ``files``, the
+    plan's files. An answer without a plan, or with an edit whose file isn't
+    known, has one row with a null path.
+    """
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for patch, answer, files in zip(b["patch_id"], b["answer"], b["files"], strict=True):
+                edits = edit_plan(answer)
+                only = files[0] if files is not None and len(files) == 1 else None
+                paths = [(e.get("file") or e.get("path") or only) if isinstance(e, dict) else None for e in edits or []]
+                if not paths or None in paths:
+                    rows.append((patch, None, None))
+                    continue
+                clean = [re.sub(r"^[ab]/", "", str(p).strip()) for p in paths]
+                rows += [(patch, p, json.dumps([e for e, q in zip(edits, clean, strict=True) if q == p])) for p in dict.fromkeys(clean)]
+            yield pd.DataFrame(rows, columns=["patch_id", "path", "edits"])
+
+    return answers.select("patch_id", "answer", "files").mapInPandas(made, "patch_id string, path string, edits string")
+
+
 def edit_diffs(edits: DataFrame, files: DataFrame) -> DataFrame:
     """(patch_id, path, diff) of edit plans (patch_id, path, edits as JSON) against files (path, content); null where an edit doesn't fit."""
 

@@ -22,6 +22,42 @@ def read_lines(spark: SparkSession, paths: str | list[str], schema: StructType |
     return marked.where("NOT (broken AND last)").select("file", "place", checked.alias("r")).select("file", "place", "r.*")
 
 
+def _found(spark: SparkSession, pattern: str) -> list[tuple[str, bool]]:
+    """(path, whether it is a folder) of what a path or pattern finds in any store, sorted; nothing if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted((str(x.getPath().toString()), x.isDirectory()) for x in listed or [])
+
+
+def result_folders(spark: SparkSession, names: str, root: str = ".") -> list[str]:
+    """Folders of a comma list of paths and patterns; those that aren't absolute lie below ``root``. A plain path counts even if it isn't there."""
+    out: list[str] = []
+    for name in filter(None, map(str.strip, names.split(","))):
+        full = name if name.startswith("/") or "://" in name else f"{root.rstrip('/')}/{name}"
+        out += [p for p, folder in _found(spark, full) if folder] if any(c in full for c in "*?[]") else [full]
+    return out
+
+
+def input_files(spark: SparkSession, names: list[str], default: str, root: str = ".") -> list[str]:
+    """The files among ``names``, and for folders the file ``default`` in them; what isn't there is left out."""
+    out: list[str] = []
+    for name in names:
+        full = name if name.startswith("/") or "://" in name else f"{root.rstrip('/')}/{name}"
+        for path, folder in _found(spark, full):
+            out += [p for p, _ in _found(spark, f"{path}/{default}")] if folder else [path]
+    return out
+
+
+def json_ready(rows: DataFrame) -> DataFrame:
+    """(json) of each row: fields by name, null ones kept."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows as JSON lines, fields by name."""
+    json_ready(rows).write.mode(mode).text(path)
+
+
 def read_document(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One JSON document; an empty table of the schema where there is no file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", path.rsplit("/", 1)[-1]).load(path.rsplit("/", 1)[0]).select(F.col("content").cast("string").alias("t"))

