@@ -55,28 +55,36 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
     completions. Other columns are left out. A conversation becomes a row,
     as it must in the result; no larger group is ever gathered.
     """
-    pairs = _collected(chosen, key, "c").join(_collected(rejected, key, "r"), key)
-    shared = F.zip_with(F.slice("c", 1, F.least(F.size("c"), F.size("r"))), F.slice("r", 1, F.least(F.size("c"), F.size("r"))), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
-    pairs = pairs.withColumn("same", shared)
+    return format_pairs(_collected(chosen, key, "chosen_turns").join(_collected(rejected, key, "rejected_turns"), key), key, role)
+
+
+def format_pairs(pairs: DataFrame, key: str = "conv_id", role: str = "assistant") -> DataFrame:
+    """As ``format_preferences``, of pairs (key, chosen_turns, rejected_turns) that lie side by side as arrays of TURNS in order. Nothing is shuffled."""
+    c, r = F.col("chosen_turns"), F.col("rejected_turns")
+    both = F.least(F.size(c), F.size(r))
+    same = F.zip_with(F.slice(c, F.lit(1), both), F.slice(r, F.lit(1), both), lambda x, y: (x["role"] == y["role"]) & (x["text"] == y["text"]))
+    pairs = pairs.select(F.col(key).alias("id"), c, r, same.alias("same"))
     pairs = pairs.withColumn("n_common", F.when(F.array_contains("same", False), F.array_position("same", F.lit(False)) - 1).otherwise(F.size("same").cast("long")).cast("int"))
-    pairs = pairs.select(key, "n_common", F.slice("c", F.lit(1), F.col("n_common")).alias("p"), *[F.slice(x, F.col("n_common") + 1, F.size(x)).alias(x) for x in ("c", "r")])
-    return pairs.select(key, "n_common", render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), loss_spans(F.col("c"), role).alias("chosen_spans"), loss_spans(F.col("r"), role).alias("rejected_spans"))
+    pairs = pairs.select("id", "n_common", F.slice(c, F.lit(1), F.col("n_common")).alias("p"), *[F.slice(x, F.col("n_common") + 1, F.size(x)).alias(name) for name, x in (("c", c), ("r", r))])
+    return pairs.select(F.col("id").alias(key), "n_common", render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), loss_spans(F.col("c"), role).alias("chosen_spans"), loss_spans(F.col("r"), role).alias("rejected_spans"))
 
 
-def stale_replies(turns: DataFrame, key: str = "conv_id", role: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """Pairs out of plain conversations: each up to its last reply, and the same with the reply before in the last one's place.
+def stale_pairs(turns: DataFrame, key: str = "conv_id", role: str = "assistant") -> DataFrame:
+    """(key, chosen_turns, rejected_turns) out of plain conversations: each up to its last reply, and the same with the reply before in the last one's place.
 
     A reply that answers an earlier turn is a rejected answer to this one;
     where there is no earlier one, the rejected reply is empty. Conversations
-    without a reply give no pair.
+    without a reply give no pair. Turns are gathered once, and all else are
+    functions of the arrays.
     """
-    turns = turns.where(F.col(key).isNotNull() & F.col("turn").isNotNull()).select(key, "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    reply = F.when(F.col("role") == role, F.col("turn"))
-    last = turns.groupBy(F.col(key).alias("k")).agg(F.max(reply).alias("last")).where("last IS NOT NULL")
-    upto = turns.join(last, F.col(key) == F.col("k")).where("turn <= last")
-    earlier = upto.where((F.col("role") == role) & (F.col("turn") < F.col("last"))).groupBy("k").agg(F.max(F.struct("turn", "text"))["text"].alias("stale"))
-    wrong = upto.join(earlier, "k", "left").withColumn("text", F.when((F.col("turn") == F.col("last")) & (F.col("role") == role), F.coalesce("stale", F.lit(""))).otherwise(F.col("text")))
-    return upto.select(key, "turn", "role", "text"), wrong.select(key, "turn", "role", "text")
+    whole = _collected(turns, key, "turns")
+    replies = F.filter("turns", lambda t: t["role"] == role)
+    whole = whole.withColumns({"replies": replies, "last": F.array_max(F.transform(replies, lambda t: t["turn"]))}).where("last IS NOT NULL")
+    stale = F.array_max(F.transform(F.filter("replies", lambda t: t["turn"] < F.col("last")), lambda t: F.struct(t["turn"].alias("turn"), t["text"].alias("text"))))["text"]
+    whole = whole.select(key, "last", F.filter("turns", lambda t: t["turn"] <= F.col("last")).alias("chosen_turns"), F.coalesce(stale, F.lit("")).alias("stale"))
+    text = lambda t: F.when((t["turn"] == F.col("last")) & (t["role"] == role), F.col("stale")).otherwise(t["text"])
+    other = F.transform("chosen_turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), text(t).alias("text")))
+    return whole.select(key, "chosen_turns", F.array_sort(F.array_distinct(other)).alias("rejected_turns"))
 
 
 def written(spans: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import format_preferences, stale_replies
+from .chat import format_pairs, stale_pairs
 from .chat import written as spans_written
 from .decontaminate import find_passages
 from .html_text import extract_text
@@ -66,7 +66,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = format_preferences(*stale_replies(table(spark, sf_dir, "conversations")))
+    made = format_pairs(stale_pairs(table(spark, sf_dir, "conversations")))
     return made.withColumns({c: spans_written(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 

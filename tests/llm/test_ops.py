@@ -547,6 +547,19 @@ def test_common_turns_are_rendered_once(spark):
     assert chat.format_preferences(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).count() == 0
 
 
+def test_stale_replies_of_odd_conversations(spark):
+    """Long ones, repeated turns, several replies with one number, none at all, and columns with names that are used inside."""
+    kind = "conv_id long, turn long, role string, text string"
+    long = [(1, k, "assistant" if k % 2 else "user", f"t{k} " * 50) for k in range(400)] + [(1, 400, "user", "unanswered")]
+    rows = [*long, *long[:3], (2, 0, "user", "q"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a"), (3, 0, "user", "alone"), (4, 0, "assistant", None), (None, 0, "assistant", "x"), (5, None, "assistant", "y")]
+    turns = spark.createDataFrame(rows, kind).withColumn("last", F.lit("mine")).withColumn("turns", F.lit(3))
+    got = {r.conv_id: r for r in chat.format_pairs(chat.stale_pairs(turns)).collect()}
+    assert set(got) == {1, 2, 4}
+    assert got[1].n_common == 399 and got[1].chosen == f"<|assistant|>\n{'t399 ' * 50}<|end|>\n" and got[1].rejected == f"<|assistant|>\n{'t397 ' * 50}<|end|>\n"
+    assert (got[2].n_common, got[2].rejected) == (1, "<|assistant|>\n<|end|>\n") and got[2].chosen == "<|assistant|>\na<|end|>\n<|assistant|>\nb<|end|>\n"
+    assert (got[4].n_common, got[4].chosen, got[4].rejected) == (1, "", "")
+
+
 # --- 10: URLs
 
 
