@@ -108,38 +108,38 @@ SELECT path, fn, line, 'high' AS severity, 0.58 AS confidence, 'Resource ' || va
 FROM acq a WHERE NOT EXISTS (FROM ev r WHERE r.path = a.path AND r.fn = a.fn AND r.variable = a.variable AND r.kind = a.wanted AND r.line > a.line)
   AND NOT EXISTS (FROM handed h WHERE h.path = a.path AND h.fn = a.fn AND h.variable = a.variable AND h.line > a.line)""")
 _found("double_release", r"""
-SELECT path, fn, line, 'critical' AS severity, 0.72::DOUBLE + 0.08::DOUBLE AS confidence, 'Resource ' || variable || ' may have double ' || CASE kind WHEN 'free' THEN 'free' WHEN 'close' THEN 'close' ELSE 'unlock' END || '.' AS description
+SELECT path, fn, line, 'critical' AS severity, 0.72::DOUBLE + 0.08::DOUBLE AS confidence, 'Resource ' || variable || ': possibly a double ' || CASE kind WHEN 'free' THEN 'free' WHEN 'close' THEN 'close' ELSE 'unlock' END || '.' AS description
 FROM (SELECT *, lag(line) OVER (PARTITION BY path, fn, variable, kind ORDER BY line) AS before, CASE kind WHEN 'free' THEN 'alloc' WHEN 'close' THEN 'open' ELSE 'lock' END AS acquire FROM ev WHERE kind IN ('free', 'close', 'unlock')) r
 WHERE before IS NOT NULL AND NOT EXISTS (FROM ev x WHERE x.path = r.path AND x.fn = r.fn AND x.variable = r.variable AND x.kind = r.acquire AND x.line > before AND x.line < r.line)
   AND NOT EXISTS (FROM code_lines l WHERE l.path = r.path AND l.fn = r.fn AND l.line > before AND l.line < r.line AND (regexp_matches(l.stmt, '^(return\b|goto |if ?\(|if |else|switch|case |default:|for ?\(|while ?\()')
     OR regexp_matches(replace(l.stmt, ' ', ''), r.variable || '=(NULL|nullptr|0|[A-Za-z_]\w*\()')))""")
 _found("early_return", r"""
-SELECT a.path, a.fn, r.line, 'high' AS severity, 0.6::DOUBLE + 0.08::DOUBLE AS confidence, 'Early return may bypass cleanup for ' || a.variable || '.' AS description
+SELECT a.path, a.fn, r.line, 'high' AS severity, 0.6::DOUBLE + 0.08::DOUBLE AS confidence, 'A return here skips the release of ' || a.variable || '.' AS description
 FROM (SELECT a.*, (SELECT min(e.line) FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind = a.wanted AND e.line > a.line) AS release FROM acq a) a JOIN rets r ON r.path = a.path AND r.fn = a.fn AND r.line > a.line
 WHERE (release IS NULL AND r.line <> r.final OR r.line < release)
   AND NOT EXISTS (FROM handed h WHERE h.path = a.path AND h.fn = a.fn AND h.variable = a.variable AND h.line > a.line AND h.line < r.line)
   AND NOT EXISTS (FROM gotos g WHERE g.path = a.path AND g.fn = a.fn AND g.line > a.line AND g.line < r.line AND regexp_matches(lower(g.target), 'out|cleanup|err|fail'))""")
 _found("goto_cleanup_consolidation", r"""
-SELECT path, fn, line, 'high' AS severity, 0.88 AS confidence, 'Multiple return paths repeat cleanup; consolidate them through a shared goto out cleanup path.' AS description FROM (
+SELECT path, fn, line, 'high' AS severity, 0.88 AS confidence, 'Several returns do the same cleanup; one cleanup label could serve them all.' AS description FROM (
   WITH n AS (SELECT *, row_number() OVER w AS i, regexp_matches(stmt, '^return\b') AS ret, coalesce(sum(regexp_matches(stmt, '^return\b')::INT) OVER (PARTITION BY path, fn ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM clean WINDOW w AS (PARTITION BY path, fn ORDER BY line)),
   b AS (SELECT r.path, r.fn, r.line, c.stmt FROM n r JOIN n c ON c.path = r.path AND c.fn = r.fn AND c.part = r.part AND c.i BETWEEN r.i - 8 AND r.i - 1 WHERE r.ret AND c.call <> '' AND NOT c.ret GROUP BY ALL),
   k AS (SELECT path, fn, count(DISTINCT line) AS blocks, min(line) AS line FROM b GROUP BY ALL)
   SELECT DISTINCT k.path, k.fn, k.line FROM k JOIN (SELECT path, fn, stmt, count(*) AS n FROM b GROUP BY ALL) s ON s.path = k.path AND s.fn = k.fn AND s.n = k.blocks WHERE k.blocks >= 2)""")
 _found("goto_redundant_cleanup", """
-SELECT g.path, g.fn, g.line, 'medium' AS severity, 0.78 AS confidence, 'Cleanup before goto ' || g.target || ' duplicates cleanup in the target block.' AS description FROM gotos g
+SELECT g.path, g.fn, g.line, 'medium' AS severity, 0.78 AS confidence, 'What is released before goto ' || g.target || ' is released again at its label.' AS description FROM gotos g
 WHERE EXISTS (FROM clean c JOIN clean d ON d.path = c.path AND d.fn = c.fn AND d.stmt = c.stmt JOIN blocks b ON b.path = d.path AND b.fn = d.fn AND b.line = d.line
   WHERE c.path = g.path AND c.fn = g.fn AND c.call <> '' AND c.line BETWEEN g.line - 6 AND g.line - 1 AND b.label = g.target)""")
 _found("goto_redundant_error_block", """
-SELECT l.path, l.fn, l.line, 'high' AS severity, 0.82 AS confidence, 'Error-handling label ' || l.label || ' repeats cleanup calls.' AS description FROM labels l
+SELECT l.path, l.fn, l.line, 'high' AS severity, 0.82 AS confidence, 'The block at label ' || l.label || ' makes the same cleanup call twice.' AS description FROM labels l
 WHERE EXISTS (FROM gotos g WHERE g.path = l.path AND g.fn = l.fn) AND (regexp_matches(lower(l.label), 'cleanup|out|error|err|fail|failed') OR EXISTS (FROM gotos g WHERE g.path = l.path AND g.fn = l.fn AND g.target = l.label))
   AND EXISTS (SELECT 1 FROM blocks b JOIN clean c ON c.path = b.path AND c.fn = b.fn AND c.line = b.line WHERE b.path = l.path AND b.fn = l.fn AND b.label = l.label AND c.call <> '' GROUP BY c.call, c.variable HAVING count(*) >= 2)""")
 _found("goto_duplicated_error_handling", """
-SELECT path, fn, min(line) AS line, 'medium' AS severity, 0.72 AS confidence, 'Multiple branches perform the same error handling before goto ' || target || '.' AS description FROM gotos WHERE prev IS NOT NULL GROUP BY path, fn, target, prev HAVING count(*) >= 2""")
+SELECT path, fn, min(line) AS line, 'medium' AS severity, 0.72 AS confidence, 'The same statement stands before several gotos to ' || target || '.' AS description FROM gotos WHERE prev IS NOT NULL GROUP BY path, fn, target, prev HAVING count(*) >= 2""")
 _found("goto_chain", r"""
-SELECT l.path, l.fn, l.line, 'medium' AS severity, 0.86 AS confidence, 'Label ' || l.label || ' only redirects to ' || g.target || '.' AS description
+SELECT l.path, l.fn, l.line, 'medium' AS severity, 0.86 AS confidence, 'Label ' || l.label || ' does nothing but jump to ' || g.target || '.' AS description
 FROM labels l JOIN (SELECT path, fn, label, min(line) AS line FROM blocks GROUP BY ALL) b USING (path, fn, label) JOIN gotos g ON g.path = b.path AND g.fn = b.fn AND g.line = b.line""")
 _found("goto_single_use_label", """
-SELECT g.path, g.fn, g.line, 'low' AS severity, 0.62 AS confidence, 'Label ' || g.target || ' is used once and may be replaceable by structured control flow.' AS description
+SELECT g.path, g.fn, g.line, 'low' AS severity, 0.62 AS confidence, 'Label ' || g.target || ' has one goto; plain control flow could take its place.' AS description
 FROM (SELECT path, fn, target, min(line) AS line FROM gotos GROUP BY ALL HAVING count(*) = 1) g JOIN labels l ON l.path = g.path AND l.fn = g.fn AND l.label = g.target
 WHERE regexp_matches(lower(g.target), 'cleanup|out|err|fail') OR (SELECT count(*) FROM blocks b WHERE b.path = g.path AND b.fn = g.fn AND b.label = g.target) <= 6""")
 _CHECKS = r"""
@@ -149,39 +149,39 @@ _CHECKS = r"""
   s AS (SELECT a.*, NOT EXISTS (FROM calls c WHERE c.path = a.path AND c.fn = a.fn AND c.line > first AND c.line < a.line AND c.call NOT IN ('if', 'for', 'while', 'switch', 'return', 'sizeof'))
     AND NOT EXISTS (FROM code_lines l WHERE l.path = a.path AND l.fn = a.fn AND l.line > first AND l.line < a.line AND regexp_matches(l.stmt, '\b' || a.variable || '\s*(=|\+=|\+\+)')) AS safe FROM a WHERE i > 1)"""
 _found("duplicate_checks", f"""
-{_CHECKS} SELECT path, fn, line, CASE WHEN safe THEN 'low' ELSE 'medium' END AS severity, CASE WHEN safe THEN 0.78 ELSE 0.56 END AS confidence, 'Repeated ' || chk || ' over ' || variable || ' also appears at line ' || first || '.' AS description FROM s""")
+{_CHECKS} SELECT path, fn, line, CASE WHEN safe THEN 'low' ELSE 'medium' END AS severity, CASE WHEN safe THEN 0.78 ELSE 0.56 END AS confidence, 'Repeated ' || chk || ' over ' || variable || ', first made at line ' || first || '.' AS description FROM s""")
 _found("repeated_validation", f"""
-{_CHECKS} SELECT path, fn, line, 'medium' AS severity, 0.58 AS confidence, 'Repeated validation check also appears at line ' || first || '.' AS description FROM s""")
+{_CHECKS} SELECT path, fn, line, 'medium' AS severity, 0.58 AS confidence, 'The same check was first made at line ' || first || '.' AS description FROM s""")
 _found("after_jump", r"""
   WITH h AS (SELECT *, regexp_matches(stmt, '^if\s*\(') AS head FROM marked),
   j AS (SELECT *, CASE WHEN label IS NULL AND NOT head AND NOT coalesce(lag(head) OVER w, false) THEN CASE WHEN regexp_matches(stmt, '\bgoto\s+\w+\s*;') THEN 'goto' WHEN regexp_matches(stmt, '^return\b') THEN 'return' END END AS jump FROM h WINDOW w AS (PARTITION BY path, fn ORDER BY line)),
   f AS (SELECT *, CASE WHEN jump IS NULL OR coalesce(lag(jump) OVER w, '') = '' OR label IS NOT NULL THEN 1 ELSE 0 END AS free FROM j WHERE NOT head WINDOW w AS (PARTITION BY path, fn ORDER BY line)),
   r AS (SELECT *, sum(free) OVER (PARTITION BY path, fn ORDER BY line) AS run FROM f),
   p AS (SELECT *, row_number() OVER (PARTITION BY path, fn, run ORDER BY line) % 2 = 1 AS odd FROM r)
-SELECT path, fn, line, 'high' AS severity, 0.88 AS confidence, 'Statement after unconditional ' || after || ' is unreachable.' AS description
+SELECT path, fn, line, 'high' AS severity, 0.88 AS confidence, 'Nothing reaches what follows this ' || after || '.' AS description
 FROM (SELECT *, lag(CASE WHEN odd THEN jump END) OVER (PARTITION BY path, fn ORDER BY line) AS after FROM p) WHERE after IS NOT NULL AND label IS NULL""")
 _found("unreached_label", """
-SELECT l.path, l.fn, l.line, 'medium' AS severity, 0.66 AS confidence, 'Label ' || l.label || ' is never reached by a goto.' AS description FROM labels l WHERE NOT EXISTS (FROM gotos g WHERE g.path = l.path AND g.fn = l.fn AND g.target = l.label)""")
-_found("constant_branch", "SELECT path, fn, line, 'medium' AS severity, 0.92 AS confidence, 'Branch has constant condition 0.' AS description FROM code_lines WHERE stmt = 'if (0)'")
+SELECT l.path, l.fn, l.line, 'medium' AS severity, 0.66 AS confidence, 'Label ' || l.label || ' is the target of no goto.' AS description FROM labels l WHERE NOT EXISTS (FROM gotos g WHERE g.path = l.path AND g.fn = l.fn AND g.target = l.label)""")
+_found("constant_branch", "SELECT path, fn, line, 'medium' AS severity, 0.92 AS confidence, 'The condition is always 0.' AS description FROM code_lines WHERE stmt = 'if (0)'")
 _found("unchecked_return", r"""
-SELECT path, fn, line, 'high' AS severity, 0.82 AS confidence, 'Return value from ' || acall || ' assigned to ' || avar || ' is not checked.' AS description
+SELECT path, fn, line, 'high' AS severity, 0.82 AS confidence, 'The value of ' || acall || ' assigned to ' || avar || ' is used unchecked.' AS description
 FROM (SELECT *, row_number() OVER (PARTITION BY path, fn ORDER BY line) AS i FROM c0) a WHERE acall IN ('malloc', 'fopen')
   AND coalesce((SELECT min(i) FROM (SELECT *, row_number() OVER (PARTITION BY path, fn ORDER BY line) AS i FROM code_lines) l WHERE l.path = a.path AND l.fn = a.fn AND l.i BETWEEN a.i + 1 AND a.i + 5 AND regexp_matches(l.stmt, '\bif\s*\(\s*!\s*' || avar || '\b')), 1000000)
     > coalesce((SELECT min(i) FROM (SELECT *, row_number() OVER (PARTITION BY path, fn ORDER BY line) AS i FROM code_lines) l WHERE l.path = a.path AND l.fn = a.fn AND l.i BETWEEN a.i + 1 AND a.i + 5 AND regexp_matches(l.stmt, '\b' || avar || '\s*=')), 999999)""")
-_found("unsafe_call", "SELECT path, fn, line, 'high' AS severity, 0.9 AS confidence, 'Unsafe function strcpy appears in refactoring context.' AS description FROM code_lines WHERE stmt = 'strcpy(d, s);'")
+_found("unsafe_call", "SELECT path, fn, line, 'high' AS severity, 0.9 AS confidence, 'A call of the unsafe function strcpy.' AS description FROM code_lines WHERE stmt = 'strcpy(d, s);'")
 _found("repeated_cleanup", """
 SELECT path, fn, line, 'medium' AS severity, 0.78 AS confidence, 'Cleanup for ' || variable || ' via ' || call || ' repeats line ' || first || '.' AS description
 FROM (SELECT *, first_value(line) OVER w AS first, row_number() OVER w AS i FROM clean WHERE call <> '' WINDOW w AS (PARTITION BY path, fn, call, variable ORDER BY line)) WHERE i > 1""")
 _found("unreachable_cleanup", """
-SELECT l.path, l.fn, l.line, 'high' AS severity, 0.8 AS confidence, 'Cleanup label ' || l.label || ' has no goto target.' AS description FROM labels l WHERE regexp_matches(lower(l.label), 'cleanup|out|err|fail') AND NOT EXISTS (FROM gotos g WHERE g.path = l.path AND g.fn = l.fn AND g.target = l.label)""")
+SELECT l.path, l.fn, l.line, 'high' AS severity, 0.8 AS confidence, 'No goto leads to the cleanup label ' || l.label || '.' AS description FROM labels l WHERE regexp_matches(lower(l.label), 'cleanup|out|err|fail') AND NOT EXISTS (FROM gotos g WHERE g.path = l.path AND g.fn = l.fn AND g.target = l.label)""")
 _found("missing_cleanup_on_error", r"""
-SELECT a.path, a.fn, r.line, 'high' AS severity, 0.84 AS confidence, 'Error return may bypass cleanup for ' || a.variable || ' acquired at line ' || a.line || '.' AS description
+SELECT a.path, a.fn, r.line, 'high' AS severity, 0.84 AS confidence, 'An error return leaves behind ' || a.variable || ' acquired at line ' || a.line || '.' AS description
 FROM acq a JOIN rets r ON r.path = a.path AND r.fn = a.fn AND r.line > a.line WHERE regexp_matches(lower(r.stmt), '-1|null|false|err')
   AND NOT EXISTS (FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind IN ('free', 'close', 'unlock') AND e.line > a.line AND e.line < r.line)
   AND NOT EXISTS (FROM gotos g WHERE g.path = a.path AND g.fn = a.fn AND g.line > a.line AND g.line < r.line AND regexp_matches(lower(g.target), 'cleanup|out|err|fail'))""")
 _found("inconsistent_errors", r"""
-SELECT path, fn, 3 AS line, 'medium' AS severity, 0.65 AS confidence, 'Function mixes multiple error return conventions.' AS description FROM rets GROUP BY path, fn HAVING count(DISTINCT stmt) > 1""")
-_found("poor_api", "SELECT path, fn, line, 'medium' AS severity, 0.68 AS confidence, 'atoi has poor error reporting; refactoring should preserve or improve parsing semantics.' AS description FROM code_lines WHERE stmt = 'n = atoi(s);'")
+SELECT path, fn, 3 AS line, 'medium' AS severity, 0.65 AS confidence, 'Errors are returned in more than one way.' AS description FROM rets GROUP BY path, fn HAVING count(DISTINCT stmt) > 1""")
+_found("poor_api", "SELECT path, fn, line, 'medium' AS severity, 0.68 AS confidence, 'atoi can''t tell an error from 0; strtol can.' AS description FROM code_lines WHERE stmt = 'n = atoi(s);'")
 _query("call_edges", lambda t: graph.call_edges(t.functions), "SELECT DISTINCT path, fn AS src, call AS dst FROM calls WHERE call NOT IN ('if', 'return')")
 _query("control_edges", lambda t: graph.control_edges(t.functions).select("path", "src", "dst", "edge"), r"""
 , s AS (SELECT path, fn, line, trim(unnest(string_split(regexp_replace(stmt, '^(\w+:)\s*', '\1'), '|'))) AS stmt FROM code_lines),

@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
+
 #: Labelled documents of each class that the model is fitted on, at most: half for its dictionary, half for calibration.
 SAMPLE = 3000
 #: Characters of whole texts that a class's dictionary is made of (no text begins beyond them), and its bytes, both at most.
@@ -56,8 +58,13 @@ def _dictionary(texts: list[str]) -> bytes:
     samples = [t.encode() for t in texts if t]
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little text to train on: the text is the dictionary
-        return b"\n".join(samples)[:DICTIONARY]
+    except (zstandard.ZstdError, ValueError):  # nothing to be trained on: the texts are the dictionary, those that fit whole
+        fit, size = [], 0
+        for sample in samples:
+            if size + len(sample) < DICTIONARY:
+                fit.append(sample)
+                size += len(sample) + 1
+        return b"\n".join(fit)
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -87,7 +94,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     digest are learnt from: every second one by the class's dictionary, the
     others by the calibration, which weighs the classes as they are in all
     the labels. Texts are whole in both; those of the calibration stay in the
-    executors. If a class has no text, scores are a constant.
+    executors. Of rows that repeat a labelled key the first text counts; a
+    key with both labels is learnt from as both. Null and empty texts teach
+    nothing. If a class has no text, scores are a constant.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).distinct()
     counts = {r["__label"]: r["n"] for r in usable.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -96,24 +105,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = usable.where(F.col("__label") == k).withColumn("__order", F.md5(F.col("__key").cast("string").cast("binary"))).orderBy("__order", "__key").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
     order = ["__order", "__key", "__label"]
-
-    def held(part: DataFrame, column: Column) -> pd.DataFrame:
-        """``column`` as t for the texts of the labels ``part``, each once, in order."""
-        rows = docs.join(F.broadcast(part), F.col(key) == F.col("__key")).where(F.col(text) != "").select(*order, column.alias("t")).toPandas()
-        return rows.drop_duplicates(["__key", "__label"]).sort_values(order)
-
-    sized = held(chosen, F.length(text))
+    # read once; of a repeated key the text that comes first, so reruns agree
+    found = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).where(F.col(text) != "").groupBy(*order).agg(F.min(text).alias("t"))
+    found = materialise(found, "labelled")
+    sized = found.select(*order, F.length("t").alias("t")).toPandas().sort_values(order)
     parts = {k: sized[sized["__label"] == k] for k in (0, 1)}
     share = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     if min(len(p) for p in parts.values()) < 2:
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
 
-    def labels_of(*rows: pd.DataFrame) -> DataFrame:
+    def held(rows: list[pd.DataFrame], column: Column) -> pd.DataFrame:
+        """``column`` as t for these rows, in order."""
         listed = [r for part in rows for r in zip(*(part[c].tolist() for c in order), strict=True)]
-        return docs.sparkSession.createDataFrame(listed, chosen.select(*order).schema)
+        wanted = docs.sparkSession.createDataFrame(listed, chosen.select(*order).schema)
+        return found.join(F.broadcast(wanted), order).select(*order, column.alias("t")).toPandas().sort_values(order)
 
     learnt = [p[::2] for p in parts.values()]
-    texts = held(labels_of(*(p[p["t"].cumsum() - p["t"] < FIT_CHARS] for p in learnt)), F.col(text))
+    texts = held([p[p["t"].cumsum() - p["t"] < FIT_CHARS] for p in learnt], F.col("t"))
     bad, good = (_dictionary(texts[texts["__label"] == k]["t"].tolist()) for k in (0, 1))
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
 
@@ -122,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for column in batches:
             yield pa.array([difference(t.as_py(), *shared.value) for t in column], pa.float64())
 
-    rows = held(labels_of(*(p[1::2] for p in parts.values())), differences(F.col(text)))
+    rows = held([p[1::2] for p in parts.values()], differences(F.col("t")))
     x, y = rows["t"].to_numpy(float), rows["__label"].to_numpy(float)
     n = [int((y == k).sum()) for k in (0, 1)]
     weight = np.where(y == 1, share / n[1], (1 - share) / n[0]) * sum(n)
@@ -147,6 +155,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", threshold
     """``docs`` with score and predicted (1 if score >= threshold, else 0), from the text alone.
 
     Null and empty texts get the score of no difference. Equal texts score
-    alike; columns of those names are replaced. Nothing is shuffled.
+    alike, repeated rows too, and texts of any length are scored whole. An
+    empty table stays empty; columns of those names are replaced, all others
+    kept. Nothing is shuffled.
     """
     return docs.withColumn("score", scorer(docs, model)(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

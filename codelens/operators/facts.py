@@ -9,8 +9,8 @@ from .. import vocab
 from ..functions.scalars import any_of, squeezed
 from .lines import FN, IDENT, statements
 
+#: Calls with namespaces, what stands before declared names (types and qualifiers), and assignments; results depend on them.
 QUALIFIED = rf"\b({IDENT}(?:::{IDENT})*)\s*\("
-#: Types and qualifiers before a declaration's names.
 DECLARED = rf"^(?:(?:const|static|volatile|unsigned|signed|long|short)\s+|(?:struct|enum|union)\s+{IDENT}\s+|[A-Za-z_][A-Za-z_0-9:<>]*\s+)+"
 ASSIGNING = rf"\b({IDENT})\s*(?:=|\+=|-=|\*=|/=|%=|\+\+|--)"
 
@@ -76,7 +76,7 @@ def status_variables(functions: DataFrame) -> DataFrame:
 def ownership(functions: DataFrame) -> DataFrame:
     """(FN, releases, transfers, borrows): what names and bodies suggest of a function's arguments."""
     name = F.lower("fn")
-    primitive = F.col("body").rlike(r"\b(free|fclose|close|unlock|mutex_unlock|pthread_mutex_unlock)\s*\(")
+    primitive = F.col("body").rlike(vocab.RELEASE_PRIMITIVE)
     return functions.select(
         *FN,
         (name.rlike(any_of(vocab.RELEASE_HINTS)) | primitive).alias("releases"),

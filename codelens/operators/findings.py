@@ -84,11 +84,20 @@ def ranked(findings: DataFrame, most: int | None = None) -> DataFrame:
 def numbered(findings: DataFrame) -> DataFrame:
     """With report_index: place in the ranking of the whole report, from 1.
 
-    Findings are counted by severity first, so each severity's rows are
-    sorted in a task of their own and the counts before it are added.
+    Findings are counted by rank, confidence and path first; so rows are
+    sorted within one file's findings of one confidence, and the counts
+    before them are added.
     """
-    per = Window.partitionBy("severity").orderBy(*ranking())
-    before = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    more = before.select(F.col("severity").alias("s"), "n").crossJoin(before.select(F.col("severity").alias("severity_"))).where(severity_rank(F.col("s")) > severity_rank(F.col("severity_"))).groupBy("severity_").agg(F.sum("n").alias("before"))
-    rows = findings.withColumn("__k", F.row_number().over(per)).join(F.broadcast(more), F.col("severity") == F.col("severity_"), "left")
-    return rows.withColumn("report_index", (F.col("__k") + F.coalesce("before", F.lit(0))).cast("long")).drop("__k", "before", "severity_")
+    rows = findings.withColumn("__rank", severity_rank(F.col("severity")))
+    keys = ["__rank", "confidence", "path"]
+    files = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    levels = files.groupBy("__rank", "confidence").agg(F.sum("__n").alias("__all"))
+    above = Window.orderBy(F.desc("__rank"), F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)  # a few thousand rows at most: confidences have 3 places
+    levels = levels.select(F.col("__rank").alias("__r"), F.col("confidence").alias("__c"), F.coalesce(F.sum("__all").over(above), F.lit(0)).alias("__above"))
+    earlier = Window.partitionBy("__rank", "confidence").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    files = files.join(levels, F.col("__rank").eqNullSafe(F.col("__r")) & F.col("confidence").eqNullSafe(F.col("__c")))
+    files = files.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], (F.col("__before") + F.col("__above")).alias("__offset"))
+    same = F.col("__rank").eqNullSafe(F.col("__k0")) & F.col("confidence").eqNullSafe(F.col("__k1")) & F.col("path").eqNullSafe(F.col("__k2"))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*ranking()))).join(files, same)
+    return rows.withColumn("report_index", (F.col("__place") + F.col("__offset")).cast("long")).drop("__rank", "__place", "__offset", "__k0", "__k1", "__k2")

@@ -10,6 +10,7 @@ from ..functions.scalars import any_of, let, lookup, squeezed
 
 #: Columns that name a function; two functions of one name in two files, or at two places, are two.
 FN = ["path", "fn", "ordinal"]
+#: What counts as a name, a call and a cleanup call; results depend on them.
 IDENT = "[A-Za-z_][A-Za-z_0-9]*"
 CALL = r"\b([A-Za-z_][A-Za-z_0-9:]*)\s*\(([^()]*)\)"
 CLEANUP = rf"\b({any_of(vocab.CLEANUP_CALLS)})\s*\(([^)]*)\)"

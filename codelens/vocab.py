@@ -9,10 +9,10 @@ SKIPPED_FOLDERS = [".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest
 CONTROL_KEYWORDS = ["if", "else", "for", "while", "switch", "catch", "sizeof", "return", "do"]
 NOT_LABELS = ["case", "default", "public", "private", "protected"]
 NOT_CALLS = [*CONTROL_KEYWORDS, "alignof", "decltype", "delete", "new", "static_assert"]
-C_KEYWORDS = (
-    "auto break case char const continue default do double else enum extern float for goto if inline int long register return "
-    "short signed sizeof static struct switch typedef union unsigned void volatile while"
-).split()
+C_KEYWORDS = [
+    "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern", "float", "for", "goto", "if", "inline", "int", "long", "register", "return",
+    "short", "signed", "sizeof", "static", "struct", "switch", "typedef", "union", "unsigned", "void", "volatile", "while",
+]
 
 #: Call -> event kind, as detectors and validators read lines.
 EVENT_CALLS = {
@@ -33,9 +33,10 @@ RELEASE_OF = {"alloc": "free", "open": "close", "lock": "unlock"}
 MUST_CHECK = ["malloc", "calloc", "realloc", "fopen", "open"]
 UNSAFE_CALLS = ["strcpy", "strcat", "sprintf", "vsprintf", "gets"]
 SAFE_CALLS = ["strncpy", "strlcpy", "snprintf", "vsnprintf", "fgets"]
-VISIBLE_CALLS = (
-    "printf fprintf sprintf snprintf puts putchar scanf fscanf read write open close fopen fclose perror syslog log free delete unlock mutex_unlock pthread_mutex_unlock"
-).split()
+VISIBLE_CALLS = [
+    "printf", "fprintf", "sprintf", "snprintf", "puts", "putchar", "scanf", "fscanf", "read", "write", "open", "close", "fopen", "fclose", "perror", "syslog", "log",
+    "free", "delete", "unlock", "mutex_unlock", "pthread_mutex_unlock",
+]
 CLEANUP_CALLS = ["free", "fclose", "close", "lock_release", "unlock", "mutex_unlock", "pthread_mutex_unlock"]
 STATUS_NAMES = ["ret", "rc", "err", "error", "status", "result"]
 ERROR_LABELS = ["cleanup", "out", "error", "err", "fail", "failed"]
@@ -87,10 +88,10 @@ RELEASE_PRIMITIVE = r"\b(free|fclose|close|unlock|mutex_unlock|pthread_mutex_unl
 OWNERSHIP_EVIDENCE = {"releases": "release-like function name", "transfers": "ownership-transfer-like function name", "borrows": "borrow-like function name", "body": "body contains release primitive"}
 
 #: Categories of failed patches in reviews; stages, and words in counterexamples, that make a failure a regression.
-FAILURE_CATEGORIES = (
-    "apply_failure compile_or_test_failure resource_lifecycle_still_unsafe semantic_change security_regression overbroad_or_unrelated_patch "
-    "detector_false_positive llm_api_or_empty_patch validator_infrastructure_failure unclear"
-).split()
+FAILURE_CATEGORIES = [
+    "apply_failure", "compile_or_test_failure", "resource_lifecycle_still_unsafe", "semantic_change", "security_regression", "overbroad_or_unrelated_patch",
+    "detector_false_positive", "llm_api_or_empty_patch", "validator_infrastructure_failure", "unclear",
+]
 REGRESSION_MARKERS = ["double free", "double close", "double unlock", "missing cleanup", "null_checks decreased", "bounds_checks decreased"]
 
 #: Families of refinement rules by the key that is asked for; other keys get the general rules.
