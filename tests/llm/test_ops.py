@@ -448,6 +448,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0) for r in without_copies(_documents(spark, rows)).collect()) == [0, 1, 4, 5, 9]
 
 
+def test_one_of_each_group_stays_beside_columns_of_any_name(spark):
+    text = " ".join(f"t{k}" for k in range(50))
+    names = dict.fromkeys(("copy_key", "twin_key", "first_row", "component_id", "n_shingles", "n", "__copy", "__again"), "own")
+    docs = _documents(spark, [(3, text), (1, text), (1, None), (7, "a " * 100_000)], **names)
+    got = without_copies(docs)
+    assert got.columns == docs.columns and [(r.doc_id, r.text is None, r.twin_key) for r in got.orderBy("doc_id").collect()] == [(1, True, "own"), (7, False, "own")]
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(k, k + 1) for k in range(100, 160)] + [(k, 7) for k in range(200, 260)] + [(rnd.randint(300, 360), rnd.randint(300, 360)) for _ in range(40)] + [(5, 5), (None, 3)]
