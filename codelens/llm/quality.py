@@ -67,7 +67,7 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(fit)
 
 
-def _calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a weighted logistic curve, by Newton's method with a small ridge; the slope isn't negative."""
     design = np.stack([x, np.ones_like(x)], 1)
     beta = np.zeros(2)
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     x, y = rows["t"].to_numpy(float), rows["__label"].to_numpy(float)
     n = [int((y == k).sum()) for k in (0, 1)]
     weight = np.where(y == 1, share / n[1], (1 - share) / n[0]) * sum(n)
-    return Model(good, bad, *_calibrated(x, y, weight))
+    return Model(good, bad, *calibrated(x, y, weight))
 
 
 def scorer(docs: DataFrame, model: Model):
