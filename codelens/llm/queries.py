@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .chat import format_pairs, stale_pairs
 from .chat import written as spans_written
+from .codes import encode, with_label_errors
 from .decontaminate import find_passages
 from .html_text import extract_text
 from .jaccard import link_counts, similar_sets
@@ -82,6 +84,13 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = encode(table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    final = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return with_label_errors(coded).select("vec_id", digits.alias("code"), "error", "label_error", F.lit(final).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_main_text": op2_main_text,
@@ -95,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preferences": op9_preferences,
     "op10_url_filter": op10_url_filter,
     "op11_toxicity": op11_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 SQL: dict[str, str] = {}
@@ -182,3 +192,27 @@ SELECT conv_id, sum(1 - differs)::INTEGER AS n_common,
        coalesce(max(length(head) || ':' || (length(head) + length(other) + 7)) FILTER (WHERE differs = 1), '') AS rejected_spans
 FROM n GROUP BY conv_id
 """
+
+
+def _round_sql(n: int) -> str:
+    """Assignment ``a{n}`` by the codebooks ``b{n}``, and the next codebooks ``b{n+1}``: means rounded down, unused entries as they were."""
+    return f"""
+a{n} AS (SELECT id, part, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, b), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT, 'entry': entry}}) AS best FROM p JOIN b{n} USING (part) GROUP BY id, part),
+s{n} AS (SELECT part, entry, i, sum(v)::BIGINT AS s, count(*)::BIGINT AS n FROM (SELECT part, best.entry AS entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY ALL),
+m{n} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS b FROM s{n} GROUP BY ALL),
+b{n + 1} AS (SELECT o.part, o.entry, coalesce(m.b, o.b) AS b FROM b{n} o LEFT JOIN m{n} m ON m.part = o.part AND m.entry = o.entry),"""
+
+
+SQL["op13_vector_codes"] = rf"""
+WITH e AS (SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT id, part, list_slice(v, part * (len(v) // 16) + 1, (part + 1) * (len(v) // 16)) AS x FROM e, range(16) r(part)),
+first AS (SELECT id, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM e WHERE vec_id IS NOT NULL),
+b0 AS (SELECT part, entry, x AS b FROM p JOIN first USING (id) WHERE entry < 64),
+{_round_sql(0)}{_round_sql(1)}
+f AS (SELECT id, part, min({{'d': list_sum(list_transform(list_zip(x, b), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT, 'entry': entry}}) AS best FROM p JOIN b2 USING (part) GROUP BY id, part),
+c AS (SELECT id, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM f GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, i)) FROM (SELECT part, entry, unnest(b) AS v, generate_subscripts(b, 1) AS i FROM b2)) AS codebooks_sha256
+FROM e JOIN c USING (id)
+"""
