@@ -19,6 +19,7 @@ from .media import media_columns
 from .mixing import allocate, in_order, measured
 from .pii import PATTERNS, find_pii, written
 from .quality import fit, held_out, score_documents
+from .repeats import find_runs
 from .storage import materialise, table
 from .tokens import count_tokens, model_path
 from .urls import RULES, alias_edges, judge_urls
@@ -84,6 +85,30 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def _repeated_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) is a multiple of 10, the words from place a on are a period of p words over and over."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", crc.alias("h"), F.floor(crc / 10).alias("g"), F.when(crc % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("words"))
+    sized = words.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rest = F.col("n") - F.col("a")
+    p = 1 + F.floor(rest / (3 + F.col("g") % 8))
+    piece = F.slice("words", F.col("a") + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(piece, F.ceil(rest / p).cast("int"))), F.lit(1), rest)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    start, length, period = -F.col("best.before"), F.col("best.length"), -F.col("best.shorter")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = encode(table(spark, sf_dir, "embeddings"))
     digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
@@ -104,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preferences": op9_preferences,
     "op10_url_filter": op10_url_filter,
     "op11_toxicity": op11_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }
 
