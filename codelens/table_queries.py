@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import vocab
 from .functions import scalars as S
 from .operators import graph, review, tables, validate
+from .operators.taxonomy import nested_taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,3 +260,64 @@ _query(
     lambda r: review.numbered_candidates(_candidates(r), "l_partkey", ["l_extendedprice", "l_suppkey"]).select("l_partkey", "l_suppkey", "number"),
     f"WITH {CANDIDATES} SELECT l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_suppkey)::INTEGER AS number FROM c",
 )
+
+
+#: Stages by name and by what they log; both decide the category.
+_STAGE_NAMES, _STAGE_LOGS = ("compile", "apply_patch", "tests", "custom", "resource_consistency", "security_regression"), ("patch does not apply", "no such file", "rate_limit hit", "all quiet", "test x failed")
+
+
+def _one_of(number: str, texts: tuple[str, ...]) -> str:
+    return f"CASE {number} % {len(texts)} " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(texts)) + " END"
+
+
+def _result(depth: int) -> str:
+    """An order's validation as JSON, in words that both dialects share: two stages, and from there a candidate that holds the next level, down to o_orderkey % 6."""
+    stage = lambda i: f"""'"' || {_one_of(f"(o_orderkey + {i})", _STAGE_NAMES)} || '": {{"passed": ' || CASE WHEN o_orderkey % {i + 3} = 0 THEN 'true' ELSE 'false' END || ', "logs": ["' || {_one_of(f"(o_orderkey + {2 * i})", _STAGE_LOGS)} || '"]}}'"""
+    inner = f""" || CASE WHEN o_orderkey % 6 > {depth} THEN ', "candidate_{depth}": ' || {_result(depth + 1)} ELSE '' END""" if depth < 5 else ""
+    return f"""'{{"passed": false, "logs": ["' || {_one_of(f"(o_orderkey + {depth})", ("quiet", "compile step failed", "quiet too"))} || '"], "stage_results": {{' || {stage(depth)} || ', "other": {{"passed": ' || CASE WHEN o_orderkey % {depth + 2} = 0 THEN 'true' ELSE 'false' END || ', "warnings": "odd"}}'{inner} || '}}}}'"""
+
+
+VALIDATIONS = f"""CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '{{"passed": true, "stage_results": {{"compile": {{"passed": false}}}}}}' WHEN 2 THEN '{{"passed": false, "stage_results": {{"failure_taxonomy": {{"categories": ["llm_api_error", "compile_failure"], "category_counts": {{"compile_failure": 2, "llm_api_error": 1}}, "failed_stages": ["z.compile", "ask"], "primary_category": "compile_failure"}}}}}}'
+ WHEN 3 THEN '{{"passed": false, "logs": ["the TEST of x", "has Failed"]}}' WHEN 4 THEN '{{"passed": false, "stage_results": {{"candidate_0": {{"passed": false, "stage_results": {{}}, "counterexamples": ["invalid_api_key"]}}, "note": "text"}}}}' ELSE {_result(0)} END"""
+
+
+def _text_sql(*parts: str) -> str:
+    listed = ", ".join(f"CASE json_type(j, '$.{p}') WHEN 'ARRAY' THEN CAST(json_extract(j, '$.{p}') AS VARCHAR[]) WHEN 'VARCHAR' THEN [json_extract_string(j, '$.{p}')] ELSE [] END" for p in parts)
+    return f"lower(array_to_string(flatten([{listed}]), chr(10)))"
+
+
+_TOLD = "CASE WHEN contains(t, 'insufficient_quota') OR contains(t, 'rate_limit') THEN 'llm_rate_limit' WHEN contains(t, 'invalid_api_key') OR contains(t, 'llm request failed') THEN 'llm_api_error' WHEN contains(t, 'compile') AND contains(t, 'failed') THEN 'compile_failure' WHEN contains(t, 'test') AND contains(t, 'failed') THEN 'test_failure' END"
+_STAGE_TOLD = f"""CASE name WHEN 'compile' THEN 'compile_failure' WHEN 'tests' THEN 'test_failure' WHEN 'resource_consistency' THEN 'resource_regression' WHEN 'security_regression' THEN 'security_regression'
+ WHEN 'apply_patch' THEN CASE WHEN contains(t, 'no such file') THEN 'path_mismatch' WHEN contains(t, 'apply') THEN 'patch_does_not_apply' ELSE 'unknown_validation_failure' END ELSE {_TOLD} END"""
+
+
+def _taxonomy_sql(deepest: int) -> str:
+    """The same level by level: n{d} results, s{d} their failed stages, r{d} their categories."""
+    out = f"n0 AS (SELECT o_orderkey::VARCHAR AS node, NULL::VARCHAR AS parent, 0 AS pos, NULL::VARCHAR AS name, (v)::JSON AS j FROM (SELECT o_orderkey, {VALIDATIONS} AS v FROM orders))"
+    for d in range(deepest + 1):
+        out += f""",
+s{d} AS (SELECT node AS parent, pos, name, j, {_text_sql("logs", "warnings", "counterexamples")} AS t, json_type(j, '$.stage_results') IS NOT DISTINCT FROM 'OBJECT' AS inner_one
+  FROM (SELECT node, pos, keys[pos] AS name, json_extract(j, '$.stage_results."' || keys[pos] || '"') AS j FROM (SELECT node, j, json_keys(j, '$.stage_results') AS keys, generate_subscripts(json_keys(j, '$.stage_results'), 1) AS pos FROM n{d} WHERE (j->>'$.passed') <> 'true' AND json_extract(j, '$.stage_results.failure_taxonomy.categories') IS NULL))
+  WHERE json_type(j) = 'OBJECT' AND coalesce((j->>'$.passed'), 'false') <> 'true'),
+n{d + 1} AS (SELECT parent || '/' || pos AS node, parent, pos, name, j FROM s{d} WHERE inner_one)"""
+    for d in range(deepest, -1, -1):
+        inside = f" UNION ALL SELECT parent, pos, categories, list_transform(failed_stages, lambda f: name || '.' || f) FROM r{d + 1}" if d < deepest else ""
+        out += f""",
+p{d} AS (SELECT parent, pos, CASE WHEN {_STAGE_TOLD} IS NULL THEN []::VARCHAR[] ELSE [{_STAGE_TOLD}] END AS categories, [name] AS failed FROM s{d} WHERE NOT inner_one{inside}),
+g{d} AS (SELECT parent, flatten(list(categories ORDER BY pos)) AS named, flatten(list(failed ORDER BY pos)) AS failed FROM p{d} GROUP BY parent),
+c{d} AS (SELECT n.*, coalesce(g.failed, []::VARCHAR[]) AS failed, coalesce(g.named, []::VARCHAR[]) AS named, {_text_sql("logs", "counterexamples")} AS t FROM n{d} n LEFT JOIN g{d} g ON g.parent = n.node),
+l{d} AS (SELECT *, CASE WHEN j IS NULL THEN ['missing_validation'] WHEN (j->>'$.passed') = 'true' THEN []::VARCHAR[] WHEN len(named) > 0 THEN named WHEN {_TOLD} IS NOT NULL THEN [{_TOLD}] WHEN len(failed) > 0 THEN ['unknown_validation_failure'] ELSE []::VARCHAR[] END AS own,
+  json_extract(j, '$.stage_results.failure_taxonomy') AS e FROM c{d}),
+r{d} AS (SELECT node, parent, pos, name, CASE WHEN e IS NOT NULL THEN CAST(json_extract(e, '$.categories') AS VARCHAR[]) ELSE list_sort(list_distinct(own)) END AS categories,
+  CASE WHEN e IS NOT NULL THEN 'compile_failure=2,llm_api_error=1' ELSE array_to_string(list_transform(list_sort(list_distinct(own)), lambda c: c || '=' || len(list_filter(own, lambda x: x = c))), ',') END AS counts,
+  CASE WHEN e IS NOT NULL THEN CAST(json_extract(e, '$.failed_stages') AS VARCHAR[]) ELSE failed END AS failed_stages, CASE WHEN e IS NOT NULL THEN (e->>'$.primary_category') ELSE list_sort(list_distinct(own))[1] END AS primary_category FROM l{d})"""
+    return f"WITH {out} SELECT node::BIGINT AS work_id, array_to_string(categories, ',') AS categories, counts, array_to_string(failed_stages, ',') AS failed_stages, primary_category FROM r0"
+
+
+_query(
+    "nested_taxonomy",
+    lambda r: nested_taxonomy(r("orders").select(F.col("o_orderkey").alias("work_id"), F.expr(VALIDATIONS).alias("validation"))).select(
+        "work_id", F.array_join("categories", ",").alias("categories"), F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("counts"), F.array_join("failed_stages", ",").alias("failed_stages"), "primary_category"
+    ),
+    _taxonomy_sql(6),
+)
