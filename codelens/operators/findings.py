@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamped, deployment_contexts, evidence_label, gated, severity_named, severity_rank, verdict
+from .intervals import inside
 
 
 def enriched(findings: DataFrame) -> DataFrame:
@@ -58,16 +59,35 @@ def weighed_by_path(findings: DataFrame) -> DataFrame:
     return weighed.withColumn("severity", F.when(F.col("__hit"), gated(F.col("impact"), F.col("evidence"))).otherwise(F.col("severity"))).drop("__hit", "__score")
 
 
-def confirmed(findings: DataFrame, functions: DataFrame) -> DataFrame:
-    """Resource findings against functions of another parser: 1.05 times the confidence in one that has the place, else 0.75 times."""
-    spans = functions.select(F.col("path").alias("p"), F.col("fn").alias("f"), "start_line", "end_line").distinct()
-    candidate = F.col("kind").isin(*CLUSTERED) & F.col("severity").isin("critical", "high")
-    rows = findings.withColumn("__n", F.monotonically_increasing_id())
-    hit = rows.where(candidate).join(spans, (F.col("path") == F.col("p")) & (F.col("fn") == F.col("f")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_semi").select("__n", F.lit(True).alias("__seen"))
-    out = rows.join(hit, "__n", "left").withColumn("confirmation", F.when(~candidate, "skipped").when(F.col("__seen"), "confirmed").otherwise("unconfirmed"))
-    factor = F.when(F.col("confirmation") == "confirmed", 1.05).when(F.col("confirmation") == "unconfirmed", 0.75).otherwise(1.0)
-    out = out.withColumn("confidence", F.bround(clamped(F.col("confidence") * factor), 3))
-    return out.withColumn("severity", F.when(candidate, gated(F.col("impact"), evidence_label(F.col("confidence")))).otherwise(F.col("severity"))).drop("__n", "__seen")
+def worth_confirming() -> Column:
+    """Severe findings, those of severe impact with high evidence, and those all but certain of medium impact at least."""
+    impact = F.coalesce("impact", "severity")
+    severe = impact.isin("critical", "high")
+    return F.coalesce(F.col("severity").isin("critical", "high") | (severe & (F.col("evidence") == "high")) | ((F.col("confidence") >= 0.95) & (severe | (impact == "medium"))), F.lit(False))
+
+
+def confirmed(findings: DataFrame, functions: DataFrame | None, all_of_them: bool = False) -> DataFrame:
+    """``findings`` with confirmation, by the functions (path, start_line, end_line) that another parser finds.
+
+    A finding worth confirming, or each with ``all_of_them``, is
+    ``confirmed`` if any function of its file holds its line, and gets 1.05
+    times its confidence, else ``unconfirmed`` at 0.75 times; evidence,
+    verdict and severity follow from the score before it is rounded. Others
+    are ``skipped`` and stay as they are, so do all that would have been
+    tried where there is no other parser (``functions`` None): ``unavailable``.
+    """
+    tried = F.lit(True) if all_of_them else worth_confirming()
+    if functions is None:
+        return findings.withColumn("confirmation", F.when(tried, "unavailable").otherwise("skipped"))
+    rows = inside(findings, functions, ["path"], "line", "__seen").withColumn("confirmation", F.when(~tried, "skipped").when(F.col("__seen"), "confirmed").otherwise("unconfirmed"))
+    score = clamped(F.coalesce("confidence", F.lit(0.5)) * F.when(F.col("confirmation") == "confirmed", 1.05).otherwise(0.75))
+    changed = F.col("confirmation") != "skipped"
+    rows = rows.withColumn("__score", F.when(changed, score)).withColumns({
+        "evidence": F.when(changed, evidence_label(F.col("__score"))).otherwise(F.col("evidence")),
+        "verdict": F.when(changed, verdict(F.col("__score"))).otherwise(F.col("verdict")),
+        "confidence": F.when(changed, F.bround("__score", 3)).otherwise(F.col("confidence")),
+    })
+    return rows.withColumn("severity", F.when(changed, gated(F.coalesce("impact", "severity"), F.col("evidence"))).otherwise(F.col("severity"))).drop("__seen", "__score")
 
 
 def ranking() -> list:

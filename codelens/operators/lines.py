@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.scalars import any_of, let, lookup, squeezed
+from .intervals import held
 
 #: Columns that name a function; two functions of one name in two files, or at two places, are two.
 FN = ["path", "fn", "ordinal"]
@@ -160,7 +161,7 @@ def labelled(lines: DataFrame) -> DataFrame:
 
 def nearby(lines: DataFrame, points: DataFrame, radius: int) -> DataFrame:
     """``points`` (with path, fn, ordinal, line) and snippet: the code within ``radius`` lines, numbered."""
-    keys = points.select(*FN, F.col("line").alias("at")).distinct()
-    close = lines.join(keys, FN).where(F.abs(F.col("line") - F.col("at")) <= radius)
+    around = points.select(*FN, F.col("line").alias("at"), (F.col("line") - radius).alias("from"), (F.col("line") + radius).alias("to")).distinct()
+    close = held(lines, around, FN, "line", "from", "to", also=["stmt"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "stmt"))), lambda x: F.concat(x["line"].cast("string"), F.lit(": "), x["stmt"])), "\n")
     return points.join(close.groupBy(*FN, F.col("at").alias("line")).agg(text.alias("snippet")), [*FN, "line"], "left")

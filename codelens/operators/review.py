@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of
+from .intervals import held, inside
 from .lines import FN
 
 
 def enclosing_function(points: DataFrame, functions: DataFrame) -> DataFrame:
     """``points`` (path, line) with enclosing: the function whose lines hold the place, of several the one that begins last."""
     spans = functions.select("path", F.col("fn").alias("__fn"), "start_line", "end_line")
-    keyed = points.select("path", "line").distinct()
-    hit = keyed.join(spans, "path").where("line BETWEEN start_line AND end_line").groupBy("path", "line").agg(F.max_by("__fn", F.struct("start_line", "__fn")).alias("enclosing"))
+    hit = held(points, spans, ["path"], "line").groupBy("path", "line").agg(F.max_by("__fn", F.struct("start_line", "__fn")).alias("enclosing"))
     return points.join(hit, ["path", "line"], "left")
 
 
@@ -30,8 +30,8 @@ def looked_up(findings: DataFrame, functions: DataFrame) -> DataFrame:
 
 def with_resource_evidence(findings: DataFrame, events: DataFrame, radius: int = 20) -> DataFrame:
     """``findings`` with near_resource: whether their function has a resource event within ``radius`` lines."""
-    near = findings.select(*FN, "line").distinct().join(events.select(*FN, F.col("line").alias("at")), FN).where(F.abs(F.col("at") - F.col("line")) <= radius).select(*FN, "line", F.lit(True).alias("__near")).distinct()
-    return findings.join(near, [*FN, "line"], "left").withColumn("near_resource", F.coalesce("__near", F.lit(False))).drop("__near")
+    around = events.select(*FN, (F.col("line") - radius).alias("from"), (F.col("line") + radius).alias("to"))
+    return inside(findings, around, FN, "line", "near_resource", "from", "to")
 
 
 def with_reviews(batch: DataFrame, reviews: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:

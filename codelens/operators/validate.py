@@ -10,6 +10,7 @@ from ..functions.scalars import any_of, lookup
 from .asof import next_after
 from .detect import Tables, missing_cleanup_on_error, unchecked_return
 from .facts import body_facts
+from .intervals import overlapping
 from .lines import FN, is_return
 
 ISSUE = ["path", "fn", "issue"]
@@ -105,31 +106,42 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     return lines.select("patch_id", "path", number(1, 0).alias("old_start"), end(1, 2).alias("old_end"), number(3, 0).alias("new_start"), end(3, 4).alias("new_end"))
 
 
+def _ends(paths: DataFrame, path: str, out: str) -> DataFrame:
+    """``paths`` once for each end of ``path``, whole ones included, as ``out``."""
+    return paths.withColumn(out, F.explode(F.transform(F.sequence(F.lit(1), F.length(path)), lambda i: F.substr(path, i))))
+
+
 def touched_functions(hunks: DataFrame, functions: DataFrame, side: str = "new") -> DataFrame:
-    """(patch_id, path, fn): functions that a hunk's lines overlap, paths alike by suffix either way.
+    """(patch_id, path, fn): functions that a hunk's lines overlap, in files one of whose paths ends with the other.
 
-    Paths meet on their last part, so the suffix test is a residue of an
-    equal join.
+    The shorter path meets the ends of the longer ones in an equal join, and
+    lines meet by bins, so that files of one name make no pair that isn't a
+    match.
     """
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    clean = F.regexp_replace("path", "^[./]+", "")
-    f = functions.select("path", "fn", "start_line", "end_line", clean.alias("fp")).withColumn("base", last("fp"))
-    h = hunks.select("patch_id", F.col("path").alias("hp"), F.col(f"{side}_start").alias("s"), F.col(f"{side}_end").alias("e")).withColumn("base", last("hp"))
-    hit = f.join(h, "base").where("(endswith(fp, hp) OR endswith(hp, fp)) AND start_line <= e AND end_line >= s")
-    return hit.select("patch_id", "path", "fn").distinct()
+    files = functions.select("path", F.regexp_replace("path", "^[./]+", "").alias("fp")).distinct().where("fp <> ''")
+    named = hunks.select(F.col("path").alias("hp")).distinct().where("hp <> ''")
+    longer, shorter = files.select("path", "fp"), named
+    same = _ends(longer, "fp", "hp").join(shorter, "hp").select("path", "hp").unionByName(_ends(shorter, "hp", "fp").join(longer, "fp").select("path", "hp")).distinct()
+    h = hunks.select("patch_id", F.col("path").alias("hp"), F.col(f"{side}_start").alias("s"), F.col(f"{side}_end").alias("e")).join(same, "hp")
+    return overlapping(functions.select("path", "fn", "start_line", "end_line"), h, ["path"], ("start_line", "end_line"), ("s", "e")).select("patch_id", "path", "fn").distinct()
 
 
 def repaired_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
-    """``paths`` (path) with repaired: a known path, else the only known one that ends with it, else the only one of its name, else itself."""
-    last = lambda c: F.element_at(F.split(c, "/"), -1)
-    k = known.select(F.col("path").alias("known")).distinct()
+    """``paths`` (path) with repaired: a known path, else the only known one that ends with it, else the only one of its name, else itself.
+
+    Known paths are counted by each of their ends after a slash and by their
+    names; a path then looks up one row of each.
+    """
+    k = known.select(F.col("path").alias("known")).where("known IS NOT NULL").distinct()
     exact = k.select(F.col("known").alias("path"), F.col("known").alias("exact"))
-    by_name = paths.select("path").distinct().withColumn("base", last("path")).join(k.withColumn("base", last("known")), "base")
-    ends = F.col("known").endswith(F.concat(F.lit("/"), F.col("path")))
-    found = by_name.groupBy("path").agg(F.count_if(ends).alias("n_end"), F.max(F.when(ends, F.col("known"))).alias("end"), F.count(F.lit(1)).alias("n_name"), F.max("known").alias("name"))
-    out = paths.join(exact, "path", "left").join(found, "path", "left")
+    parts = F.split("known", "/")
+    ends = k.select("known", F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("path")).where("path <> ''")
+    by_end = ends.groupBy("path").agg(F.count(F.lit(1)).alias("n_end"), F.max("known").alias("end"))
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    by_name = k.groupBy(last("known").alias("__base")).agg(F.count(F.lit(1)).alias("n_name"), F.max("known").alias("name"))
+    out = paths.join(exact, "path", "left").join(by_end, "path", "left").withColumn("__base", last("path")).join(by_name, "__base", "left")
     repaired = F.coalesce("exact", F.when(F.col("n_end") == 1, F.col("end")), F.when(F.col("n_name") == 1, F.col("name")), "path")
-    return out.withColumn("repaired", repaired).drop("exact", "n_end", "end", "n_name", "name")
+    return out.withColumn("repaired", repaired).drop("exact", "n_end", "end", "n_name", "name", "__base")
 
 
 def stage_category(stage: Column, text: Column) -> Column:

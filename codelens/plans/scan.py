@@ -19,7 +19,7 @@ class Scan:
 
     ``extra`` detectors take Tables and return rows of detect.FINDING.
     ``confirm`` is a function table of another parser, against which
-    resource findings are checked.
+    findings worth it are checked (see ``findings.confirmed``).
     """
 
     files: DataFrame
@@ -43,7 +43,7 @@ class Scan:
             found = found.unionByName(d(t).withColumn("detector_rank", F.lit(len(detect.DETECTORS) + k)))
         out = findings.weighed_by_path(findings.clustered(findings.deduplicated(findings.enriched(found))))
         if self.confirm is not None:
-            out = findings.confirmed(out.cache(), self.confirm)
+            out = findings.confirmed(out, self.confirm)
         summaries = graph.summaries(t.functions, t.events).select("path", "fn", "ordinal", "summary")
         return findings.ranked(out.join(summaries, ["path", "fn", "ordinal"], "left"), self.most)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import vocab
 from .functions import scalars as S
-from .operators import graph, review, tables, validate
+from .operators import findings, graph, review, tables, validate
 from .operators.taxonomy import nested_taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,3 +322,32 @@ _query(
     ),
     _taxonomy_sql(6),
 )
+
+
+_query(
+    "enclosing_function",
+    lambda r: review.enclosing_function(r("orders").select("o_orderkey", F.expr("concat('m', o_custkey % 9, '.c')").alias("path"), (F.col("o_orderkey") % 250).cast("int").alias("line")), _spans(r)).select("o_orderkey", "enclosing"),
+    f"""WITH {_SPANS} SELECT o_orderkey, max_by(s.fn, (s.start_line, s.fn)) AS enclosing FROM orders LEFT JOIN s ON s.path = 'm' || o_custkey % 9 || '.c' AND o_orderkey % 250 BETWEEN s.start_line AND s.end_line GROUP BY o_orderkey""",
+)
+
+_CLAIMED = "o_orderkey AS id, concat('m', o_custkey % 9, '.c') AS path, CAST(o_orderkey % 250 AS INT) AS line, CASE o_orderkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, CASE o_custkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE NULL END AS impact, CAST(o_orderkey % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence"
+_LABEL = "CASE WHEN %s >= 0.80 THEN 'high' WHEN %s >= 0.55 THEN 'medium' ELSE 'low' END"
+_VERDICT = "CASE WHEN {0} >= 0.85 THEN 'true_positive' WHEN {0} >= 0.65 THEN 'likely' WHEN {0} >= 0.45 THEN 'unclear' ELSE 'false_positive' END"
+
+
+def _claimed(read: Callable[[str], DataFrame]) -> DataFrame:
+    rows = read("orders").select(*[F.expr(c) for c in re.split(r", (?=o_orderkey|concat|CAST|CASE)", _CLAIMED)])
+    return rows.withColumns({"evidence": S.evidence_label(F.col("confidence")), "verdict": S.verdict(F.col("confidence"))})
+
+
+_query(
+    "confirmed_findings",
+    lambda r: findings.confirmed(_claimed(r), _spans(r)).select("id", "confirmation", "confidence", "evidence", "verdict", "severity"),
+    f"""WITH {_SPANS}, f AS (SELECT {_CLAIMED} FROM orders), g AS (SELECT *, {_LABEL.replace("%s", "confidence")} AS evidence, {_VERDICT.format("confidence")} AS verdict, coalesce(impact, severity) AS own FROM f),
+t AS (SELECT *, severity IN ('critical', 'high') OR (own IN ('critical', 'high') AND evidence = 'high') OR (confidence >= 0.95 AND own IN ('critical', 'high', 'medium')) AS tried,
+  EXISTS (FROM s WHERE s.path = g.path AND g.line BETWEEN s.start_line AND s.end_line) AS seen FROM g),
+c AS (SELECT *, CASE WHEN NOT tried THEN confidence ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence * CASE WHEN seen THEN 1.05::DOUBLE ELSE 0.75::DOUBLE END)) END AS score FROM t),
+e AS (SELECT *, {_LABEL.replace("%s", "score")} AS label FROM c)
+SELECT id, CASE WHEN NOT tried THEN 'skipped' WHEN seen THEN 'confirmed' ELSE 'unconfirmed' END AS confirmation, CASE WHEN tried THEN round_even(score, 3) ELSE confidence END AS confidence, label AS evidence, {_VERDICT.format("score")} AS verdict,
+  CASE WHEN NOT tried THEN severity ELSE ['low', 'medium', 'high', 'critical'][least(list_position(['low', 'medium', 'high', 'critical'], own), CASE label WHEN 'high' THEN 4 WHEN 'medium' THEN 3 ELSE 2 END)] END AS severity FROM e""",
+)
