@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from codelens.operators import findings, intervals, review, validate
+from codelens.operators import detect, findings, intervals, review, validate
 from codelens.operators.taxonomy import nested_taxonomy
 
 SPANS = "path string, fn string, start_line int, end_line int"
@@ -129,3 +130,29 @@ def test_taxonomy_of_nested_results(spark):
     assert got["unknown"] == (["unknown_validation_failure"], {"unknown_validation_failure": 1}, ["odd"], "unknown_validation_failure")
     assert len(got) == len(rows)
     assert nested_taxonomy(spark.createDataFrame([], "work_id string, validation string")).count() == 0
+
+
+def test_names_in_texts_by_their_words(spark):
+    rnd = random.Random(8)
+    parts = ["p", "buf", "p2", "ctx->buf", "->", ".", " ", ",", "(", ")", "&", "*", "[0]", "x", "_", "a[i]", "ctx"]
+    texts = [("a.c", rnd.choice("fg"), 0, n, "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 9)))) for n in range(400)]
+    names = [("a.c", fn, 0, k) for fn in "fg" for k in ("p", "buf", "ctx->buf", "a[i]", "(x)", "a", "ctx", "[0]", "x._", "")]
+    got = detect.mentioned(spark.createDataFrame(texts, "path string, fn string, ordinal int, line int, text string"), spark.createDataFrame(names, "path string, fn string, ordinal int, key string"))
+    found = [(r.fn, r.key, r.line) for r in got.collect()]
+    want = {(fn, k, n) for _, fn, _, n, text in texts for _, g, _, k in names if fn == g and re.search(r"\w", k) and re.search(r"(^|\W)" + re.escape(k) + r"($|\W)", text)}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_resets_and_returns_by_what_ends_before_the_sign(spark):
+    fn = ("a.c", "f", 0)
+    stmts = ["p = NULL;", "xp = malloc(9);", "ctx->buf=0;", "a[0] = NULL;", "p == NULL", "q = p;", "int *p=nullptr, r = make(1);", "b[0]=0", "if (p = open(x)) return q ;", "return p;", "return  ctx->buf ;", "returns p;", "x = 0; return a[0];"]
+    lines = spark.createDataFrame([(*fn, n, s, s) for n, s in enumerate(stmts)], "path string, fn string, ordinal int, line int, raw string, stmt string")
+    keys = ["p", "ctx->buf", "a[0]", "q", "r"]
+    events = spark.createDataFrame([(*fn, 0, "alloc", k, "malloc", "") for k in keys], "path string, fn string, ordinal int, line int, kind string, variable string, call string, raw string")
+    t = detect.Tables(lines, lines, events)
+    value = r"=(NULL|nullptr|0|[A-Za-z_]\w*\()"
+    tail = lambda k: (re.search(r"[A-Za-z_]\w*$", k) or [k])[0]
+    want = {(k, n) for n, s in enumerate(stmts) for k in keys if re.search(re.escape(tail(k)) + value, re.sub(r"\s+", "", s))}
+    assert {(r.key, r.line) for r in detect.resets(t).collect()} == want and ("a[0]", 3) in want and ("a[0]", 7) not in want
+    back = {(k, n) for n, s in enumerate(stmts) for k in keys if re.search(r"\breturn\s+" + re.escape(k) + r"\s*;", s)}
+    assert {(r.key, r.line) for r in detect.consumed(t).collect()} == back
