@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,12 +74,12 @@ class Evidence(dict):
 
 
 def _statistic(docs: DataFrame, table: np.ndarray):
-    """A column function: text to evidence a letter, on a scale that is linear near 0. The table is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """A column function: text to evidence a letter, on a scale that is linear near 0. The table is broadcast compressed; most of its places are empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(zstandard.compress(table.tobytes(), 1))
 
     @F.arrow_udf("double")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = Evidence(shared.value)
+        known = Evidence(np.frombuffer(zstandard.decompress(shared.value), np.float32))
         for texts in batches:
             if len(known) >= REMEMBERED:
                 known.clear()
@@ -128,13 +129,11 @@ def ratios(words: DataFrame) -> DataFrame:
     same = Window.partitionBy(F.length("short"), F.expr("left(short, length(short) - 1)"))
     total, different = F.sum("n").over(same), F.count(F.lit(1)).over(same)
     # what an n-gram has of its own, and what it takes of the next shorter one's
-    shares = shorter.select("short", ((F.col("n") - DISCOUNT) / total).alias("own"), (DISCOUNT * different / total).alias("rest"), different.alias("different"))
-    parts = grams.select("gram", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(ORDER - 1)), ending)).alias("n", "short"))
-    at = lambda name, n: F.max(F.when(F.col("n") == n, F.col(name)))
-    backed: Column = 1 / (at("different", 0) + 1)
-    for n in range(ORDER - 1):
-        backed = at("own", n) + at("rest", n) * backed
-    shared = parts.join(shares, "short").groupBy("gram").agg(backed.alias("shared"))
+    shares = materialise(shorter.select("short", F.length("short").alias("letters"), ((F.col("n") - DISCOUNT) / total).alias("own"), (DISCOUNT * different / total).alias("rest"), different.alias("different")), "shares")
+    backed = shares.where(F.col("letters") == 1).select(F.col("short").alias("known"), (F.col("own") + F.col("rest") / (F.col("different") + 1)).alias("p"))
+    for n in range(2, ORDER):
+        longer = shares.where(F.col("letters") == n).join(backed, F.expr("substring(short, 2)") == F.col("known"))
+        backed = longer.select(F.col("short").alias("known"), (F.col("own") + F.col("rest") * F.col("p")).alias("p"))
 
     context = F.substring("gram", 1, ORDER - 1)
     rows = Window.partitionBy(context)
@@ -143,8 +142,8 @@ def ratios(words: DataFrame) -> DataFrame:
         size, seen = F.sum(c).over(rows), F.sum((F.col(c) > 0).cast("long")).over(rows)
         rest = F.when(size > 0, (DISCOUNT * seen + PRIOR) / (size + PRIOR)).otherwise(1.0)
         classes |= {f"{c}_rest": rest, f"{c}_own": F.when(size > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / (size + PRIOR)).otherwise(0.0)}
-    known = grams.join(shared, "gram").withColumns(classes | {"context": context, "weight": (F.col("toxic") + F.col("ordinary")).cast("double")})
-    likely = {c: F.col(f"{c}_own") + F.col(f"{c}_rest") * F.col("shared") for c in ("toxic", "ordinary")}
+    known = grams.join(backed, F.expr("substring(gram, 2)") == F.col("known")).withColumns(classes | {"context": context, "weight": (F.col("toxic") + F.col("ordinary")).cast("double")})
+    likely = {c: F.col(f"{c}_own") + F.col(f"{c}_rest") * F.col("p") for c in ("toxic", "ordinary")}
     seen = known.select("gram", F.log(likely["toxic"] / likely["ordinary"]).alias("ratio"), "weight")
     unseen = known.groupBy(F.col("context").alias("gram")).agg(F.max(F.log(F.col("toxic_rest") / F.col("ordinary_rest"))).alias("ratio"), F.sum("weight").alias("weight"))
     return seen.unionByName(unseen)
@@ -152,9 +151,9 @@ def ratios(words: DataFrame) -> DataFrame:
 
 def _table(words: DataFrame) -> np.ndarray:
     place = F.crc32(F.col("gram").cast("binary")) % PLACES
-    found = ratios(words).groupBy(place.alias("place")).agg((F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")).toPandas()
+    found = ratios(words).groupBy(place.alias("place")).agg((F.sum(F.col("ratio") * F.col("weight")) / F.sum("weight")).cast("float").alias("ratio")).toArrow()
     table = np.full(PLACES, np.nan, np.float32)
-    table[found["place"].to_numpy(np.int64)] = found["ratio"].to_numpy(np.float32)
+    table[found["place"].to_numpy()] = found["ratio"].to_numpy()
     return table
 
 
