@@ -4,12 +4,15 @@ The page is cut into blocks at block-level tags. In the first pass each block
 is good, bad, short or near-good by its length, its share of characters
 inside links and its share of stop words. In the second, what is undecided
 takes the label of the nearest decided neighbours. Blocks inside elements
-that never hold an article (navigation, forms, scripts and so on, or so named
-by class, id or role) are bad from the start. Where a page marks its article,
-the mark is one more feature: what stands outside is bad, inside a lower
-density makes a block good and a low one leaves it undecided, and neighbours
-are looked for inside the same mark; if nothing there is decided, the mark
-alone speaks.
+that never hold an article (navigation, scripts, reader comments and so on)
+are bad from the start, and those inside more elements that are forms, or
+named like what isn't the article, than the article itself: a name or a form
+around everything says nothing. Where a page marks its article, the mark with
+the fewest of these around it is one more feature: what stands outside is
+bad, inside a lower density makes a block good and a low one leaves it
+undecided, and neighbours are looked for inside the same mark; if nothing
+there is decided, the mark alone speaks. On pages that hold hardly any stop
+word, so of a language that isn't known, blocks go by length and links.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ STOP_WORDS = frozenset(
 )
 #: Elements whose whole content is no text.
 SILENT = frozenset("script style noscript template svg math object embed applet canvas iframe head title select option datalist textarea button audio video map".split())
-#: Elements around what isn't the article.
-ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
+#: Elements that never hold the article, and those that may be around it.
+ASIDE, AROUND = frozenset("nav header footer aside dialog menu".split()), frozenset(("form", "fieldset"))
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,28 +60,33 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NAMED_ASIDE = re.compile(
     r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|overlay|sidebar|side-bar|breadcrumbs?|menu|nav\w*|footer|header|masthead|comments?|commentlist|replies|respond|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search\w*|pagination|pager|toolbar|widget\w*|copyright)(?![a-z])"
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar".split())
+#: Names, from the start of a word on, of what readers have written.
+COMMENTS = re.compile(r"(?<![a-z-])(?:comments?(?!-(?:open|closed|enabled|disabled|allowed))|commentlist|replies|respond|disqus|discussion)(?![a-z])")
+ROLES, ROLES_AROUND = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split()), frozenset(("form",))
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
 #: A block longer than LONG characters can be good by its stop words alone, one up to SHORT is short.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH, LINKED = 0.15, 0.25, 0.3
+#: Share of stop words in a page's words below which its language isn't known.
+KNOWN = 0.05
 
 
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[list] = []  # text, characters in links, heading, named as aside, number of the marked article around it or 0
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, silent, aside, article
+        self.blocks: list[list] = []  # text, characters in links, heading, elements around it that may be aside, number of the marked article around it or 0, never the article
+        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # tag, silent, never the article, maybe aside, article
+        self.around: dict[int, tuple[int, bool]] = {}  # by marked article: elements around it that may be aside, and whether one never holds an article
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag in open, in order
         self.text: list[str] = []
-        self.linked = self.links = self.silent = self.aside = self.article = self.marks = 0
+        self.linked = self.links = self.silent = self.never = self.maybe = self.article = self.marks = 0
         self.heading = False
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.blocks.append([text, self.linked, self.heading, self.aside > 0, self.marks if self.article else 0])
+            self.blocks.append([text, self.linked, self.heading, self.maybe, self.marks if self.article else 0, self.never > 0])
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -96,15 +104,22 @@ class _Blocks(HTMLParser):
         named = dict(attrs)
         about = " ".join(filter(None, (named.get("class"), named.get("id")))).lower().replace("_", "-")
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
-        aside = tag in ASIDE or (named.get("role") or "").lower() in ROLES or hidden or tag not in ("html", "body", "article", "main") and bool(NAMED_ASIDE.search(about))
-        if tag == "header" and self.article and not NAMED_ASIDE.search(about.replace("header", "")) and not hidden:
-            aside = False  # an article's own head holds its title
-        article = tag in ("article", "main") or (named.get("role") or "").lower() == "main"
+        role = (named.get("role") or "").lower()
+        if self.article:
+            about = re.sub(r"header|masthead", "", about)  # an article's own head holds its title
+        if tag in ("html", "body", "main"):
+            about = ""
+        never = tag in ASIDE and not (tag == "header" and self.article) or role in ROLES or hidden or bool(COMMENTS.search(about))
+        maybe = tag in AROUND or role in ROLES_AROUND or bool(NAMED_ASIDE.search(about))
+        article = tag in ("article", "main") or role == "main"
         self.places[tag].append(len(self.open))
-        self.open.append((tag, tag in SILENT, aside, article))
+        self.open.append((tag, tag in SILENT, never, maybe, article))
         self.silent += tag in SILENT
-        self.aside += aside
-        self.marks += article and not self.article
+        self.never += never
+        self.maybe += maybe
+        if article and not self.article:
+            self.marks += 1
+            self.around[self.marks] = self.maybe, self.never > 0
         self.article += article
         self.links += tag == "a"
         if tag in HEADINGS:
@@ -122,9 +137,10 @@ class _Blocks(HTMLParser):
         if not found:
             return
         at = min(found)
-        for name, silent, aside, article in self.open[at:]:
+        for name, silent, never, maybe, article in self.open[at:]:
             self.silent -= silent
-            self.aside -= aside
+            self.never -= never
+            self.maybe -= maybe
             self.article -= article
             self.links -= name == "a"
             self.places[name].pop()
@@ -154,22 +170,23 @@ class _Blocks(HTMLParser):
         self.cut()
 
 
-def blocks_of(html: str) -> list[list]:
-    """[text, characters in links, heading, named as aside, number of the article or main around it or 0] of each block, in page order."""
+def blocks_of(html: str) -> tuple[list[list], dict[int, tuple[int, bool]]]:
+    """[text, characters in links, heading, elements around it that may be aside, number of the article or main around it or 0, never the article]
+    of each block, in page order; and of each article or main, what is around it."""
     parser = _Blocks()
     parser.feed(html)
     parser.close()
-    return parser.blocks
+    return parser.blocks, parser.around
 
 
-def first_label(text: str, linked: int, aside: bool, marked: bool = False) -> str:
-    """good, near, short or bad, by the block alone; ``marked`` if the page marks it as part of its article."""
+def first_label(text: str, linked: int, aside: bool, marked: bool = False, known: bool = True) -> str:
+    """good, near, short or bad, by the block alone; ``marked`` if the page marks it as part of its article, ``known`` if its language is."""
     if aside or linked > LINKED * len(text) or "©" in text and len(text) < LONG and not marked:
         return "bad"
     if len(text) < SHORT:
         return "bad" if linked and not marked else "short"
-    words = WORD.findall(text.lower())
-    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    n, words = _stop_words(text)
+    share = n / max(1, words) if known else STOP_HIGH
     if marked:
         return "good" if share >= STOP_LOW else "near"
     if share >= STOP_HIGH:
@@ -177,16 +194,31 @@ def first_label(text: str, linked: int, aside: bool, marked: bool = False) -> st
     return "near" if share >= STOP_LOW else "bad"
 
 
-def labels(blocks: list[list]) -> list[bool]:
+def _stop_words(text: str) -> tuple[int, int]:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def labels(blocks: list[list], around: dict[int, tuple[int, bool]]) -> list[bool]:
     """Whether each block belongs to the article."""
-    inside = any(b[4] for b in blocks)
-    first = ["bad" if inside and not mark else first_label(text, linked, aside, mark > 0) for text, linked, _, aside, mark in blocks]
-    marks = [b[4] for b in blocks]
+    counts = [_stop_words(b[0]) for b in blocks]
+    known = sum(n for n, _ in counts) >= KNOWN * sum(n for _, n in counts)
+    fewest = min((n for n, never in around.values() if not never), default=None)
+    own = {m for m, (n, never) in around.items() if not never and n == fewest}
+    marks = [b[4] if b[4] in own else 0 for b in blocks]
+    inside = any(marks)
+    # the elements that are around all of an article, or of a page's text, are none beside it
+    least: dict[int, int] = {}
+    for (text, linked, _, maybe, _, never), mark in zip(blocks, marks, strict=True):
+        if not never and (mark or not inside and first_label(text, linked, False, False, known) == "good"):
+            least[mark] = min(maybe, least.get(mark, maybe))
+    asides = [b[5] or b[3] > least.get(mark, 0) for b, mark in zip(blocks, marks, strict=True)]
+    first = ["bad" if inside and not mark else first_label(b[0], b[1], aside, mark > 0, known) for b, mark, aside in zip(blocks, marks, asides, strict=True)]
     # inside an article, what is named as aside says nothing of the blocks around it
-    decided = [f if f in ("good", "bad") and not (mark and aside) else "" for f, (_, _, _, aside, mark) in zip(first, blocks, strict=True)]
+    decided = [f if f in ("good", "bad") and not (mark and aside) else "" for f, mark, aside in zip(first, marks, asides, strict=True)]
     ahead, behind = _nearest(decided, marks), _nearest(decided[::-1], marks[::-1])[::-1]
     out = []
-    for f, (_, _, heading, _, mark), (before, far), (after, near) in zip(first, blocks, ahead, behind, strict=True):
+    for f, b, mark, (before, far), (after, near) in zip(first, blocks, marks, ahead, behind, strict=True):
         if f in ("good", "bad"):
             out.append(f == "good")
         elif mark:
@@ -195,7 +227,7 @@ def labels(blocks: list[list]) -> list[bool]:
         elif f == "near":
             out.append(before == "good" or after == "good" or before != "bad" and after != "bad")
         else:
-            out.append(before == after and before != "bad" or heading and after == "good")
+            out.append(before == after and before != "bad" or b[2] and after == "good")
     return out
 
 
@@ -214,15 +246,16 @@ def _nearest(decided: list[str], marks: list[int]) -> list[tuple[str, int]]:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, one a line, in page order; white space inside a block is one space."""
-    blocks = blocks_of(html or "")
-    return "\n".join(b[0] for b, keep in zip(blocks, labels(blocks), strict=True) if keep)
+    blocks, around = blocks_of(html or "")
+    return "\n".join(b[0] for b, keep in zip(blocks, labels(blocks, around), strict=True) if keep)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each page: its main text, empty if there is none, and its length in code points.
 
-    Null and empty pages have no text. Repeated rows stay; other columns are
-    left out. Nothing is shuffled.
+    Null and empty pages have no text. Pages of any length are read whole, in
+    time and memory that grow with them. Repeated rows stay, an empty table
+    stays empty; other columns are left out. Nothing is shuffled.
     """
     kinds = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (key, url)]
 

@@ -655,3 +655,41 @@ def test_short_items_are_held_to_the_same_rule(spark):
     rows = [(1, filler + "zebra quagga okapi " + filler), (2, filler + "zebra okapi quagga " + filler), (3, filler + "a narwhal " + filler), (4, filler * 3), (5, filler + "zebra " + filler + "quagga " + filler + "okapi")]
     found = {r.doc_id: sorted(h.item for h in r.benchmark_hits) for r in decontaminate.find_passages(_documents(spark, rows), items).collect()}
     assert found == {1: [1], 2: [], 3: [2], 4: [], 5: []}
+
+
+# --- 2: what is around an article
+
+ENGLISH = "This is the text of the page that you came for, and it is as long as it has to be for all of the rules to see that."
+RUSSIAN = "Это длинный текст статьи, ради которой читатель пришёл на эту страницу, и в нём достаточно слов для любых правил. " * 3
+
+
+@pytest.mark.parametrize("opened, closed", [('<div class="site has-sidebar">', "</div>"), ('<div class="with-header menu-left search-on social share">', "</div>"), ('<form id="aspnetForm"><div>', "</div></form>"), ('<form><fieldset><div class="widget-page">', "</div></fieldset></form>")])
+@pytest.mark.parametrize("kind", ["article", "main", "div"])
+def test_a_name_or_form_around_everything_says_nothing(opened, closed, kind):
+    inner = f'<{kind}><p>{ENGLISH} {ENGLISH}</p><div class="share">Tell all of your friends about this one, and do it at once, as it is the best that there is for you</div></{kind}>'
+    aside = '<div class="sidebar"><p>This is one of the things that are to be seen in the sidebar, and it is as long as that.</p></div>'
+    assert html_text.main_text(f"<body>{opened}{inner}{aside}{closed}</body>") == f"{ENGLISH} {ENGLISH}"
+
+
+def test_an_articles_own_head_keeps_its_title():
+    for head in ('<div class="entry-header">', '<header class="post-header">', '<section id="article-masthead">'):
+        page = f"<body><header><p>The site</p></header><article>{head}<h1>A title</h1></{head[1:].split()[0]}><p>{ENGLISH}</p></article></body>"
+        assert html_text.main_text(page) == f"A title\n{ENGLISH}"
+
+
+def test_comments_are_no_article():
+    comment = f'<article class="comment">{ENGLISH} So I think.</article>'
+    assert html_text.main_text(f"<body><article><p>{ENGLISH}</p>{comment}</article>{comment}<div id=comments><article>{ENGLISH} Me too.</article></div></body>") == ENGLISH
+    assert html_text.main_text(f"<body>{comment}<div><p>{ENGLISH} {ENGLISH}</p></div></body>") == f"{ENGLISH} {ENGLISH}"
+    assert html_text.main_text(f'<body><article class="post comments-open"><p>{ENGLISH}</p></article></body>') == ENGLISH
+
+
+def test_pages_in_languages_without_stop_words():
+    text = RUSSIAN.strip()
+    assert html_text.main_text(f"<body><nav><a href=/>Главная</a></nav><div>{text}</div><div><a href=x>Ещё одна статья на другую тему</a></div></body>") == text
+    assert html_text.main_text(f"<body><article><p>{text}</p><p><a href=x>{text}</a></p><p>{text}</p></article></body>") == f"{text}\n{text}"
+
+
+def test_other_articles_beside_the_page_s_own():
+    teaser = f"<article><p>{ENGLISH}</p></article>"
+    assert html_text.main_text(f'<body><main><h1>T</h1><p>{ENGLISH} One.</p></main><div class="related">{teaser}</div><aside>{teaser}</aside></body>') == f"T\n{ENGLISH} One."
