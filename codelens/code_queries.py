@@ -30,8 +30,8 @@ def _tables(spark: SparkSession, sf_dir: str, keep: str = "TRUE") -> detect.Tabl
 
 
 def _query(name: str, of: Callable[[detect.Tables], DataFrame], sql: str, often: bool = False) -> None:
-    """``often``: lines are read by several branches of the plan, so they are parsed once and kept."""
-    QUERIES[name] = lambda spark, sf_dir: of(_tables(spark, sf_dir).keep() if often else _tables(spark, sf_dir))
+    """``often``: lines are read by several branches of the plan, so they are parsed once and written."""
+    QUERIES[name] = lambda spark, sf_dir: of(_tables(spark, sf_dir).written() if often else _tables(spark, sf_dir))
     SQL[name] = f"WITH {lines_cte()}, {EVENTS_CTE} {sql}"
 
 
@@ -222,7 +222,7 @@ FROM (SELECT CASE WHEN path LIKE 'tests/%' THEN 0 WHEN path LIKE 'third_party/%'
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan: every detector, scored, clustered, weighed and ranked."""
     t = _tables(spark, sf_dir).keep()
-    return findings.ranked(_reported(t)).select("path", "fn", "line", "kind", "severity", "confidence", "evidence", "verdict", "pattern", "description", "cluster_size", "id")
+    return findings.ranked(t.finish(_reported(t), "findings")).select("path", "fn", "line", "kind", "severity", "confidence", "evidence", "verdict", "pattern", "description", "cluster_size", "id")
 
 
 QUERIES["scan_report"] = scan_report
@@ -235,9 +235,9 @@ d AS (SELECT path, fn, list(call ORDER BY line) AS v FROM (SELECT path, fn, rege
 SELECT path, fn, 'return statement forms changed' AS issue FROM a JOIN b USING (path, fn) WHERE a.r <> b.r
 UNION ALL SELECT path, fn, 'externally visible calls changed' FROM (SELECT DISTINCT path, fn FROM code_lines_b) x LEFT JOIN c USING (path, fn) LEFT JOIN d USING (path, fn) WHERE coalesce(c.v, []) <> coalesce(d.v, [])
 UNION ALL SELECT path, fn, 'function removed' FROM (SELECT DISTINCT path, fn FROM code_lines) x WHERE NOT EXISTS (FROM code_lines_b y WHERE y.path = x.path AND y.fn = x.fn)"""
-QUERIES["resource_issues"] = lambda spark, sf_dir: validate.resource_issues(_tables(spark, sf_dir).keep())
-QUERIES["resource_regressions"] = lambda spark, sf_dir: validate.new_issues(validate.resource_issues(_tables(spark, sf_dir).keep()), validate.resource_issues(_tables(spark, sf_dir, LATER).keep()))
-QUERIES["security_changes"] = lambda spark, sf_dir: validate.security_issues(_tables(spark, sf_dir).keep(), _tables(spark, sf_dir, LATER).keep())
+QUERIES["resource_issues"] = lambda spark, sf_dir: validate.resource_issues(_tables(spark, sf_dir).written())
+QUERIES["resource_regressions"] = lambda spark, sf_dir: validate.new_issues(validate.resource_issues(_tables(spark, sf_dir).written()), validate.resource_issues(_tables(spark, sf_dir, LATER).written()))
+QUERIES["security_changes"] = lambda spark, sf_dir: validate.security_issues(_tables(spark, sf_dir).written(), _tables(spark, sf_dir, LATER).written())
 
 _ISSUES_CTE = r"""
 n AS (SELECT a.*, (SELECT min(e.line) FROM ev e WHERE e.path = a.path AND e.fn = a.fn AND e.variable = a.variable AND e.kind = a.wanted AND e.line > a.line) AS release FROM acq a),

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialise
 from .detect import Tables
 from .lex import functions
 from .validate import new_issues, repaired_paths, resource_issues, security_issues, semantic_issues
@@ -156,15 +157,16 @@ def validate_patches(files: DataFrame, diffs: DataFrame, external: DataFrame | N
 
     external: (patch_id, stage, passed, text) of compilers, tests and other
     tools that a caller has run; a stage without a row passes with a warning.
-    The checkers read all patches' files in one pass, each under its patch.
+    The checkers read all patches' files in one pass, each under its patch;
+    both versions' functions, lines and events are made once, laid out alike.
     """
-    patched = patched_files(files, diffs).cache()
-    first = apply_stage(diffs, patched).cache()
+    patched = materialise(patched_files(files, diffs), "patched")
+    first = materialise(apply_stage(diffs, patched), "applied")
     good = first.where("passed").select("patch_id")
     own = F.concat(F.to_json(F.struct("patch_id")), F.lit("\n"), "path")
     version = lambda c: patched.join(good, "patch_id", "left_semi").where(F.col(c).isNotNull()).select(own.alias("path"), F.col(c).alias("content"))
-    b, a = functions(version("before")), functions(version("after"))
-    tb, ta = Tables.of(b), Tables.of(a)
+    tb, ta = Tables.of(functions(version("before"))).keep(), Tables.of(functions(version("after"))).keep()
+    b, a = tb.functions, ta.functions
     issues = [("resource_consistency", new_issues(resource_issues(tb), resource_issues(ta))), ("semantic_equivalence", semantic_issues(b, a)), ("security_regression", security_issues(tb, ta))]
     key = diffs.schema["patch_id"].dataType.simpleString()
     found = None
@@ -172,6 +174,8 @@ def validate_patches(files: DataFrame, diffs: DataFrame, external: DataFrame | N
         patch = F.from_json(F.split("path", "\n", 2)[0], f"patch_id {key}")["patch_id"]
         rows = rows.select(patch.alias("patch_id"), F.lit(name).alias("stage"), F.concat_ws(": ", F.split("path", "\n", 2)[1], "fn", "issue").alias("issue"))
         found = rows if found is None else found.unionByName(rows)
+    found = ta.finish(found, "issues")
+    tb.release()
     found = found.groupBy("patch_id", "stage").agg(F.array_join(F.array_sort(F.collect_list("issue")), "; ").alias("text")).withColumn("passed", F.lit(False))
     if external is not None:
         found = found.unionByName(external.select("patch_id", "stage", "text", F.coalesce("passed", F.lit(False)).alias("passed")))

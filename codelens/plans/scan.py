@@ -1,4 +1,4 @@
-"""A whole scan, and the validation of a patched tree: lazy plans over the operators."""
+"""A whole scan, and the validation of a patched tree."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from ..sources.corpus import read_sources
 
 @dataclass
 class Scan:
-    """From files to ranked findings. Nothing runs before an action on ``findings``.
+    """From files to ranked findings, which lie in the shared folder when ``findings`` returns (not if it is given tables).
 
     ``extra`` detectors take Tables and return rows of detect.FINDING.
     ``confirm`` is a function table of another parser, against which
@@ -33,7 +33,7 @@ class Scan:
         return cls(read_sources(spark, root), **options)
 
     def tables(self) -> detect.Tables:
-        """Functions and code lines, parsed once and cached."""
+        """Functions, code lines and events, parsed once, laid out by function and cached until they are released."""
         return detect.Tables.of(functions(self.files)).keep()
 
     def findings(self, tables: detect.Tables | None = None) -> DataFrame:
@@ -45,7 +45,8 @@ class Scan:
         if self.confirm is not None:
             out = findings.confirmed(out, self.confirm)
         summaries = graph.summaries(t.functions, t.events).select("path", "fn", "ordinal", "summary")
-        return findings.ranked(out.join(summaries, ["path", "fn", "ordinal"], "left"), self.most)
+        out = out.join(summaries, ["path", "fn", "ordinal"], "left")
+        return findings.ranked(t.finish(out, "findings") if tables is None else out, self.most)
 
 
 def validated(before: DataFrame, after: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
@@ -54,8 +55,8 @@ def validated(before: DataFrame, after: DataFrame, diffs: DataFrame | None = Non
     With ``diffs``, resource issues count only in functions that a hunk
     touches; if none is touched, in all.
     """
-    b, a = functions(before).cache(), functions(after).cache()
-    tb, ta = detect.Tables.of(b), detect.Tables.of(a)
+    tb, ta = detect.Tables.of(functions(before)).written(), detect.Tables.of(functions(after)).written()
+    b, a = tb.functions, ta.functions
     new = validate.new_issues(validate.resource_issues(tb), validate.resource_issues(ta))
     if diffs is not None:
         touched = validate.touched_functions(validate.diff_hunks(diffs), a).select("path", "fn").distinct()

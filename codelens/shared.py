@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def discard(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df._codelens_path)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """``conf`` (dots written as two underscores) for what runs inside; afterwards the session's own values hold again."""
+    own = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

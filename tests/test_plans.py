@@ -158,3 +158,38 @@ def test_report_numbers_follow_the_ranking(spark):
     rows = [("p", "f", 0, "k", line, sev, conf, f"d{line}", str(line)) for line, sev, conf in [(1, "low", 0.9), (2, "critical", 0.5), (3, "high", 0.7), (4, "high", 0.8)]]
     found = spark.createDataFrame(rows, "path string, fn string, ordinal int, kind string, line int, severity string, confidence double, description string, id string")
     assert {r.line: r.report_index for r in findings.numbered(found).collect()} == {2: 1, 4: 2, 3: 3, 1: 4}
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def _exchanges(df):
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        below = 0 if "InMemory" in node.nodeName() else sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+        return below + (node.nodeName() == "Exchange")
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_detectors_and_checkers_share_one_layout(spark, monkeypatch):
+    from codelens import code_queries, run_queries
+    from codelens.operators import detect
+
+    counted, inner = {}, detect.materialise
+
+    def counting(df, name):
+        counted[name] = _exchanges(df)
+        return inner(df, name)
+
+    monkeypatch.setattr(detect, "materialise", counting)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert code_queries.QUERIES["scan_report"](spark, SMALL).count() > 0
+        assert run_queries.QUERIES["patch_stages"](spark, SMALL).count() > 0
+        assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert counted["findings"] <= 2 and counted["issues"] <= 2
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
