@@ -151,7 +151,8 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", with
     """Each row's text as PNG in ``media``, and what reading that back gives: lengths, digests and ``feature``, the cosine hash.
 
     Null and empty texts are 64 zero bytes. Equal texts give equal values;
-    repeated rows stay; other columns are left out. ``with_media=False``
+    texts of any length are one picture each; repeated rows stay, an empty
+    table stays empty; other columns are left out. ``with_media=False``
     leaves the pictures out of the result. Nothing is shuffled.
     """
     kind = docs.schema[key].dataType.simpleString()

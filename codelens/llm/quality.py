@@ -55,16 +55,15 @@ def difference(text: str | None, good: bytes, bad: bytes) -> float:
 
 
 def _dictionary(texts: list[str]) -> bytes:
+    """A dictionary trained on the texts; where there are too few for that on their pieces, and where those won't do either all different pieces themselves."""
     samples = [t.encode() for t in texts if t]
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # nothing to be trained on: the texts are the dictionary, those that fit whole
-        fit, size = [], 0
-        for sample in samples:
-            if size + len(sample) < DICTIONARY:
-                fit.append(sample)
-                size += len(sample) + 1
-        return b"\n".join(fit)
+    pieces = [s[at : at + PIECE] for s in samples for at in range(0, len(s), PIECE)]
+    for these in (samples, pieces):
+        try:
+            return zstandard.train_dictionary(DICTIONARY, these, level=LEVEL).as_bytes()
+        except (zstandard.ZstdError, ValueError):
+            pass
+    return b"".join(dict.fromkeys(pieces))
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -99,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     nothing. If a class has no text, scores are a constant.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).distinct()
+    own = docs.select(F.col(key).alias("__key"), F.col(text).alias("t")).where(F.col("t") != "")  # no other column, whatever its name
     counts = {r["__label"]: r["n"] for r in usable.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for k in (0, 1):
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         chosen = part if chosen is None else chosen.union(part)
     order = ["__order", "__key", "__label"]
     # read once; of a repeated key the text that comes first, so reruns agree
-    found = docs.join(F.broadcast(chosen), F.col(key) == F.col("__key")).where(F.col(text) != "").groupBy(*order).agg(F.min(text).alias("t"))
+    found = own.join(F.broadcast(chosen), "__key").groupBy(*order).agg(F.min("t").alias("t"))
     found = materialise(found, "labelled")
     sized = found.select(*order, F.length("t").alias("t")).toPandas().sort_values(order)
     parts = {k: sized[sized["__label"] == k] for k in (0, 1)}

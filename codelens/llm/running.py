@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import unused
+
 
 def running_total(df: DataFrame, group: list[str], digest: str, value: str, out: str, ties: list[Column] = ()) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come earlier by (``digest``, ``ties``).
@@ -14,15 +16,15 @@ def running_total(df: DataFrame, group: list[str], digest: str, value: str, out:
     so no task sorts a whole group. Rows alike in digest and ties are
     interchangeable.
     """
+    own, other, inner, before = (unused(df, c) for c in ("part", "other_part", "inner_total", "earlier_total"))
+    keys = [unused(df, f"group_{i}") for i in range(len(group))]
     part = F.substring(F.col(digest), 1, 3)
-    sums = df.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], part.alias("__part")).agg(F.sum(value).alias("__sum"))
-    keys = [f"__g{i}" for i in range(len(group))]
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
-    inner = Window.partitionBy(*group, "__part").orderBy(digest, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("__part", part).withColumn("__inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    sums = sums.withColumnRenamed("__part", "__other")
-    same = F.col("__part").eqNullSafe(F.col("__other"))
+    sums = df.groupBy(*[F.col(g).alias(k) for k, g in zip(keys, group, strict=True)], part.alias(other)).agg(F.sum(value).alias("sum"))
+    earlier = Window.partitionBy(*keys).orderBy(other).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, other, F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy(*group, own).orderBy(digest, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn(own, part).withColumn(inner, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col(own).eqNullSafe(F.col(other))
     for k, g in zip(keys, group, strict=True):
         same &= F.col(g).eqNullSafe(F.col(k))
-    return rows.join(sums, same).withColumn(out, F.col("__before") + F.col("__inner")).drop("__part", "__other", "__inner", "__before", *keys)
+    return rows.join(sums, same).withColumn(out, F.col(before) + F.col(inner)).drop(own, other, inner, before, *keys)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 #: The mark that stands for a space, in the vocabulary and inside pre-tokens.
 SPACE = "▁"
-#: Pre-tokens that a worker remembers before it starts afresh, and texts whose unknown ones it merges in one call.
-REMEMBERED, TOGETHER = 300_000, 64
+#: Pre-tokens that a worker remembers before it starts afresh, letters of the longest of them, and texts whose unknown ones it merges in one call.
+REMEMBERED, LETTERS, TOGETHER = 300_000, 64, 64
 
 
 class PieceCounter:
@@ -82,6 +82,7 @@ class PieceCounter:
         out: list[int] = []
         for at in range(0, len(texts), TOGETHER):
             cut = [self._cut(t) if t else ([], [], 0) for t in texts[at : at + TOGETHER]]
+            long: list[list[str]] = []
             for k, marked in enumerate((True, False)):
                 known = self.known[marked]
                 if len(known) > REMEMBERED:
@@ -89,8 +90,12 @@ class PieceCounter:
                     known.update(self.whole[marked])
                 new = list(set().union(*[c[k] for c in cut]).difference(known))
                 known.update(zip(new, self._merged(new, marked), strict=True))
+                long.append([p for p in new if len(p) > LETTERS and p not in self.whole[marked]])
             marked, bare = self.known[True].__getitem__, self.known[False].__getitem__
             out += [sum(map(marked, m)) + sum(map(bare, b)) + feeds for m, b, feeds in cut]
+            for marks, parts in zip((True, False), long, strict=True):  # so that memory is bounded by letters too
+                for p in parts:
+                    del self.known[marks][p]
         return out
 
 
@@ -104,7 +109,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
 
     ``model`` is a file that each executor has. Null texts count as empty
     (0 bytes, 0 tokens); repeated rows are counted each; other columns are
-    left out. Nothing is shuffled.
+    left out. Texts of any length are counted whole, ``TOGETHER`` at a time;
+    an empty table stays empty. Nothing is shuffled.
     """
     kind = docs.schema[key].dataType.simpleString()
 

@@ -693,3 +693,37 @@ def test_pages_in_languages_without_stop_words():
 def test_other_articles_beside_the_page_s_own():
     teaser = f"<article><p>{ENGLISH}</p></article>"
     assert html_text.main_text(f'<body><main><h1>T</h1><p>{ENGLISH} One.</p></main><div class="related">{teaser}</div><aside>{teaser}</aside></body>') == f"T\n{ENGLISH} One."
+
+
+# --- columns that clash, and what is remembered
+
+
+def test_columns_of_helpers_names_stay(spark):
+    names = ["__key", "__label", "__order", "t", "k", "__part", "__before", "__g0", "__hits", "part", "other_part", "inner_total", "earlier_total", "group_0", "hits", "sum", "found"]
+    docs = _documents(spark, [(k, f"some words of text {k} " * (k + 1)) for k in range(12)], **{n: f"kept {n}" for n in names}, source="s", lang="en")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    scored = quality.score_documents(docs, quality.fit(docs, labels))
+    mixed = mixing.allocate(docs)
+    clean = decontaminate.without_passages(docs, spark.createDataFrame([(1, "nothing of the kind is here at all today")], "item_id long, text string"))
+    counted = tokens.count_tokens(docs, tokens.model_path("piece_bpe_32k.model"))
+    assert counted.count() == 12
+    for out in (scored, mixed, clean):
+        rows = out.collect()
+        assert len(rows) == 12 and all(r[n] == f"kept {n}" for r in rows for n in names), out.columns
+
+
+def test_few_long_texts_leave_nothing_out_of_the_dictionary():
+    rnd = random.Random(6)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(7))
+    good, bad = ([" ".join(word(a) for _ in range(190_000)) for _ in range(2)] for a in ("abcdefgh", "mnopqrst"))
+    made = quality._dictionary(good), quality._dictionary(bad)
+    assert min(map(len, made)) > 1000
+    assert quality.difference(good[0][-5000:], *made) > 0.02 > -0.02 > quality.difference(bad[0][-5000:], *made)
+    assert quality._dictionary(["tiny"]) == b"tiny" and quality._dictionary([]) == b""
+
+
+def test_long_pre_tokens_are_not_remembered():
+    c = tokens.PieceCounter(tokens.model_path("piece_bpe_32k.model"))
+    texts = ["x" * 5000 + " word " + "ab" * 400, "y" * 300 + "\nword"] * 3
+    assert c.counts(texts) == [len(x) for x in c.library.encode(texts)]
+    assert all(len(p) <= tokens.LETTERS or p in c.whole[m] for m, known in c.known.items() for p in known)
