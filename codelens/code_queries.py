@@ -196,9 +196,9 @@ SELECT DISTINCT * FROM (
 _query("function_summaries", lambda t: graph.summaries(t.functions, t.events).select("path", "fn", "resources", "gotos"), """
 SELECT f.path, f.fn, coalesce((SELECT string_agg(variable, ', ' ORDER BY variable) FROM (SELECT DISTINCT variable FROM ev e WHERE e.path = f.path AND e.fn = f.fn)), 'none') AS resources, (SELECT count(DISTINCT target) FROM gotos g WHERE g.path = f.path AND g.fn = f.fn)::INTEGER AS gotos
 FROM (SELECT DISTINCT path, fn FROM code_lines) f""")
-_query("assigned_variables", lambda t: facts.definitions(t.functions).where("variable <> 'NULL'").select("path", "fn", "variable", "line"), r"""
+_query("assigned_variables", lambda t: facts.definitions(t.functions).select("path", "fn", "variable", "line"), r"""
 SELECT path, fn, regexp_extract(stmt, '^([a-z]\w*)\s*(=|\+\+)', 1) AS variable, line FROM code_lines WHERE regexp_matches(stmt, '^[a-z]\w*\s*(=|\+\+)') AND NOT regexp_matches(stmt, '^(if|return|goto)\b')
-UNION ALL SELECT path, fn, regexp_extract(stmt, '^[a-z]\w* = (\w+)\(', 1) AS variable, line FROM code_lines WHERE regexp_matches(stmt, '^[a-z]\w* = \w+\(')""")
+UNION ALL SELECT path, fn, regexp_extract(stmt, '^[a-z]\w* = ([A-Za-z_]\w*)[(;]', 1) AS variable, line FROM code_lines WHERE regexp_matches(stmt, '^[a-z]\w* = [A-Za-z_]\w*[(;]')""")
 _query("code_near_unsafe_calls", lambda t: lines.nearby(t.lines, detect.unsafe_call(t).select(*lines.FN, "line"), 2).select("path", "fn", "line", "snippet"), r"""
 SELECT a.path, a.fn, a.line, string_agg(b.line || ': ' || b.stmt, chr(10) ORDER BY b.line) AS snippet FROM code_lines a JOIN code_lines b ON b.path = a.path AND b.fn = a.fn AND b.line BETWEEN a.line - 2 AND a.line + 2 WHERE a.stmt = 'strcpy(d, s);' GROUP BY a.path, a.fn, a.line""")
 

@@ -117,11 +117,11 @@ _code(
 )
 _DEFINED = r"""
 d AS (SELECT DISTINCT path, fn, variable FROM (SELECT path, fn, regexp_extract(stmt, '^([a-z]\w*)\s*(=|\+\+)', 1) AS variable FROM code_lines WHERE regexp_matches(stmt, '^[a-z]\w*\s*(=|\+\+)') AND NOT regexp_matches(stmt, '^(if|return|goto)\b')
-  UNION ALL SELECT path, fn, regexp_extract(stmt, '^[a-z]\w* = (\w+)\(', 1) FROM code_lines WHERE regexp_matches(stmt, '^[a-z]\w* = \w+\('))),
+  UNION ALL SELECT path, fn, regexp_extract(stmt, '^[a-z]\w* = ([A-Za-z_]\w*)[(;]', 1) FROM code_lines WHERE regexp_matches(stmt, '^[a-z]\w* = [A-Za-z_]\w*[(;]'))),
 u AS (SELECT DISTINCT path, fn, variable FROM (SELECT path, fn, unnest(regexp_extract_all(stmt, '\b[A-Za-z_]\w*\b')) AS variable FROM (SELECT path, fn, trim(regexp_replace(raw, '//.*$', '')) AS stmt FROM code_lines)) WHERE variable <> fn AND NOT variable IN (KEYWORDS))""".replace("KEYWORDS", ", ".join(f"'{k}'" for k in vocab.C_KEYWORDS))
 _code(
     "data_edges",
-    lambda t: graph.data_edges(t.functions).where("src NOT LIKE '%:NULL' AND dst NOT LIKE '%:NULL'").select("path", "src", "dst").distinct(),
+    lambda t: graph.data_edges(t.functions).select("path", "src", "dst").distinct(),
     f", {_DEFINED} SELECT path, fn || ':bb1' AS src, 'var:' || fn || ':' || variable AS dst FROM d UNION ALL SELECT path, 'var:' || fn || ':' || variable, fn || ':bb1' FROM u SEMI JOIN d USING (path, fn, variable)",
 )
 _code("variable_uses", lambda t: facts.uses(t.functions).select("path", "fn", "variable").distinct(), f", {_DEFINED} SELECT path, fn, variable FROM u")
