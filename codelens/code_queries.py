@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import vocab
 from .operators import detect, facts, findings, graph, lines, validate
 from .operators.lex import functions
+from .sources import clang
 from .sources.corpus import generated_corpus, lines_cte
 
 #: The second version of the corpus lacks these rows.
@@ -69,8 +70,13 @@ _OUT = ["path", "fn", "line", "severity", "confidence", "description"]
 MANY_BRANCHES = ["missing_release", "double_release", "early_return", "missing_cleanup_on_error", "duplicate_checks", "goto_redundant_error_block", "goto_single_use_label"]
 
 
+#: The detectors' SQL, without what leads up to it.
+DETECTOR_SQL: dict[str, str] = {}
+
+
 def _found(name: str, sql: str) -> None:
     """A detector as a query, severity as it is before gating."""
+    DETECTOR_SQL[name] = f"SELECT DISTINCT path, fn, line::INTEGER AS line, severity, confidence::DOUBLE AS confidence, description FROM ({sql})"
     _query(name, lambda t, d=detect.DETECTORS[name]: d(t).select(*_OUT).distinct(), f"SELECT DISTINCT path, fn, line::INTEGER AS line, severity, confidence::DOUBLE AS confidence, description FROM ({sql})", often=name in MANY_BRANCHES)
 
 
@@ -219,6 +225,22 @@ SELECT CASE k WHEN 0 THEN 'medium' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE '
 FROM (SELECT CASE WHEN path LIKE 'tests/%' THEN 0 WHEN path LIKE 'third_party/%' THEN 1 WHEN path LIKE '%generated%' THEN 2 ELSE 3 END AS k FROM code_lines WHERE stmt = 'strcpy(d, s);') GROUP BY ALL""")
 
 
+def _with_provenance(t: detect.Tables) -> detect.Tables:
+    """The tables as if a compiler had parsed every third user's file, and had given the control flow of every second one's function."""
+    user = F.regexp_extract("fn", r"\d+$", 0).cast("long")
+    both = clang.with_fallback(t.functions.where(user % 3 == 0), t.functions)
+    flow = t.functions.where(user % 2 == 0).select("fn", F.concat("fn", F.lit(":B2")).alias("block"), F.lit("<entry>").alias("stmt"))
+    return detect.Tables.of(detect.with_flow(both, flow))
+
+
+_query(
+    "scores_by_provenance",
+    lambda t: detect.double_release(_with_provenance(t)).select("path", "fn", "line", "confidence").unionByName(detect.missing_release(_with_provenance(t)).select("path", "fn", "line", "confidence")).distinct(),
+    f"""SELECT DISTINCT path, fn, line, least(base + CASE WHEN u % 3 = 0 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN u % 2 = 0 THEN 0.06::DOUBLE ELSE 0 END, 1.0::DOUBLE) AS confidence FROM (
+  SELECT path, fn, line, regexp_extract(fn, '\d+$')::BIGINT AS u, CASE WHEN description LIKE '%possibly a%' THEN 0.72::DOUBLE + 0.08::DOUBLE ELSE 0.58::DOUBLE END AS base FROM (({DETECTOR_SQL["missing_release"]}) UNION ALL ({DETECTOR_SQL["double_release"]})))""",
+)
+
+
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan: every detector, scored, clustered, weighed and ranked."""
     t = _tables(spark, sf_dir).keep()
