@@ -92,6 +92,11 @@ def _terms(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
 
 
+def _sized(terms: DataFrame, of: DataFrame) -> DataFrame:
+    """``terms`` broadcast if ``of``, a written table that they come from, has BROADCAST rows at most."""
+    return F.broadcast(terms) if of.count() <= BROADCAST else terms
+
+
 def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(term, kind, entity, together, entity_lines, term_lines, ratio): terms that reveal entities of the corpus.
 
@@ -101,7 +106,9 @@ def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DIS
     and b contexts with both, the information of the entity is log2(N/e), that of the pair
     log2(b*N/(e*t)), and ``ratio`` the second over the first: 1 for a term
     that stands where the entity does and nowhere else. Terms that reach
-    ``disclosure`` over at least ``support`` contexts are returned.
+    ``disclosure`` over at least ``support`` contexts are returned. A term
+    whose lines in a 64th of all, by digest, are already too many for that
+    is not counted further.
     """
     lines = _lines(docs, text)
     held = lines.where(F.greatest(*[F.col("line").rlike(p) for p in PATTERNS.values()]))
@@ -115,14 +122,18 @@ def revealing_terms(docs: DataFrame, text: str = "text", disclosure: float = DIS
     pairs = contexts.join(strong, ["kind", "entity"]).select("kind", "entity", "entity_lines", F.explode(_terms(F.col("rest"))).alias("term"))
     pairs = pairs.groupBy("kind", "entity", "entity_lines", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
     pairs = materialise(pairs, "pairs")
-    # only these terms are counted, and lines are told apart by a digest of 128 bits: their texts aren't shuffled
-    wanted = pairs.select("term").distinct()
-    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST else wanted
+    # lines are told apart by a digest of 128 bits: their texts aren't shuffled
     digest = F.unhex(F.md5(F.col("line").cast("binary"))).alias("digest")
-    here = lines.select(digest, F.explode(_terms(F.col("line"))).alias("term")).join(wanted, "term", "left_semi").distinct()
+    n = lines.select(digest).distinct().count()
+    # a term may stand in b*(N/e)**(1-disclosure) lines at most; one that stands in more of a 64th of them, by digest, needs no count
+    most = F.max(F.col("together") * F.pow(F.lit(float(n)) / F.col("entity_lines"), 1.0 - disclosure) + 1)
+    wanted = pairs.groupBy("term").agg(most.alias("most"))
+    few = lines.select("line", digest).where(F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int") % 64 == 0)
+    seen = few.select("digest", F.explode(_terms(F.col("line"))).alias("term")).join(_sized(wanted.select("term"), pairs), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    wanted = materialise(wanted.join(seen, "term", "left").where(F.coalesce("least", F.lit(0)) <= F.col("most")).select("term"), "wanted")
+    here = lines.select(digest, F.explode(_terms(F.col("line"))).alias("term")).join(_sized(wanted, wanted), "term", "left_semi").distinct()
     counts = here.groupBy("term").agg(F.count(F.lit(1)).alias("term_lines"))
-    total = lines.select(digest).distinct().agg(F.count(F.lit(1)).alias("n"))
-    rated = pairs.join(counts, "term").join(F.broadcast(total)).withColumn("ratio", F.log2(F.col("together") * F.col("n") / (F.col("entity_lines") * F.col("term_lines"))) / F.log2(F.col("n") / F.col("entity_lines")))
+    rated = pairs.join(counts, "term").withColumn("n", F.lit(n)).withColumn("ratio", F.log2(F.col("together") * F.col("n") / (F.col("entity_lines") * F.col("term_lines"))) / F.log2(F.col("n") / F.col("entity_lines")))
     return rated.where(F.col("ratio") >= disclosure).select("term", "kind", "entity", "together", "entity_lines", "term_lines", "ratio")
 
 
