@@ -237,7 +237,7 @@ _query(
     "scores_by_provenance",
     lambda t: detect.double_release(_with_provenance(t)).select("path", "fn", "line", "confidence").unionByName(detect.missing_release(_with_provenance(t)).select("path", "fn", "line", "confidence")).distinct(),
     f"""SELECT DISTINCT path, fn, line, least(base + CASE WHEN u % 3 = 0 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN u % 2 = 0 THEN 0.06::DOUBLE ELSE 0 END, 1.0::DOUBLE) AS confidence FROM (
-  SELECT path, fn, line, regexp_extract(fn, '\d+$')::BIGINT AS u, CASE WHEN description LIKE '%possibly a%' THEN 0.72::DOUBLE + 0.08::DOUBLE ELSE 0.58::DOUBLE END AS base FROM (({DETECTOR_SQL["missing_release"]}) UNION ALL ({DETECTOR_SQL["double_release"]})))""",
+  SELECT path, fn, line, regexp_extract(fn, '[0-9]+$')::BIGINT AS u, CASE WHEN description LIKE '%possibly a%' THEN 0.72::DOUBLE + 0.08::DOUBLE ELSE 0.58::DOUBLE END AS base FROM (({DETECTOR_SQL["missing_release"]}) UNION ALL ({DETECTOR_SQL["double_release"]})))""",
 )
 
 

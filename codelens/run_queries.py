@@ -11,6 +11,7 @@ from . import code_queries, vocab
 from .operators import context, facts, graph, patching, runs
 from .operators.lex import functions
 from .plans import report
+from .plans.rounds import repair_rounds
 from .sources import clang
 from .sources.corpus import lines_cte
 from .table_queries import FINDINGS, _findings, _rate
@@ -295,3 +296,31 @@ _query(
     lambda r: _flow(r).select("path", "src", "dst", "edge"),
     "SELECT 'n' || n_nationkey AS path, 'f_' || n_nationkey || ':' || s AS src, 'f_' || n_nationkey || ':' || d AS dst, edge FROM nation CROSS JOIN (VALUES ('B3', 'B2', 'control'), ('B2', 'B1', 'control'), ('B2', 'B0', 'return'), ('B1', 'B2', 'goto')) v(s, d, edge)",
 )
+
+
+def _premade(lines: DataFrame, open_: DataFrame, n: int) -> DataFrame:
+    """Three of an order's line items as candidates in each round; what they were told makes them better."""
+    own = lines.where(F.floor((F.col("l_linenumber") - 1) / 3) == n).select(F.col("l_orderkey").alias("opportunity_id"), F.col("l_linenumber").alias("candidate"), "l_quantity", "l_returnflag")
+    return open_.join(own, "opportunity_id").withColumn("l_quantity", F.col("l_quantity") + 5 * F.size("messages"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    out = "f0 AS (SELECT DISTINCT l_orderkey AS id, 0 AS told, 0 AS tried, '' AS messages FROM lineitem)"
+    for n in range(rounds):
+        out += f""",
+c{n} AS (SELECT f.id, l_linenumber AS candidate, l_quantity + 5 * told > 48 AS passed, l_returnflag FROM f{n} f JOIN lineitem ON l_orderkey = id AND (l_linenumber - 1) // 3 = {n}),
+s{n} AS (SELECT id, min(candidate) FILTER (WHERE passed) AS chosen, count(*) AS n, string_agg('candidate ' || candidate || ': ' || l_returnflag, ';' ORDER BY candidate, l_returnflag) AS messages FROM c{n} GROUP BY id),
+w{n} AS (SELECT f.id, chosen, coalesce(n, 1) AS told, coalesce(s.messages, 'no candidate was made') AS messages, f.tried + coalesce(CASE WHEN chosen IS NULL THEN n ELSE (SELECT count(*) FROM c{n} c WHERE c.id = f.id AND c.candidate <= chosen) END, 0) AS tried FROM f{n} f LEFT JOIN s{n} s USING (id)),
+f{n + 1} AS (SELECT id, told, tried, messages FROM w{n} WHERE chosen IS NULL)"""
+    solved = " UNION ALL ".join(f"SELECT id, {n} AS round, chosen, tried, '' AS messages FROM w{n} WHERE chosen IS NOT NULL" for n in range(rounds))
+    return f"WITH {out} SELECT id AS opportunity_id, round::INTEGER AS round, chosen::INTEGER AS candidate, tried::BIGINT AS tried, messages FROM ({solved} UNION ALL SELECT id, NULL, NULL, tried, messages FROM f{rounds})"
+
+
+_query(
+    "repair_rounds",
+    lambda r: repair_rounds(
+        r("lineitem").select(F.col("l_orderkey").alias("opportunity_id")), lambda open_, n: _premade(r("lineitem"), open_, n),
+        lambda made: made.withColumns({"passed": F.col("l_quantity") > 48, "logs": F.array("l_returnflag")}),
+    ).withColumn("messages", F.array_join("messages", ";")),
+    _rounds_sql(3),
+)

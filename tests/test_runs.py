@@ -118,3 +118,25 @@ def test_nearest_rank_equals_a_sorted_list(spark, n):
     got = {r.g: r.p for r in tables.nearest_rank(rows, ["g"], "v", 0.95, "p", parts=8).collect()}
     ordered = sorted(v for v in values if v is not None)
     assert got == {"g": pytest.approx(ordered[round((n - 1) * 0.95)]), "h": 5.0}
+
+
+def test_rounds_tell_failures_and_stop_at_the_first_that_passes(spark):
+    from codelens.plans.rounds import NONE_MADE, repair_rounds
+
+    heard = {}
+
+    def generate(open_, n):
+        rows = {r.opportunity_id: r.messages for r in open_.collect()}
+        heard[n] = rows
+        made = {0: [("a", 1, "x"), ("a", 2, "ok"), ("a", 3, "ok"), ("b", 1, "x"), ("b", 2, "y")], 1: [("b", 1, "y")], 2: [("b", 1, "ok"), ("c", 1, None)]}[n]
+        return spark.createDataFrame([m for m in made if m[0] in rows], "opportunity_id string, candidate int, text string")
+
+    validate = lambda made: made.selectExpr("*", "text = 'ok' AS passed", "array(text) AS logs")
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "opportunity_id string")
+    got = {r.opportunity_id: (r.round, r.candidate, r.tried, r.messages) for r in repair_rounds(ids, generate, validate).collect()}
+    assert got["a"] == (0, 2, 2, []) and got["b"] == (2, 1, 4, [])
+    assert got["c"][:3] == (None, None, 1) and got[None] == (None, None, 0, [NONE_MADE])
+    assert set(heard[0]) == {"a", "b", "c", None} and set(heard[1]) == {"b", "c", None}
+    assert heard[0]["b"] == [] and heard[1]["b"] == ["candidate 1: x", "candidate 2: y"] and heard[2]["b"] == ["candidate 1: y"] and heard[1]["c"] == [NONE_MADE]
+    assert repair_rounds(ids.where("opportunity_id = 'a'"), generate, validate).count() == 1 and max(heard) == 2
+    assert repair_rounds(ids.limit(0), generate, validate).count() == 0
