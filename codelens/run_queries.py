@@ -145,7 +145,7 @@ _query(
     ),
     f"""WITH f AS (SELECT p_partkey, lower({_HINTED}) AS fn, p_size % 4 = 0 AS body FROM part),
 h AS (SELECT *, regexp_matches(fn, '{"|".join(vocab.RELEASE_HINTS)}') AS r, regexp_matches(fn, '{"|".join(vocab.TRANSFER_HINTS)}') AS transfers, regexp_matches(fn, '{"|".join(vocab.BORROW_HINTS)}') AS borrows FROM f)
-SELECT p_partkey, r OR body AS releases, transfers, borrows, concat_ws(',', CASE WHEN r THEN 'release-like function name' END, CASE WHEN transfers THEN 'ownership-transfer-like function name' END, CASE WHEN borrows THEN 'borrow-like function name' END, CASE WHEN body THEN 'body contains release primitive' END) AS evidence FROM h""",
+SELECT p_partkey, r OR body AS releases, transfers, borrows, concat_ws(',', CASE WHEN r THEN 'named like a release' END, CASE WHEN transfers THEN 'named like a hand-over' END, CASE WHEN borrows THEN 'named like a borrower' END, CASE WHEN body THEN 'frees or closes something itself' END) AS evidence FROM h""",
 )
 
 # --- runs and reviews: orders as work items

@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..operators.lex import FUNCTION, masked
 
 _HEADER = re.compile(r"\s*\[(B\d+)(?:\s+\((ENTRY|EXIT)\))?\]")
 _STATEMENT = re.compile(r"\s+(?:\d+|T):\s+(.*)$")
 _NEXT = re.compile(r"Succs \(\d+\):\s*(.*)$")
 _NAME = re.compile(r"([A-Za-z_~]\w*(?:::[A-Za-z_~]\w*)?)$", re.A)
-KINDS = frozenset("FunctionDecl CXXMethodDecl CXXConstructorDecl CXXDestructorDecl CXXConversionDecl".split())
 
 
 def _nodes(tree: dict) -> Iterator[dict]:
@@ -61,7 +61,7 @@ def functions_of(path: str, content: str, tree: dict) -> Iterator[tuple]:
     k = 0
     for node in _nodes(tree):
         body = next((x for x in node.get("inner") or [] if isinstance(x, dict) and x.get("kind") == "CompoundStmt"), None)
-        if node.get("kind") not in KINDS or not node.get("name") or not (body or node.get("isThisDeclarationADefinition") is True) or not _in_file(node, path):
+        if node.get("kind") not in vocab.FUNCTION_NODES or not node.get("name") or not (body or node.get("isThisDeclarationADefinition") is True) or not _in_file(node, path):
             continue
         span = _lines(node.get("range"), content)
         if span is None:
