@@ -105,12 +105,12 @@ class _Blocks(HTMLParser):
         about = " ".join(filter(None, (named.get("class"), named.get("id")))).lower().replace("_", "-")
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in (named.get("style") or "").replace(" ", "").lower()
         role = (named.get("role") or "").lower()
-        if self.article:
+        if about and self.article:
             about = re.sub(r"header|masthead", "", about)  # an article's own head holds its title
         if tag in ("html", "body", "main"):
             about = ""
-        never = tag in ASIDE and not (tag == "header" and self.article) or role in ROLES or hidden or bool(COMMENTS.search(about))
-        maybe = tag in AROUND or role in ROLES_AROUND or bool(NAMED_ASIDE.search(about))
+        never = tag in ASIDE and not (tag == "header" and self.article) or role in ROLES or hidden or bool(about and COMMENTS.search(about))
+        maybe = tag in AROUND or role in ROLES_AROUND or bool(about and NAMED_ASIDE.search(about))
         article = tag in ("article", "main") or role == "main"
         self.places[tag].append(len(self.open))
         self.open.append((tag, tag in SILENT, never, maybe, article))
@@ -179,13 +179,13 @@ def blocks_of(html: str) -> tuple[list[list], dict[int, tuple[int, bool]]]:
     return parser.blocks, parser.around
 
 
-def first_label(text: str, linked: int, aside: bool, marked: bool = False, known: bool = True) -> str:
-    """good, near, short or bad, by the block alone; ``marked`` if the page marks it as part of its article, ``known`` if its language is."""
+def first_label(text: str, linked: int, aside: bool, marked: bool = False, known: bool = True, counts: tuple[int, int] | None = None) -> str:
+    """good, near, short or bad, by the block alone; ``marked`` if the page marks it as part of its article, ``known`` if its language is, ``counts`` its stop words and words."""
     if aside or linked > LINKED * len(text) or "©" in text and len(text) < LONG and not marked:
         return "bad"
     if len(text) < SHORT:
         return "bad" if linked and not marked else "short"
-    n, words = _stop_words(text)
+    n, words = counts or _stop_words(text)
     share = n / max(1, words) if known else STOP_HIGH
     if marked:
         return "good" if share >= STOP_LOW else "near"
@@ -209,11 +209,11 @@ def labels(blocks: list[list], around: dict[int, tuple[int, bool]]) -> list[bool
     inside = any(marks)
     # the elements that are around all of an article, or of a page's text, are none beside it
     least: dict[int, int] = {}
-    for (text, linked, _, maybe, _, never), mark in zip(blocks, marks, strict=True):
-        if not never and (mark or not inside and first_label(text, linked, False, False, known) == "good"):
+    for (text, linked, _, maybe, _, never), mark, n in zip(blocks, marks, counts, strict=True):
+        if not never and (mark or not inside and first_label(text, linked, False, False, known, n) == "good"):
             least[mark] = min(maybe, least.get(mark, maybe))
     asides = [b[5] or b[3] > least.get(mark, 0) for b, mark in zip(blocks, marks, strict=True)]
-    first = ["bad" if inside and not mark else first_label(b[0], b[1], aside, mark > 0, known) for b, mark, aside in zip(blocks, marks, asides, strict=True)]
+    first = ["bad" if inside and not mark else first_label(b[0], b[1], aside, mark > 0, known, n) for b, mark, aside, n in zip(blocks, marks, asides, counts, strict=True)]
     # inside an article, what is named as aside says nothing of the blocks around it
     decided = [f if f in ("good", "bad") and not (mark and aside) else "" for f, mark, aside in zip(first, marks, asides, strict=True)]
     ahead, behind = _nearest(decided, marks), _nearest(decided[::-1], marks[::-1])[::-1]
