@@ -114,16 +114,18 @@ def _ends(paths: DataFrame, path: str, out: str) -> DataFrame:
 def touched_functions(hunks: DataFrame, functions: DataFrame, side: str = "new") -> DataFrame:
     """(patch_id, path, fn): functions that a hunk's lines overlap, in files one of whose paths ends with the other.
 
-    The shorter path meets the ends of the longer ones in an equal join, and
-    lines meet by bins, so that files of one name make no pair that isn't a
-    match.
+    The shorter path meets the ends of the longer ones in an equal join. The
+    functions take the names that hunks have for their files, and hunks meet
+    them by name and bin of lines at once: files of one name make no pair
+    that isn't a match, and a name with most hunks is spread over its bins.
     """
     files = functions.select("path", F.regexp_replace("path", "^[./]+", "").alias("fp")).distinct().where("fp <> ''")
     named = hunks.select(F.col("path").alias("hp")).distinct().where("hp <> ''")
     longer, shorter = files.select("path", "fp"), named
     same = _ends(longer, "fp", "hp").join(shorter, "hp").select("path", "hp").unionByName(_ends(shorter, "hp", "fp").join(longer, "fp").select("path", "hp")).distinct()
-    h = hunks.select("patch_id", F.col("path").alias("hp"), F.col(f"{side}_start").alias("s"), F.col(f"{side}_end").alias("e")).join(same, "hp")
-    return overlapping(functions.select("path", "fn", "start_line", "end_line"), h, ["path"], ("start_line", "end_line"), ("s", "e")).select("patch_id", "path", "fn").distinct()
+    f = functions.select("path", "fn", "start_line", "end_line").join(same, "path")
+    h = hunks.select("patch_id", F.col("path").alias("hp"), F.col(f"{side}_start").alias("s"), F.col(f"{side}_end").alias("e"))
+    return overlapping(f, h, ["hp"], ("start_line", "end_line"), ("s", "e")).select("patch_id", "path", "fn").distinct()
 
 
 def repaired_paths(paths: DataFrame, known: DataFrame) -> DataFrame:

@@ -193,3 +193,18 @@ def test_detectors_and_checkers_share_one_layout(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert counted["findings"] <= 2 and counted["issues"] <= 2
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def _planned(spark, df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hunks_meet_functions_by_name_and_bin_at_once(spark, monkeypatch):
+    from codelens.operators import validate
+
+    sides, inner = [], validate.overlapping
+    monkeypatch.setattr(validate, "overlapping", lambda *a: sides.append(a[1]) or inner(*a))
+    hunks = spark.createDataFrame([("p", "src/a.c", 1, 2, 1, 2)], "patch_id string, path string, old_start int, old_end int, new_start int, new_end int")
+    functions = spark.createDataFrame([("/p/src/a.c", "f", 1, 9), ("/q/a.c", "g", 1, 9)], "path string, fn string, start_line int, end_line int")
+    assert [(r.path, r.fn) for r in validate.touched_functions(hunks, functions).collect()] == [("/p/src/a.c", "f")]
+    assert "Join" not in _planned(spark, sides[0])
