@@ -208,3 +208,16 @@ def test_hunks_meet_functions_by_name_and_bin_at_once(spark, monkeypatch):
     functions = spark.createDataFrame([("/p/src/a.c", "f", 1, 9), ("/q/a.c", "g", 1, 9)], "path string, fn string, start_line int, end_line int")
     assert [(r.path, r.fn) for r in validate.touched_functions(hunks, functions).collect()] == [("/p/src/a.c", "f")]
     assert "Join" not in _planned(spark, sides[0])
+
+
+def test_stages_stay_where_their_candidates_are(spark):
+    from codelens import table_queries
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, most in (("stages_folded", 1), ("checker_ablation", 3)):
+            assert _planned(spark, table_queries.QUERIES[name](spark, SMALL)).count("Exchange hashpartitioning") <= most, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
