@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from ..shared import materialise
 from .validate import stage_category
 
@@ -30,23 +31,45 @@ def _text(members: Column, *names: str) -> Column:
     return F.array_join(F.concat(*[_listed(members[n]) for n in names]), "\n")
 
 
+def _said(members: Column, stages: Column) -> Column:
+    """What a result says of itself: state, the taxonomy that it has already, its stages while it is open, its text."""
+    def said(existing: Column) -> Column:
+        state = F.when(members.isNull(), "missing").when(existing["categories"].isNotNull(), "existing").when(_true(members["passed"]), "passed").otherwise("open")
+        has = F.struct(_listed(existing["categories"]).alias("categories"), F.from_json(existing["category_counts"], "map<string, int>").alias("counts"), _listed(existing["failed_stages"]).alias("failed_stages"), existing["primary_category"].alias("primary_category"))
+        return let(state, lambda k: F.struct(k.alias("state"), F.when(k == "existing", has).alias("existing"), F.when(k == "open", F.map_entries(stages)).alias("stages"), F.when(k == "open", _text(members, "logs", "counterexamples")).alias("text")))
+
+    return let(_object(stages[TAXONOMY]), said)
+
+
+def _result(json: Column) -> Column:
+    return let(_object(json), lambda m: let(_object(m["stage_results"]), lambda stages: _said(m, stages)))
+
+
+def _failed(stage: Column, at: Column) -> Column:
+    """A failed stage: its categories, or the result that it holds; null for any other."""
+    name = stage["key"]
+
+    def told(m: Column) -> Column:
+        category = F.filter(F.array(stage_category(name, _text(m, "logs", "warnings", "counterexamples"))), lambda c: c.isNotNull())
+        both = let(_object(m["stage_results"]), lambda own: F.struct(at.alias("at"), name.alias("name"), F.when(own.isNull(), category).alias("categories"), F.when(own.isNotNull(), _said(m, own)).alias("result")))
+        return F.when((name != TAXONOMY) & m.isNotNull() & ~_true(m["passed"]), both)
+
+    return let(_object(stage["value"]), told)
+
+
 def _nodes(found: DataFrame) -> DataFrame:
-    """What each result (node, parent, at, name, members) says of itself: state, categories that it has already, its stages while it is open, its text."""
-    stages = _object(F.col("members")["stage_results"])
-    existing = _object(stages[TAXONOMY])
-    state = F.when(F.col("members").isNull(), "missing").when(existing["categories"].isNotNull(), "existing").when(_true(F.col("members")["passed"]), "passed").otherwise("open")
-    return found.withColumn("state", state).select(
-        "node", "parent", "at", "name", "state",
-        F.when(F.col("state") == "existing", F.struct(_listed(existing["categories"]).alias("categories"), F.from_json(existing["category_counts"], "map<string, int>").alias("counts"), _listed(existing["failed_stages"]).alias("failed_stages"), existing["primary_category"].alias("primary_category"))).alias("existing"),
-        F.when(F.col("state") == "open", F.map_entries(stages)).alias("stages"),
-        _text(F.col("members"), "logs", "counterexamples").alias("text"),
-    )
-
-
-def _folded(nodes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Each node with its taxonomy, from what failed in it: parts (parent, at, categories, failed)."""
-    gathered = parts.groupBy(F.col("parent").alias("of")).agg(F.array_sort(F.collect_list(F.struct("at", "categories", "failed"))).alias("parts"))
-    rows = nodes.join(gathered, F.col("node") == F.col("of"), "left")
+    """Results (node, parent, at, name, result) with parts, what their own stages say, and inner, their stages that hold results."""
+    rows = found.withColumn("failed", F.filter(F.transform("result.stages", _failed), lambda x: x.isNotNull()))
+    own = F.transform(F.filter("failed", lambda x: x["result"].isNull()), lambda x: F.struct(x["at"].alias("at"), x["categories"].alias("categories"), F.array(x["name"]).alias("failed")))
+    return rows.select(*[c for c in found.columns if c != "result"], "result.state", "result.existing", "result.text", own.alias("parts"), F.filter("failed", lambda x: x["result"].isNotNull()).alias("inner"))
+
+
+def _folded(nodes: DataFrame, below: DataFrame | None) -> DataFrame:
+    """Each node with its taxonomy, from its own parts and those of the results below: (parent, at, categories, failed)."""
+    rows = nodes.drop("inner")
+    if below is not None:
+        gathered = below.groupBy(F.col("parent").alias("of")).agg(F.collect_list(F.struct("at", "categories", "failed")).alias("theirs"))
+        rows = rows.join(gathered, F.col("node") == F.col("of"), "left").withColumn("parts", F.when(F.col("theirs").isNull(), F.col("parts")).otherwise(F.array_sort(F.concat(F.coalesce("parts", F.array()), "theirs")))).drop("of", "theirs")
     none = F.array().cast("array<string>")
     failed = F.coalesce(F.flatten(F.transform("parts", lambda p: p["failed"])), none)
     named = F.coalesce(F.flatten(F.transform("parts", lambda p: p["categories"])), none)
@@ -57,7 +80,7 @@ def _folded(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     rows = rows.withColumn("named", listed).withColumn("different", F.array_sort(F.array_distinct("named")))
     counts = F.map_from_entries(F.transform("different", lambda c: F.struct(c, F.size(F.filter("named", lambda x: x == c)))))
     own = F.struct(F.col("different").alias("categories"), counts.alias("counts"), F.col("failed").alias("failed_stages"), F.get("different", F.lit(0)).alias("primary_category"))
-    return rows.select("node", "parent", "at", "name", F.coalesce("existing", own).alias("taxonomy"))
+    return rows.withColumn("taxonomy", F.coalesce("existing", own))
 
 
 def nested_taxonomy(validations: DataFrame, key: str = "work_id", validation: str = "validation") -> DataFrame:
@@ -73,31 +96,26 @@ def nested_taxonomy(validations: DataFrame, key: str = "work_id", validation: st
     ``missing_validation``; one that has passed has no category.
 
     Trees of any depth: each level is one table, written before the next is
-    taken from it, and the levels are folded from the deepest. Rows of one
-    tree meet by the node that they belong to, so a task holds one result's
-    stages at most. An empty table stays empty.
+    taken from it, and the levels are folded from the deepest. A level's text
+    is parsed once: what its stages say, and the results that they hold, are
+    written with it. Rows of one tree meet by the node that they belong to,
+    so a task holds one result's stages at most. An empty table stays empty.
     """
     rows = validations.select(F.col(key).alias("k"), F.col(validation).alias("v")).distinct()
     root = F.sha2(F.concat_ws("|", F.to_json(F.struct("k")), F.coalesce("v", F.lit(""))), 256)
-    roots = materialise(rows.withColumn("node", root), "validations")
     none = F.lit(None).cast("string")
-    found = roots.select("node", none.alias("parent"), F.lit(None).cast("int").alias("at"), none.alias("name"), _object(F.col("v")).alias("members"))
+    found = rows.select("k", root.alias("node"), none.alias("parent"), F.lit(None).cast("int").alias("at"), none.alias("name"), _result(F.col("v")).alias("result"))
     levels = []
     while True:
-        nodes = materialise(_nodes(found), "results")
-        stages = nodes.where("state = 'open'").select("node", F.posexplode("stages").alias("at", "stage")).select("node", "at", F.col("stage.key").alias("name"), _object(F.col("stage.value")).alias("members"))
-        failed = stages.where((F.col("name") != TAXONOMY) & F.col("members").isNotNull() & ~_true(F.col("members")["passed"]))
-        inner = _object(F.col("members")["stage_results"]).isNotNull()
-        category = stage_category(F.col("name"), _text(F.col("members"), "logs", "warnings", "counterexamples"))
-        leaves = failed.where(~inner).select(F.col("node").alias("parent"), "at", F.filter(F.array(category), lambda c: c.isNotNull()).alias("categories"), F.array("name").alias("failed"))
-        levels.append((nodes, leaves))
-        found = failed.where(inner).select(F.concat_ws("/", "node", F.col("at").cast("string")).alias("node"), F.col("node").alias("parent"), "at", "name", "members")
-        if found.isEmpty():
+        levels.append(materialise(_nodes(found), "results"))
+        inner = levels[-1].where(F.size("inner") > 0).select(F.col("node").alias("parent"), F.explode("inner").alias("s"))
+        found = inner.select(F.concat_ws("/", "parent", F.col("s.at").cast("string")).alias("node"), "parent", "s.at", "s.name", "s.result")
+        if inner.isEmpty():
             break
     below = None
-    for nodes, parts in reversed(levels):
+    for nodes in reversed(levels):
         if below is not None:
             inside = F.transform("taxonomy.failed_stages", lambda s: F.concat_ws(".", F.col("name"), s))
-            parts = parts.unionByName(below.select("parent", "at", F.col("taxonomy.categories").alias("categories"), inside.alias("failed")))
-        below = _folded(nodes, parts)
-    return roots.join(below.select("node", "taxonomy"), "node").select(F.col("k").alias(key), "taxonomy.*")
+            below = below.select("parent", "at", F.col("taxonomy.categories").alias("categories"), inside.alias("failed"))
+        below = _folded(nodes, below)
+    return below.select(F.col("k").alias(key), "taxonomy.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.scalars import any_of, lookup
+from ..functions.scalars import any_of, let, lookup
 from .asof import next_after
 from .detect import Tables, missing_cleanup_on_error, unchecked_return
 from .facts import body_facts
@@ -148,16 +148,16 @@ def repaired_paths(paths: DataFrame, known: DataFrame) -> DataFrame:
 
 def stage_category(stage: Column, text: Column) -> Column:
     """The failure category of a failed stage, by its name; of applying a patch and of unknown stages by the text."""
-    low = F.lower(text)
-    has = lambda *words: low.rlike(any_of(words))
-    applied = (
-        F.when(has("empty patch"), "empty_patch").when(has("no project changes"), "no_effect_patch").when(has("path repair", "no such file", "does not exist"), "path_mismatch")
-        .when(has("patch failed", "hunk", "garbage", "apply"), "patch_does_not_apply").otherwise("unknown_validation_failure")
-    )
-    other = (
-        F.when(has("insufficient_quota", "rate_limit"), "llm_rate_limit").when(has("invalid_api_key", "llm request failed"), "llm_api_error")
-        .when(has("compile") & has("failed"), "compile_failure").when(has("test") & has("failed"), "test_failure")
-    )
+    has = lambda low, *words: low.rlike(any_of(words))
+    # the text is made, and read, only where it decides
+    applied = let(F.lower(text), lambda low: (
+        F.when(has(low, "empty patch"), "empty_patch").when(has(low, "no project changes"), "no_effect_patch").when(has(low, "path repair", "no such file", "does not exist"), "path_mismatch")
+        .when(has(low, "patch failed", "hunk", "garbage", "apply"), "patch_does_not_apply").otherwise("unknown_validation_failure")
+    ))
+    other = let(F.lower(text), lambda low: (
+        F.when(has(low, "insufficient_quota", "rate_limit"), "llm_rate_limit").when(has(low, "invalid_api_key", "llm request failed"), "llm_api_error")
+        .when(has(low, "compile") & has(low, "failed"), "compile_failure").when(has(low, "test") & has(low, "failed"), "test_failure")
+    ))
     return (
         F.when(stage.isin("restore_clean_project", "restore_after_validation"), "restore_failure").when(stage == "apply_patch", applied).when(stage == "compile", "compile_failure").when(stage == "tests", "test_failure")
         .when(stage == "static_analysis", "static_analysis_regression").when(stage == "resource_consistency", "resource_regression").when(stage == "semantic_equivalence", "semantic_regression")

@@ -199,6 +199,15 @@ def _planned(spark, df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nested_results_are_parsed_once_a_level(spark):
+    from codelens.operators.taxonomy import nested_taxonomy
+
+    rows = [("a", '{"passed": false, "stage_results": {"compile": {"passed": false}, "c": {"passed": false, "stage_results": {"x": {"passed": false, "logs": ["test failed"]}}}}}')]
+    out = nested_taxonomy(spark.createDataFrame(rows, "work_id string, validation string"))
+    assert "from_json" not in _planned(spark, out)
+    assert [(r.categories, r.failed_stages) for r in out.collect()] == [(["compile_failure", "test_failure"], ["compile", "c.x"])]
+
+
 def test_hunks_meet_functions_by_name_and_bin_at_once(spark, monkeypatch):
     from codelens.operators import validate
 
