@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
-from codelens.operators.lex import functions, functions_in, masked
+from codelens.operators.lex import functions, functions_in, masked, parsed
 
 SOURCE = '''#include <stdio.h>
 /* int not_one(void) { return 1; } */
@@ -55,3 +56,11 @@ def test_files_with_nulls_and_same_names(spark):
 def test_functions_with_long_gaps(gap):
     found = list(functions_in(f"int f(int a) {gap}\n{{ return a; }}\nint g {gap}\n(int b)\n{{ return b; }}\nint {'h' * 700}(void) {{ }}"))
     assert [f[0] for f in found] == ["f", "g", "h" * 700]
+
+
+def test_functions_leave_the_worker_in_small_batches():
+    body = "    work(x);\n" * 2_000
+    files = pa.RecordBatch.from_pydict({"path": [f"f{k}.c" for k in range(200)], "content": [f"int f{k}(int x) {{\n{body}}}\n" for k in range(200)]})
+    out = list(parsed(iter([files])))
+    assert sum(b.num_rows for b in out) == 200
+    assert max(b.nbytes for b in out) < 2_000_000
