@@ -45,12 +45,12 @@ def statements(functions: DataFrame) -> DataFrame:
 
 def goto_target(stmt: Column) -> Column:
     found = F.regexp_extract(stmt, rf"\bgoto\s+({IDENT})\s*;", 1)
-    return F.when(found != "", found)
+    return F.when(stmt.contains("goto") & (found != ""), found)
 
 
 def label_name(stmt: Column) -> Column:
     found = F.regexp_extract(stmt, rf"^({IDENT})\s*:\s*(?!:)", 1)
-    return F.when(~found.isin("", "case", "default"), found)
+    return F.when(stmt.contains(":") & ~found.isin("", "case", "default"), found)
 
 
 def is_return(stmt: Column) -> Column:
@@ -81,12 +81,12 @@ def is_error_return(stmt: Column) -> Column:
 def cleanup_call(stmt: Column) -> Column:
     """(call, variable) of the first cleanup call, null without one."""
     call = F.regexp_extract(stmt, CLEANUP, 1)
-    return F.when(call != "", F.struct(call.alias("call"), F.regexp_extract(F.regexp_extract(stmt, CLEANUP, 2), IDENT, 0).alias("variable")))
+    return F.when(stmt.contains("(") & (call != ""), F.struct(call.alias("call"), F.regexp_extract(F.regexp_extract(stmt, CLEANUP, 2), IDENT, 0).alias("variable")))
 
 
 def if_condition(stmt: Column) -> Column:
     """What stands between if's bracket and the line's last one."""
-    return F.when(stmt.rlike(r"\bif\s*\(.*\)"), F.trim(F.regexp_extract(stmt, r"\bif\s*\((.*)\)", 1)))
+    return F.when(stmt.contains("if") & stmt.rlike(r"\bif\s*\(.*\)"), F.trim(F.regexp_extract(stmt, r"\bif\s*\((.*)\)", 1)))
 
 
 def calls_with_arguments(stmt: Column) -> Column:
@@ -117,7 +117,21 @@ ASSIGNED = rf"([A-Za-z_][A-Za-z_0-9:<>*\s&.\->\[\]]*?)\s*=\s*(?:\([^)]*\)\s*)?({
 def assignment_call(stmt: Column) -> Column:
     """(variable, call) of an assignment from a call, casts allowed; null where there is none."""
     variable = resource_expression(F.regexp_extract(stmt, ASSIGNED, 1))
-    return F.when(stmt.rlike(ASSIGNED) & (variable != ""), F.struct(variable.alias("variable"), F.regexp_extract(stmt, ASSIGNED, 2).alias("call")))
+    return F.when(stmt.contains("=") & stmt.rlike(ASSIGNED) & (variable != ""), F.struct(variable.alias("variable"), F.regexp_extract(stmt, ASSIGNED, 2).alias("call")))
+
+
+#: What single lines say, by name: columns that ``noted`` adds to lines.
+NOTES = {"says_return": is_return, "says_goto": goto_target, "says_label": label_name, "says_cleanup": cleanup_call, "says_condition": if_condition, "says_calls": calls_with_arguments, "says_assigned": assignment_call}
+
+
+def noted(lines: DataFrame) -> DataFrame:
+    """``lines`` with all NOTES, for tables that are written once and read in many branches."""
+    return lines.withColumns({name: of(F.col("stmt")) for name, of in NOTES.items()})
+
+
+def note(lines: DataFrame, name: str) -> Column:
+    """One of NOTES: as it is noted in ``lines``, else read off stmt."""
+    return F.col(name) if name in lines.columns else NOTES[name](F.col("stmt"))
 
 
 def resource_events(lines: DataFrame) -> DataFrame:
@@ -127,7 +141,7 @@ def resource_events(lines: DataFrame) -> DataFrame:
     (or lock) their first argument; they acquire it if the line assigns no
     call.
     """
-    read = lines.withColumns({"assigned": assignment_call(F.col("stmt")), "calls": calls_with_arguments(F.col("stmt"))})
+    read = lines.withColumns({"assigned": note(lines, "says_assigned"), "calls": note(lines, "says_calls")})
     acquired = read.where("assigned IS NOT NULL").select(*FN, "line", "raw", F.lit(True).alias("is_assigned"), F.col("assigned.call").alias("call"), F.col("assigned.variable").alias("variable"))
     called = read.select(*FN, "line", "raw", "assigned", F.explode("calls").alias("c")).where("assigned IS NULL OR c.call <> assigned.call")
     called = called.select(*FN, "line", "raw", F.lit(False).alias("is_assigned"), F.col("c.call").alias("call"), first_argument(F.col("c.args")).alias("variable"), F.col("assigned").isNotNull().alias("other"))
@@ -151,7 +165,7 @@ def flow_events(stmts: DataFrame) -> DataFrame:
 
 def labelled(lines: DataFrame) -> DataFrame:
     """Lines inside label blocks, with label: a label's own line, if code follows there, and all lines up to the next label."""
-    own = label_name(F.col("stmt"))
+    own = note(lines, "says_label")
     order = Window.partitionBy(*FN).orderBy("line")
     marked = lines.withColumn("own", own).withColumn("label", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rest = F.trim(F.regexp_replace("stmt", r"^[^:]*:", ""))

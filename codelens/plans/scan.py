@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,8 @@ class Scan:
 
     def findings(self, tables: detect.Tables | None = None) -> DataFrame:
         t = tables or self.tables()
-        found = detect.detect(t, self.detectors)
-        for k, d in enumerate(self.extra.values()):
-            found = found.unionByName(d(t).withColumn("detector_rank", F.lit(len(detect.DETECTORS) + k)))
+        more = [d(t).withColumn("detector_rank", F.lit(len(detect.DETECTORS) + k)) for k, d in enumerate(self.extra.values())]
+        found = detect.found(t, self.detectors, more) if tables is None else reduce(DataFrame.unionByName, more, detect.detect(t, self.detectors))
         out = findings.weighed_by_path(findings.clustered(findings.deduplicated(findings.enriched(found))))
         if self.confirm is not None:
             out = findings.confirmed(out, self.confirm)

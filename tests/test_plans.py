@@ -230,3 +230,50 @@ def test_stages_stay_where_their_candidates_are(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scan_is_a_job_for_each_detector(spark, monkeypatch):
+    from codelens import code_queries
+    from codelens.operators import detect
+
+    plans, inner = [], detect.materialise
+
+    def planning(df, name):
+        plans.append((name, _exchanges(df)))
+        return inner(df, name)
+
+    monkeypatch.setattr(detect, "materialise", planning)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert code_queries.QUERIES["scan_report"](spark, SMALL).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = [p for p in plans if p[0] == "found"]
+    assert len(found) == len(detect.DETECTORS) and all(exchanges == 0 for _, exchanges in found)
+    assert {name for name, _ in plans} == {"functions", "found", "findings"}
+
+
+def test_next_mark_is_found_from_the_end(spark):
+    from codelens.operators.asof import next_after
+
+    points = spark.createDataFrame([("a", 1), ("a", 1), ("a", 5), ("b", 2)], "k string, line int")
+    marks = spark.createDataFrame([("a", 1), ("a", 5), ("a", 9), ("a", 7), ("b", 2)], "k string, line int")
+    out = next_after(points, marks, ["k"], "line", "next")
+    assert sorted((r.k, r.line, r.next) for r in out.where("k = 'a'").collect()) == [("a", 1, 5), ("a", 1, 5), ("a", 5, 7)]
+    assert [r.next for r in out.where("k = 'b'").collect()] == [None]
+    assert "unboundedfollowing" not in _planned(spark, out).lower()
+
+
+def test_noted_lines_say_what_statements_say(spark):
+    from pyspark.sql import functions as F
+
+    from codelens.operators import lines
+
+    texts = ["if (!p)", "goto out;", "out: free(p);", "case 1:", "p = (char *) malloc(n);", "x == f(y);", "return -1;", "a[i]->b = open(c);", "if (rc) close(fd);", "n++;", "", "std::free(q);"]
+    plain = spark.createDataFrame([(t,) for t in texts], "stmt string")
+    noted = lines.noted(plain)
+    direct = plain.select("stmt", *[of(F.col("stmt")).alias(name) for name, of in lines.NOTES.items()])
+    assert sorted(map(repr, noted.collect())) == sorted(map(repr, direct.collect()))
+    assert {r.stmt for r in noted.where("says_goto = 'out'").collect()} == {"goto out;"} and {r.stmt for r in noted.where("says_label = 'out'").collect()} == {"out: free(p);"}
+    assert {r.stmt for r in noted.where("says_assigned IS NOT NULL").collect()} == {"p = (char *) malloc(n);", "a[i]->b = open(c);"}
+    assert {r.stmt for r in noted.where("says_cleanup IS NOT NULL").collect()} == {"out: free(p);", "if (rc) close(fd);", "std::free(q);"}
