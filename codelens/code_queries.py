@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import vocab
 from .operators import detect, facts, findings, graph, lines, validate
 from .operators.lex import functions
+from .shared import materialise
 from .sources import clang
 from .sources.corpus import generated_corpus, lines_cte
 
@@ -229,9 +230,15 @@ def _with_provenance(t: detect.Tables) -> detect.Tables:
     return detect.Tables.of(detect.with_flow(both, flow))
 
 
+def _provenance_scores(t: detect.Tables) -> DataFrame:
+    t = _with_provenance(detect.Tables.of(materialise(t.functions, "functions"))).keep()
+    found = detect.double_release(t).unionByName(detect.missing_release(t))
+    return t.finish(found.select("path", "fn", "line", "confidence").distinct(), "scores")
+
+
 _query(
     "scores_by_provenance",
-    lambda t: detect.double_release(_with_provenance(t)).select("path", "fn", "line", "confidence").unionByName(detect.missing_release(_with_provenance(t)).select("path", "fn", "line", "confidence")).distinct(),
+    _provenance_scores,
     f"""SELECT DISTINCT path, fn, line, least(base + CASE WHEN u % 3 = 0 THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN u % 2 = 0 THEN 0.06::DOUBLE ELSE 0 END, 1.0::DOUBLE) AS confidence FROM (
   SELECT path, fn, line, regexp_extract(fn, '[0-9]+$')::BIGINT AS u, CASE WHEN description LIKE '%possibly a%' THEN 0.72::DOUBLE + 0.08::DOUBLE ELSE 0.58::DOUBLE END AS base FROM (({DETECTOR_SQL["missing_release"]}) UNION ALL ({DETECTOR_SQL["double_release"]})))""",
 )

@@ -253,6 +253,16 @@ def test_scan_is_a_job_for_each_detector(spark, monkeypatch):
     assert {name for name, _ in plans} == {"functions", "found", "findings"}
 
 
+def test_provenance_is_parsed_once(spark, monkeypatch):
+    from codelens import code_queries
+    from codelens.operators import lex
+
+    parsed, inner = [], lex.functions
+    monkeypatch.setattr(code_queries, "functions", lambda files: parsed.append(1) or inner(files))
+    plan = _planned(spark, code_queries.QUERIES["scores_by_provenance"](spark, SMALL))
+    assert parsed == [1] and "MapInArrow" not in plan and "Exchange" not in plan
+
+
 def test_next_mark_is_found_from_the_end(spark):
     from codelens.operators.asof import next_after
 
